@@ -10,6 +10,7 @@ partition is ever brought together.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 from typing import Sequence
 
@@ -42,6 +43,17 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage through a Parquet table in the shared checkpoint folder.
+
+    Unlike a checkpoint it keeps column pruning, and its file sizes let Spark
+    decide on broadcasts from facts.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sorted_partitions(df: DataFrame, order: Sequence) -> DataFrame:
     """Globally sorted rows with a stable partition number and position."""
     stable = durable(df.orderBy(*order))

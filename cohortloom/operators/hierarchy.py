@@ -51,10 +51,11 @@ def prune_subtree(tree: DataFrame, concept: DataFrame, closure: DataFrame,
 
 def tree_nodes(tree: DataFrame) -> DataFrame:
     """(``name, id`` label, id) of every edge end."""
-    ends = [tree.select(paste(f"{end}_concept_name", f"{end}_concept_id").alias("node_concept"),
-                        F.col(f"{end}_concept_id").alias("node_concept_id"))
-            for end in ("ancestor", "descendant")]
-    return union_set(ends)
+    ends = F.array(*[
+        F.struct(paste(f"{end}_concept_name", f"{end}_concept_id").alias("node_concept"),
+                 F.col(f"{end}_concept_id").alias("node_concept_id"))
+        for end in ("ancestor", "descendant")])
+    return tree.select(F.explode(ends).alias("end")).select("end.*").distinct()
 
 
 def tree_roots(tree: DataFrame) -> DataFrame:

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.config import DOMAINS, CutThreshold, Domain, PhenotypeConfig
-from cohortloom.functions.distributed import union_all
 from cohortloom.functions.hashing import hash32, hash60
 from cohortloom.functions.dates import follow_up_possible, in_follow_up
 
@@ -114,7 +113,7 @@ class StarTables:
     @cached_property
     def _lines(self) -> DataFrame:
         """Line items with an event id and their order's person and date."""
-        cents = [F.round(F.col(c) * 100).cast("long").cast("string")
+        cents = [F.floor(F.col(c) * 100 + 0.5).cast("string")
                  for c in ("l_extendedprice", "l_discount", "l_tax")]
         event_id = hash60(F.concat_ws(
             "|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
@@ -212,104 +211,94 @@ class StarTables:
     def _part(self) -> DataFrame:
         return self.base("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
 
-    def _nodes(self, domain: Domain) -> DataFrame:
-        """Leaf, brand group, type group and root concepts of one domain."""
-        name = domain.name
-        part = self._part
-        vocabulary = F.lit(domain.vocabularies[-1])
-        if len(domain.vocabularies) > 1:
-            pick = F.col("p_partkey") % len(domain.vocabularies)
-            leaf_vocabulary = F.get(F.array(*[F.lit(v) for v in domain.vocabularies]),
-                                    pick.cast("int"))
-        else:
-            leaf_vocabulary = vocabulary
-        brand_class = "Ingredient" if name == "drug" else "Group"
-
-        def rows(df, concept_id, concept_name, code, vocab, kind):
-            return df.select(concept_id.cast("long").alias("concept_id"),
-                             concept_name.alias("concept_name"), code.alias("concept_code"),
-                             vocab.alias("vocabulary_id"), F.lit(kind).alias("concept_class_id"))
-
-        brand_key = F.concat(F.lit("b|"), "p_type", F.lit("|"), "p_brand")
-        type_key = F.concat(F.lit("t|"), "p_type")
-        nodes = union_all([
-            rows(part, leaf_id(name, F.col("p_partkey")), F.col("p_name"),
-                 F.concat(F.lit("P"), F.col("p_partkey").cast("string")), leaf_vocabulary, "Leaf"),
-            rows(part.select("p_type", "p_brand").distinct(), group_id(name, brand_key),
-                 F.concat("p_type", F.lit("_"), "p_brand"), brand_key, vocabulary, brand_class),
-            rows(part.select("p_type").distinct(), group_id(name, type_key),
-                 F.col("p_type"), type_key, vocabulary, "Group"),
-            rows(self.spark.range(1), F.lit(root_id(name)), F.lit(f"All {domain.domain_id}"),
-                 F.lit("root"), vocabulary, "Root")])
-        return nodes.select("concept_id", "concept_name", "concept_code", "vocabulary_id",
-                            F.lit(domain.domain_id).alias("domain_id"), "concept_class_id",
-                            F.lit(None).cast("string").alias("invalid_reason"))
-
     @cached_property
-    def _source_concepts(self) -> DataFrame:
-        """Billing codes of the condition leaves, some invalid, some in two vocabularies."""
-        size = F.col("p_size")
-
-        def rows(df, number, vocabulary):
-            return df.select(
-                (F.col("p_partkey") + F.lit(number * ID_RANGE + 1)).alias("concept_id"),
-                F.concat(F.lit("src "), "p_name").alias("concept_name"),
-                F.concat(F.lit("S"), F.col("p_partkey").cast("string")).alias("concept_code"),
-                F.lit(vocabulary).alias("vocabulary_id"), F.lit("Condition").alias("domain_id"),
-                F.lit("Code").alias("concept_class_id"),
-                F.when(size % 10 == 0, "D").alias("invalid_reason"))
-
-        return union_all([rows(self._part, SOURCE_NUMBER, "ICD10CM"),
-                          rows(self._part.filter(size % 5 == 1), SOURCE_10_NUMBER, "ICD10")])
+    def _hashed_part(self) -> DataFrame:
+        """Parts with the hashes of their groups, taken once for all domains."""
+        return (self._part
+                .withColumn("brand_key", F.concat(F.lit("b|"), "p_type", F.lit("|"), "p_brand"))
+                .withColumn("type_key", F.concat(F.lit("t|"), "p_type"))
+                .withColumn("brand_hash", hash32(F.col("brand_key")))
+                .withColumn("type_hash", hash32(F.col("type_key"))))
+
+    @staticmethod
+    def _ids(name: str) -> tuple[Column, Column, Column, Column]:
+        """(leaf, brand group, type group, root) ids of a domain over hashed parts."""
+        groups = F.lit(DOMAIN_NUMBER[name] * ID_RANGE + GROUPS)
+        return (leaf_id(name, F.col("p_partkey")), groups + F.col("brand_hash"),
+                groups + F.col("type_hash"), F.lit(root_id(name)))
 
     @cached_property
     def concept(self) -> DataFrame:
-        return union_all([*[self._nodes(d) for d in DOMAINS.values()], self._source_concepts])
+        """Leaf, brand group, type group and root of every domain, and source codes.
+
+        Every part emits its own rows and its groups' rows; groups repeat and
+        collapse on the map side.  Some source codes are invalid, some occur in
+        two vocabularies.
+        """
+        rows = []
+
+        def add(concept_id, name, code, vocabulary, domain_id, kind, reason=None):
+            reason = F.lit(None).cast("string") if reason is None else reason
+            rows.append(F.struct(
+                concept_id.cast("long").alias("concept_id"), name.alias("concept_name"),
+                code.alias("concept_code"), vocabulary.alias("vocabulary_id"),
+                F.lit(domain_id).alias("domain_id"), F.lit(kind).alias("concept_class_id"),
+                reason.alias("invalid_reason")))
+
+        part_text = F.col("p_partkey").cast("string")
+        for domain in DOMAINS.values():
+            leaf, brand, kind, root = self._ids(domain.name)
+            top = F.lit(domain.vocabularies[-1])
+            mixed = F.get(F.array(*[F.lit(v) for v in domain.vocabularies]),
+                          (F.col("p_partkey") % len(domain.vocabularies)).cast("int"))
+            add(leaf, F.col("p_name"), F.concat(F.lit("P"), part_text), mixed,
+                domain.domain_id, "Leaf")
+            add(brand, F.concat("p_type", F.lit("_"), "p_brand"), F.col("brand_key"), top,
+                domain.domain_id, "Ingredient" if domain.name == "drug" else "Group")
+            add(kind, F.col("p_type"), F.col("type_key"), top, domain.domain_id, "Group")
+            add(root, F.lit(f"All {domain.domain_id}"), F.lit("root"), top,
+                domain.domain_id, "Root")
+        size = F.col("p_size")
+        for number, vocabulary, present in (
+                (SOURCE_NUMBER, "ICD10CM", F.lit(True)),
+                (SOURCE_10_NUMBER, "ICD10", size % 5 == 1)):
+            source = F.when(present, F.col("p_partkey") + F.lit(number * ID_RANGE + 1))
+            add(source, F.concat(F.lit("src "), "p_name"), F.concat(F.lit("S"), part_text),
+                F.lit(vocabulary), "Condition", "Code", F.when(size % 10 == 0, "D"))
+        return (self._hashed_part.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+                .filter(F.col("concept_id").isNotNull()).distinct())
 
     @cached_property
     def concept_ancestor(self) -> DataFrame:
         """Closure root - type - (type, brand) - part, self rows included."""
-        return union_all([self._closure(name) for name in DOMAINS])
-
-    def _closure(self, name: str) -> DataFrame:
-        brand = group_id(name, F.concat(F.lit("b|"), "p_type", F.lit("|"), "p_brand"))
-        kind = group_id(name, F.concat(F.lit("t|"), "p_type"))
-        root, leaf = F.lit(root_id(name)), leaf_id(name, F.col("p_partkey"))
-
-        def pairs(df, *levels):
-            rows = F.array(*[F.struct(a.cast("long").alias("ancestor_concept_id"),
-                                      d.cast("long").alias("descendant_concept_id"),
-                                      F.lit(n).alias("min_levels_of_separation"))
-                             for a, d, n in levels])
-            return df.select(F.explode(rows).alias("r")).select("r.*")
-
-        part = self._part
-        return union_all([
-            pairs(part, (leaf, leaf, 0), (brand, leaf, 1), (kind, leaf, 2), (root, leaf, 3)),
-            pairs(part.select("p_type", "p_brand").distinct(),
-                  (brand, brand, 0), (kind, brand, 1), (root, brand, 2)),
-            pairs(part.select("p_type").distinct(), (kind, kind, 0), (root, kind, 1)),
-            pairs(self.spark.range(1), (root, root, 0))])
+        rows = []
+        for name in DOMAINS:
+            path = self._ids(name)
+            rows += [F.struct(path[above].cast("long").alias("ancestor_concept_id"),
+                              path[below].cast("long").alias("descendant_concept_id"),
+                              F.lit(above - below).alias("min_levels_of_separation"))
+                     for below in range(4) for above in range(below, 4)]
+        return (self._hashed_part.select(F.explode(F.array(*rows)).alias("r"))
+                .select("r.*").distinct())
 
     @cached_property
     def concept_relationship(self) -> DataFrame:
         """Source codes map to leaves; some relations are invalid, some codes map twice."""
         size = F.col("p_size")
         source = F.col("p_partkey") + F.lit(SOURCE_NUMBER * ID_RANGE + 1)
-        leaf = leaf_id("cond", F.col("p_partkey"))
-        brand = group_id("cond", F.concat(F.lit("b|"), "p_type", F.lit("|"), "p_brand"))
+        leaf, brand, _, _ = self._ids("cond")
         invalid = F.when(size % 10 == 2, "D")
 
-        def rows(df, a, b, relation, reason):
-            return df.select(a.alias("concept_id_1"), b.alias("concept_id_2"),
-                             F.lit(relation).alias("relationship_id"),
-                             reason.alias("invalid_reason"))
+        def row(a, b, relation, reason):
+            return F.struct(a.alias("concept_id_1"), b.alias("concept_id_2"),
+                            F.lit(relation).alias("relationship_id"),
+                            reason.cast("string").alias("invalid_reason"))
 
-        none = F.lit(None).cast("string")
-        return union_all([
-            rows(self._part, source, leaf, "Maps to", invalid),
-            rows(self._part.filter(size % 10 == 3), source, brand, "Maps to", none),
-            rows(self._part, leaf, source, "Mapped from", invalid)])
+        rows = F.array(row(source, leaf, "Maps to", invalid),
+                       row(source, F.when(size % 10 == 3, brand), "Maps to", F.lit(None)),
+                       row(leaf, source, "Mapped from", invalid))
+        return (self._hashed_part.select(F.explode(rows).alias("r")).select("r.*")
+                .filter(F.col("concept_id_2").isNotNull()))
 
     @cached_property
     def raw_codes(self) -> DataFrame:

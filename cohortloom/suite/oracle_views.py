@@ -104,8 +104,8 @@ _SIMPLE = {
            l_orderkey AS visit_occurrence_id,
            ('0x' || substr(md5(concat_ws('|', l_orderkey::VARCHAR, l_partkey::VARCHAR,
              l_suppkey::VARCHAR, l_linenumber::VARCHAR, l_quantity::INT::VARCHAR,
-             round(l_extendedprice * 100)::BIGINT::VARCHAR,
-             round(l_discount * 100)::BIGINT::VARCHAR, round(l_tax * 100)::BIGINT::VARCHAR,
+             floor(l_extendedprice * 100 + 0.5)::BIGINT::VARCHAR,
+             floor(l_discount * 100 + 0.5)::BIGINT::VARCHAR, floor(l_tax * 100 + 0.5)::BIGINT::VARCHAR,
              l_returnflag, l_linestatus, l_shipdate::DATE::VARCHAR)), 1, 15))::BIGINT AS event_id
     FROM lineitem l JOIN orders ON l_orderkey = o_orderkey""",
     "conditions": f"""
@@ -330,9 +330,9 @@ def _scan(domain: str, by: str = "") -> str:
     SELECT {by}(node % 1000003)::INT AS cut_no, node AS node_identifier, level AS tree_level,
            round(cases / persons / 0.25, 6) AS relative_risk,
            round(cases / persons, 6) AS log_likelihood_ratio, persons AS observations,
-           persons * 0.25 AS expected,
-           CASE WHEN cases / persons > 0.4 THEN 0.001
-                WHEN cases / persons > 0.1 THEN 0.5 END AS p_value
+           persons * 0.25::DOUBLE AS expected,
+           CASE WHEN cases / persons > 0.4 THEN 0.001::DOUBLE
+                WHEN cases / persons > 0.1 THEN 0.5::DOUBLE END AS p_value
     FROM (
       SELECT {by}node, level, count(*) AS persons, sum(pasc_flag)::BIGINT AS cases FROM (
         SELECT DISTINCT {by}m.person_id, pasc_flag, g.node, g.level

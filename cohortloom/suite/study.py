@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.config import DOMAINS, CutThreshold
+from cohortloom.functions.distributed import stored
 from cohortloom.operators import assemble, cohort, events, hierarchy, windows
 from cohortloom.session import configure
 from cohortloom.sources.star_mapping import PROMO_NODE, STAR_CONFIG, StarTables
@@ -55,9 +56,14 @@ class Study:
     def cohort(self) -> DataFrame:
         return cohort.get_cohort_entry_period(self.dated, self.cfg)
 
+    @cached_property
+    def cohort_table(self) -> DataFrame:
+        """The study cohort written once: later steps read it several times."""
+        return stored(self.cohort)
+
     @cached_property
     def folded(self) -> DataFrame:
-        return cohort.split_cohort(self.cohort, self.cfg.folds, self.cfg.seed)
+        return cohort.split_cohort(self.cohort_table, self.cfg.folds, self.cfg.seed)
 
     # hierarchy ----------------------------------------------------------------------
     def full_tree(self, domain: str) -> DataFrame:
@@ -72,7 +78,7 @@ class Study:
 
     def counts(self, domain: str) -> DataFrame:
         return hierarchy.node_counts(
-            self.tree(domain), self.cohort, self.cdm.events(domain), self.cdm.visits,
+            self.tree(domain), self.cohort_table, self.cdm.events(domain), self.cdm.visits,
             DOMAINS[domain], self.cfg.days_delta, self.cfg.follow_months, self.cfg.max_date)
 
     def counts_by_fold(self, domain: str) -> DataFrame:
@@ -82,7 +88,7 @@ class Study:
             self.cfg.folds)
 
     def scan(self, domain: str) -> DataFrame:
-        return self.cdm.scan(self.cohort, domain)
+        return self.cdm.scan(self.cohort_table, domain)
 
     def fold_scan(self, domain: str) -> DataFrame:
         """Scans of the training set of every fold."""
