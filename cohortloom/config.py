@@ -18,6 +18,7 @@ class Domain:
     vocabularies: tuple[str, ...]
     domain_id: str
     event_id_col: str | None = None  # only domains with it get the label anti-join
+    members: tuple["Domain", ...] = ()  # domains stacked under a ``domain`` column
 
 
 # Vocabulary and domain names of the common data model.
@@ -33,6 +34,11 @@ DOMAINS: dict[str, Domain] = {
 }
 
 
+# All four stacked: one pass over (domain, person, visit, concept, event id) rows.
+STACKED = Domain("stacked", "events", "concept_id", (), "", "event_id",
+                 tuple(DOMAINS.values()))
+
+
 @dataclass(frozen=True)
 class Window:
     """Half-open day range [lo, hi) around the index date; ``lo=None`` is unbounded."""

@@ -36,12 +36,14 @@ def assemble_long(cohort: DataFrame, blocks: Mapping[str, DataFrame]) -> DataFra
     """(person, domain, key, value) of demographics and all feature blocks.
 
     Every block covers the whole cohort, absent rows being zeros, so the inner
-    merge of blocks on person is a union here.
+    merge of blocks on person is a union here.  A stacked block brings its own
+    ``domain`` column.
     """
     parts = {"demo": one_hot_demo(cohort), **blocks}
     return union_all([
-        df.select("person_id", F.lit(name).alias("domain"), "feature_key",
-                  F.col("value").cast("double").alias("value"))
+        df.select("person_id",
+                  (F.col("domain") if "domain" in df.columns else F.lit(name)).alias("domain"),
+                  "feature_key", F.col("value").cast("double").alias("value"))
         for name, df in parts.items()])
 
 

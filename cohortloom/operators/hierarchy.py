@@ -15,17 +15,33 @@ from cohortloom.functions.text import paste
 from cohortloom.operators.events import cohort_events
 
 
+def _by_domain(domain: Domain) -> list[str]:
+    return ["domain"] if domain.members else []
+
+
 def domain_concepts(concept: DataFrame, domain: Domain) -> DataFrame:
-    """Concepts of the vocabularies and domain of an event type."""
+    """Concepts of the vocabularies and domain of an event type.
+
+    For stacked domains the ``domain`` column says which one.
+    """
+    if domain.members:
+        label = F.coalesce(*[
+            F.when(F.col("vocabulary_id").isin(*d.vocabularies)
+                   & (F.col("domain_id") == d.domain_id), d.name) for d in domain.members])
+        return concept.withColumn("domain", label).filter(F.col("domain").isNotNull())
     return concept.filter(F.col("vocabulary_id").isin(*domain.vocabularies)
                           & (F.col("domain_id") == domain.domain_id))
 
 
 def make_tree(concept: DataFrame, closure: DataFrame, domain: Domain,
               prune_root: int | None = None) -> DataFrame:
-    """Parent-child edges; parents from the domain, children from any vocabulary."""
+    """Parent-child edges; parents from the domain, children from any vocabulary.
+
+    Of stacked domains only the condition tree is pruned.
+    """
+    by = _by_domain(domain)
     parents = (domain_concepts(concept, domain)
-               .select(F.col("concept_id").alias("ancestor_concept_id"),
+               .select(*by, F.col("concept_id").alias("ancestor_concept_id"),
                        F.col("concept_name").alias("ancestor_concept_name")).distinct())
     children = concept.select(F.col("concept_id").alias("descendant_concept_id"),
                               F.col("concept_name").alias("descendant_concept_name"))
@@ -33,7 +49,7 @@ def make_tree(concept: DataFrame, closure: DataFrame, domain: Domain,
              .select("ancestor_concept_id", "descendant_concept_id")
              .join(parents, "ancestor_concept_id")
              .join(children, "descendant_concept_id")
-             .select("ancestor_concept_id", "ancestor_concept_name",
+             .select(*by, "ancestor_concept_id", "ancestor_concept_name",
                      "descendant_concept_id", "descendant_concept_name"))
     return edges if prune_root is None else prune_subtree(edges, concept, closure, prune_root)
 
@@ -44,8 +60,9 @@ def prune_subtree(tree: DataFrame, concept: DataFrame, closure: DataFrame,
     below = (closure.filter(F.col("ancestor_concept_id") == root)
              .select(F.col("descendant_concept_id").alias("_gone"))
              .join(concept.select(F.col("concept_id").alias("_gone")), "_gone", "left_semi"))
+    pruned = F.col("domain") == "cond" if "domain" in tree.columns else F.lit(True)
     for end in ("descendant_concept_id", "ancestor_concept_id"):
-        tree = tree.join(below, tree[end] == below["_gone"], "left_anti")
+        tree = tree.join(below, (F.col(end) == F.col("_gone")) & pruned, "left_anti")
     return tree
 
 
@@ -55,7 +72,8 @@ def tree_nodes(tree: DataFrame) -> DataFrame:
         F.struct(paste(f"{end}_concept_name", f"{end}_concept_id").alias("node_concept"),
                  F.col(f"{end}_concept_id").alias("node_concept_id"))
         for end in ("ancestor", "descendant")])
-    return tree.select(F.explode(ends).alias("end")).select("end.*").distinct()
+    by = [c for c in ("domain",) if c in tree.columns]
+    return tree.select(*by, F.explode(ends).alias("end")).select(*by, "end.*").distinct()
 
 
 def tree_roots(tree: DataFrame) -> DataFrame:
@@ -98,12 +116,13 @@ def _person_nodes(tree: DataFrame, cohort: DataFrame, events: DataFrame, visits:
                   domain: Domain, days_delta: int, follow_months: int, max_date: date,
                   *extra: str) -> DataFrame:
     """Distinct (person, node): the pre-aggregate that keeps a frequent node spread out."""
-    nodes = tree_nodes(tree).select(F.col("node_concept_id").alias(domain.concept_col))
-    known = (events.select("person_id", "visit_occurrence_id", domain.concept_col)
-             .join(nodes, domain.concept_col, "left_semi"))
+    by = _by_domain(domain)
+    nodes = tree_nodes(tree).select(*by, F.col("node_concept_id").alias(domain.concept_col))
+    known = (events.select(*by, "person_id", "visit_occurrence_id", domain.concept_col)
+             .join(nodes, [*by, domain.concept_col], "left_semi"))
     followed = cohort.select("person_id", "index_date", "pasc_flag", *extra)
     return (follow_up_events(followed, known, visits, domain, days_delta, follow_months, max_date)
-            .select("person_id", "pasc_flag", "node_concept_id", *extra).distinct())
+            .select(*by, "person_id", "pasc_flag", "node_concept_id", *extra).distinct())
 
 
 def _count_columns(case, total) -> list:
@@ -118,9 +137,10 @@ def node_counts(tree: DataFrame, cohort: DataFrame, events: DataFrame, visits: D
     pairs = _person_nodes(tree, cohort, events, visits, domain, days_delta, follow_months,
                           max_date)
     cases = F.sum("pasc_flag").cast("long")
-    return (pairs.groupBy("node_concept_id")
+    by = _by_domain(domain)
+    return (pairs.groupBy(*by, "node_concept_id")
             .agg(*_count_columns(cases, F.count("*")))
-            .select(F.col("node_concept_id").alias("node"), "node_concept_id",
+            .select(*by, F.col("node_concept_id").alias("node"), "node_concept_id",
                     "pop_count", "case_count", "control_count"))
 
 
@@ -143,8 +163,8 @@ def node_counts_by_fold(tree: DataFrame, cohort: DataFrame, events: DataFrame,
     """
     pairs = _person_nodes(tree, cohort, events, visits, domain, days_delta, follow_months,
                           max_date, "fold")
-    own = F.col("fold")
-    per_node = pairs.groupBy("node_concept_id").agg(
+    own, by = F.col("fold"), _by_domain(domain)
+    per_node = pairs.groupBy(*by, "node_concept_id").agg(
         F.count("*").alias("pop"), F.sum("pasc_flag").cast("long").alias("cases"),
         *[F.count(F.when(own == i, 1)).alias(f"pop_{i}") for i in range(1, folds + 1)],
         *[F.sum(F.when(own == i, F.col("pasc_flag")).otherwise(0)).cast("long")
@@ -155,9 +175,9 @@ def node_counts_by_fold(tree: DataFrame, cohort: DataFrame, events: DataFrame,
                         (F.col("pop") - F.col(f"pop_{i}")).alias("pop"),
                         (F.col("cases") - F.col(f"cases_{i}")).alias("cases"))
                for i in range(1, folds + 1)]
-    return (per_node.select("node_concept_id", F.explode(F.array(*splits)).alias("s"))
+    return (per_node.select(*by, "node_concept_id", F.explode(F.array(*splits)).alias("s"))
             .filter("s.pop > 0")
-            .select(F.col("s.split").alias("split"), F.col("node_concept_id").alias("node"),
+            .select(*by, F.col("s.split").alias("split"), F.col("node_concept_id").alias("node"),
                     "node_concept_id",
                     *_count_columns(F.col("s.cases"), F.col("s.pop"))))
 
@@ -192,12 +212,15 @@ def expand_cuts(cuts: DataFrame, concept: DataFrame, closure: DataFrame, domain:
     descendant, not by walking through the cuts.
     """
     by = list(by)
+    own = _by_domain(domain)
+    if not set(own) <= set(by):
+        raise ValueError("stacked cuts are expanded by domain")
     order = ["cut_rank"] if deduplicate else []
     known = concept.select(F.col("concept_id").alias("descendant_concept_id"))
     inside = domain_concepts(concept, domain).select(
-        F.col("concept_id").alias("ancestor_concept_id"))
+        *own, F.col("concept_id").alias("ancestor_concept_id"))
     wanted = (cuts.select(*by, F.col("node_identifier").alias("ancestor_concept_id"), *order)
-              .distinct().join(inside, "ancestor_concept_id", "left_semi"))
+              .distinct().join(inside, [*own, "ancestor_concept_id"], "left_semi"))
     pairs = (closure.select("ancestor_concept_id", "descendant_concept_id")
              .join(wanted, "ancestor_concept_id")
              .join(known, "descendant_concept_id", "left_semi"))
@@ -217,11 +240,12 @@ def make_features(cuts: DataFrame, nodes: DataFrame, concept: DataFrame, closure
     """Feature definitions: every cut with its labelled descendants known to the tree."""
     pairs = expand_cuts(cuts, concept, closure, domain, by=by).filter(
         (F.col("ancestor_concept_id") != 0) & (F.col("descendant_concept_id") != 0))
-    label = {end: nodes.select(F.col("node_concept_id").alias(f"{end}_concept_id"),
+    own = _by_domain(domain)
+    label = {end: nodes.select(*own, F.col("node_concept_id").alias(f"{end}_concept_id"),
                                F.col("node_concept").alias(f"{end}_concept"))
              for end in ("ancestor", "descendant")}
-    return (pairs.join(label["descendant"], "descendant_concept_id")
-            .join(label["ancestor"], "ancestor_concept_id", "left")
+    return (pairs.join(label["descendant"], [*own, "descendant_concept_id"])
+            .join(label["ancestor"], [*own, "ancestor_concept_id"], "left")
             .filter(F.col("descendant_concept").isNotNull())
             .select(*by, "ancestor_concept_id", "ancestor_concept",
                     "descendant_concept_id", "descendant_concept").distinct())

@@ -147,7 +147,7 @@ def model_eval(estimator, train: DataFrame, param_grid: Mapping[str, Sequence] |
     fitted = search.fit(train)
     best = (max if evaluator.isLargerBetter() else min)(fitted.avgMetrics)
     rows = [(", ".join(f"{p.name}={v}" for p, v in params.items()) or "default", metric,
-             float(mean), float(sd), mean == best)
+             float(mean), float(sd), bool(mean == best))
             for params, mean, sd in zip(grid, fitted.avgMetrics, fitted.stdMetrics)]
     return train.sparkSession.createDataFrame(
         rows, "params string, metric string, mean_score double, std_score double, best boolean")

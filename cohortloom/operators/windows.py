@@ -168,8 +168,9 @@ def feature_long(cohort: DataFrame, domain: Domain | str, features: DataFrame,
                  days_delta: int = -28, split_dates: bool = True, days_min: int = -28,
                  days_max: int = 180, cfg: PhenotypeConfig = PhenotypeConfig(),
                  ids: Sequence[str] = COHORT_IDS) -> DataFrame:
-    """Leak-guarded presence features of one domain in long form."""
+    """Leak-guarded presence features of one domain, or of all stacked, in long form."""
     domain = DOMAINS[domain] if isinstance(domain, str) else domain
+    ids = (*ids, "domain") if domain.members else ids
     tagged = feature_events(cohort, features, events, visits, domain, days_delta)
     guarded = remove_label_events(tagged, observations, domain, cfg)
     return presence_flags(guarded, "visit_start_date", "ancestor_concept_id", split_dates,

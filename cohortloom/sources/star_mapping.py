@@ -16,7 +16,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.config import DOMAINS, CutThreshold, Domain, PhenotypeConfig
+from cohortloom.config import DOMAINS, STACKED, CutThreshold, PhenotypeConfig
 from cohortloom.functions.hashing import hash32, hash60
 from cohortloom.functions.dates import follow_up_possible, in_follow_up
 
@@ -62,7 +62,7 @@ STAR_CONFIG = replace(
     leak_text_pattern="ring$",
     leak_root=PROMO_NODE,
     cut_thresholds={name: CutThreshold(1, 2, level_op=">", p_value=0.01)
-                    for name in ("cond", "lab", "proc", "drug")},
+                    for name in ("cond", "lab", "proc", "drug", "stacked")},
 )
 
 
@@ -162,8 +162,22 @@ class StarTables:
             F.col("concept_id").alias("procedure_concept_id"))
 
     def events(self, domain: str) -> DataFrame:
-        return {"cond": self.conditions, "drug": self.drugs, "lab": self.labs,
-                "proc": self.procedures}[domain]
+        return getattr(self, {"cond": "conditions", "drug": "drugs", "lab": "labs",
+                              "proc": "procedures", STACKED.name: "stacked_events"}[domain])
+
+    @cached_property
+    def stacked_events(self) -> DataFrame:
+        """All four event types from one scan, in the form of :func:`stack_events`."""
+        flag, status, part = F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_partkey")
+        domain = (F.when(flag == "R", "cond").when(flag == "A", "drug")
+                  .when((flag == "N") & (status == "O"), "lab")
+                  .when((flag == "N") & (status == "F"), "proc"))
+        concept = F.coalesce(*[F.when(F.col("domain") == d, leaf_id(d, part))
+                               for d in DOMAIN_NUMBER])
+        return (self._lines.withColumn("domain", domain).filter(F.col("domain").isNotNull())
+                .select("domain", "person_id", "visit_occurrence_id",
+                        concept.alias("concept_id"),
+                        F.when(F.col("domain") == "cond", F.col("event_id")).alias("event_id")))
 
     @cached_property
     def observations(self) -> DataFrame:
@@ -336,23 +350,29 @@ class StarTables:
     # stand-ins for external results -----------------------------------------------
     def scan(self, cohort: DataFrame, domain: str, by: tuple[str, ...] = ()) -> DataFrame:
         """Tree-scan-shaped rows for the type and brand groups: persons rolled up to them."""
-        cfg, dom = self.cfg, DOMAINS[domain]
-        brand = group_id(domain, F.concat(F.lit("b|"), "p_type", F.lit("|"), "p_brand"))
-        kind = group_id(domain, F.concat(F.lit("t|"), "p_type"))
-        groups = F.explode(F.array(F.struct(brand.alias("node"), F.lit(2).alias("level")),
-                                   F.struct(kind.alias("node"), F.lit(1).alias("level"))))
-        above = self._part.select(
-            leaf_id(domain, F.col("p_partkey")).alias(dom.concept_col), groups.alias("g"))
-        members = cohort.select("person_id", "pasc_flag", "index_date", *by).filter(
+        cfg = self.cfg
+        stacked = domain == STACKED.name
+        dom = STACKED if stacked else DOMAINS[domain]
+        groups = []
+        for name in DOMAINS if stacked else [domain]:
+            leaf, brand, kind, _ = self._ids(name)
+            groups += [F.struct(leaf.alias(dom.concept_col), node.alias("node"),
+                                F.lit(level).alias("level"))
+                       for node, level in ((brand, 2), (kind, 1))]
+        above = self._hashed_part.select(F.explode(F.array(*groups)).alias("g")).select("g.*")
+        by = (*by, "domain") if stacked else by
+        members = cohort.select("person_id", "pasc_flag", "index_date",
+                                *[c for c in by if c != "domain"]).filter(
             follow_up_possible("index_date", cfg.max_date, cfg.follow_months))
-        pairs = (self.events(domain).select("person_id", "visit_occurrence_id", dom.concept_col)
+        pairs = (self.events(domain).select("person_id", "visit_occurrence_id", dom.concept_col,
+                                            *[c for c in by if c == "domain"])
                  .join(members, "person_id")
                  .join(self.visits.select("visit_occurrence_id", "visit_start_date"),
                        "visit_occurrence_id")
                  .filter(in_follow_up("visit_start_date", "index_date", cfg.days_delta,
                                       cfg.follow_months))
                  .join(above, dom.concept_col)
-                 .select(*by, "person_id", "pasc_flag", "g.node", "g.level").distinct())
+                 .select(*by, "person_id", "pasc_flag", "node", "level").distinct())
         share = F.col("cases") / F.col("persons")
         return (pairs.groupBy(*by, "node", "level")
                 .agg(F.count("*").alias("persons"), F.sum("pasc_flag").alias("cases"))

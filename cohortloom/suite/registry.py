@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.config import DOMAINS, UTIL_LOCATIONS, WINDOWS
 from cohortloom.functions import labels
-from cohortloom.functions.distributed import checkpoint_folder, durable, union_all
+from cohortloom.functions.distributed import checkpoint_folder, durable
 from cohortloom.operators import (assemble, audit, codesets, cohort, deid, events, hierarchy,
                                   metrics, train, windows)
 from cohortloom.sources import files, schemas
@@ -537,7 +537,7 @@ GROUP BY split, concept_id"""
 
 @query("node_counts_by_fold", "\nUNION ALL\n".join(_fold_counts_sql(d) for d in DOMAINS))
 def node_counts_by_fold(s: Study) -> DataFrame:
-    return union_all([s.counts_by_fold(d).withColumn("domain", F.lit(d)) for d in DOMAINS])
+    return s.counts_by_fold("stacked")
 
 
 @query("expand_cuts", """

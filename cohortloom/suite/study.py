@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.config import DOMAINS, CutThreshold
+from cohortloom.config import DOMAINS, STACKED, CutThreshold
 from cohortloom.functions.distributed import stored
 from cohortloom.operators import assemble, cohort, events, hierarchy, windows
 from cohortloom.session import configure
@@ -17,6 +17,10 @@ from cohortloom.sources.star_mapping import PROMO_NODE, STAR_CONFIG, StarTables
 TYPE_THRESHOLD = CutThreshold(1, 1, p_value=1.0, p_op="<=")
 
 
+def domain_of(name: str):
+    return STACKED if name == STACKED.name else DOMAINS[name]
+
+
 class Study:
     """Cohort funnel, trees, cuts, features and event sets; nothing runs until used."""
 
@@ -70,8 +74,9 @@ class Study:
         return hierarchy.make_tree(self.cdm.concept, self.cdm.concept_ancestor, DOMAINS[domain])
 
     def tree(self, domain: str) -> DataFrame:
-        return hierarchy.make_tree(self.cdm.concept, self.cdm.concept_ancestor, DOMAINS[domain],
-                                   PROMO_NODE if domain == "cond" else None)
+        prune = PROMO_NODE if domain in ("cond", STACKED.name) else None
+        return hierarchy.make_tree(self.cdm.concept, self.cdm.concept_ancestor,
+                                   domain_of(domain), prune)
 
     def nodes(self, domain: str) -> DataFrame:
         return hierarchy.tree_nodes(self.tree(domain))
@@ -84,7 +89,7 @@ class Study:
     def counts_by_fold(self, domain: str) -> DataFrame:
         return hierarchy.node_counts_by_fold(
             self.tree(domain), self.folded, self.cdm.events(domain), self.cdm.visits,
-            DOMAINS[domain], self.cfg.days_delta, self.cfg.follow_months, self.cfg.max_date,
+            domain_of(domain), self.cfg.days_delta, self.cfg.follow_months, self.cfg.max_date,
             self.cfg.folds)
 
     def scan(self, domain: str) -> DataFrame:
@@ -107,10 +112,11 @@ class Study:
     def _features(self, cuts: DataFrame, domain: str, by=(), nodes: DataFrame | None = None):
         return hierarchy.make_features(
             cuts, self.nodes(domain) if nodes is None else nodes, self.cdm.concept,
-            self.cdm.concept_ancestor, DOMAINS[domain], by)
+            self.cdm.concept_ancestor, domain_of(domain), by)
 
     def features(self, domain: str) -> DataFrame:
-        return self._features(self.cuts(domain), domain)
+        by = ("domain",) if domain == STACKED.name else ()
+        return self._features(self.cuts(domain), domain, by)
 
     def fold_features(self, domain: str) -> DataFrame:
         return self._features(self.fold_cuts(domain), domain, ("fold",))
@@ -131,7 +137,7 @@ class Study:
     def feature_long(self, domain: str, features: DataFrame | None = None,
                      ids=windows.IDS, members: DataFrame | None = None) -> DataFrame:
         return windows.feature_long(
-            self.folded if members is None else members, domain,
+            self.folded if members is None else members, domain_of(domain),
             self.features(domain) if features is None else features, self.cdm.events(domain),
             self.cdm.visits, self.cdm.observations, self.cfg.days_delta, cfg=self.cfg, ids=ids)
 
@@ -148,7 +154,7 @@ class Study:
     # model input ------------------------------------------------------------------------
     def blocks(self, ids=windows.COHORT_IDS) -> dict[str, DataFrame]:
         """Long feature blocks of the whole cohort."""
-        return {**{d: self.feature_long(d, ids=ids) for d in DOMAINS},
+        return {STACKED.name: self.feature_long(STACKED.name, ids=ids),
                 "util": windows.util_long(self.util, ids=ids),
                 "lab_cts": windows.lab_count_long(self.lab_cts, ids=ids)}
 
