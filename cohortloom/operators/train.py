@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.config import PhenotypeConfig
-from cohortloom.functions.distributed import checkpoint_folder, durable, union_all
+from cohortloom.functions.distributed import checkpoint_folder, durable, stored, union_all
 from cohortloom.operators.assemble import (common_features, feature_vectors, label3,
                                            vector_layout)
 from cohortloom.operators.metrics import score_binary, score_multiclass
@@ -74,7 +74,7 @@ def fold_vectors(cohort: DataFrame, train_long: DataFrame, test_long: DataFrame,
                  fold: int) -> FoldData:
     """Train and test vectors over the features both sets have."""
     labelled = cohort.withColumn("label", label3().cast("double"))
-    shared = durable(common_features(train_long, test_long))
+    shared = stored(common_features(train_long, test_long))
     domains = train_long.select("domain", "feature_key").distinct()
     flag_keys, count_keys = vector_layout(domains.join(shared, "feature_key", "left_semi"))
     parts = [feature_vectors(members, long, flag_keys, count_keys)

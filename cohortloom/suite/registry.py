@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.config import DOMAINS, UTIL_LOCATIONS, WINDOWS
 from cohortloom.functions import labels
-from cohortloom.functions.distributed import checkpoint_folder, durable
+from cohortloom.functions.distributed import checkpoint_folder, durable, stored
 from cohortloom.operators import (assemble, audit, codesets, cohort, deid, events, hierarchy,
                                   metrics, train, windows)
 from cohortloom.sources import files, schemas
@@ -892,8 +892,8 @@ FROM long_all l JOIN (
     FROM long_all, (SELECT count(*) AS n FROM folded) GROUP BY feature_key, n)) t
   ON t.feature_key = l.feature_key""")
 def zscore(s: Study) -> DataFrame:
-    stats = assemble.feature_stats(s.long, s.folded)
-    return assemble.scale(s.long, stats).withColumn("value", F.round("value", 6))
+    stats = stored(assemble.feature_stats(s.long_table, s.folded))
+    return assemble.scale(s.long_table, stats).withColumn("value", F.round("value", 6))
 
 
 # Metrics -------------------------------------------------------------------------------
@@ -1013,9 +1013,8 @@ _SMALL = replace(STAR_CONFIG, trees=4, tree_depth=3)
 
 
 def _prepared(s: Study) -> Study:
-    """Cohort and feature rows written once before the iterative part."""
-    s.folded = durable(s.folded)
-    s.long = durable(s.long)
+    """The folds written once before the iterative part."""
+    s.folded = stored(s.folded)
     return s
 
 
@@ -1030,7 +1029,7 @@ def train_cv(s: Study) -> DataFrame:
 @query("train_full")
 def train_full(s: Study) -> DataFrame:
     s = _prepared(s)
-    model, scaled, _ = train.train_full(s.folded, s.long, train.random_forest(_SMALL))
+    model, scaled, _ = train.train_full(s.folded, s.long_table, train.random_forest(_SMALL))
     train.save_model(model, f"{checkpoint_folder(s.spark)}/model-{uuid.uuid4().hex}")
     return train.class_probabilities(model.stages[-1].transform(scaled))
 
@@ -1038,9 +1037,9 @@ def train_full(s: Study) -> DataFrame:
 @query("grid_search")
 def grid_search(s: Study) -> DataFrame:
     s = _prepared(s)
-    flag_keys, count_keys = assemble.vector_layout(s.long)
+    flag_keys, count_keys = assemble.vector_layout(s.long_table)
     vectors = durable(assemble.feature_vectors(
-        s.folded.withColumn("label", F.col("pasc_flag").cast("double")), s.long, flag_keys,
-        count_keys))
+        s.folded.withColumn("label", F.col("pasc_flag").cast("double")), s.long_table,
+        flag_keys, count_keys))
     return train.model_eval(LogisticRegression(maxIter=5), vectors,
                             {"regParam": [0.01, 0.1]}, folds=3)

@@ -166,8 +166,13 @@ class Study:
     def labelled(self) -> DataFrame:
         return self.folded.withColumn("label", assemble.label3())
 
+    @cached_property
+    def long_table(self) -> DataFrame:
+        """Feature rows written once, for steps that read them several times."""
+        return stored(self.long)
+
     def split(self, fold: int) -> tuple[DataFrame, DataFrame]:
         """Train and test feature rows of a fold, from one long table."""
-        of = self.long.join(self.folded.select("person_id", F.col("fold")), "person_id")
+        of = self.long_table.join(self.folded.select("person_id", F.col("fold")), "person_id")
         return (of.filter(F.col("fold") != fold).drop("fold"),
                 of.filter(F.col("fold") == fold).drop("fold"))
