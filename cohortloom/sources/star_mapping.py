@@ -234,6 +234,12 @@ class StarTables:
                 .withColumn("brand_hash", hash32(F.col("brand_key")))
                 .withColumn("type_hash", hash32(F.col("type_key"))))
 
+    @cached_property
+    def _hashed_groups(self) -> DataFrame:
+        """One row per (type, brand); as many as the catalogue has groups."""
+        return self._hashed_part.select("p_type", "p_brand", "brand_key", "type_key",
+                                        "brand_hash", "type_hash").distinct()
+
     @staticmethod
     def _ids(name: str) -> tuple[Column, Column, Column, Column]:
         """(leaf, brand group, type group, root) ids of a domain over hashed parts."""
@@ -245,55 +251,60 @@ class StarTables:
     def concept(self) -> DataFrame:
         """Leaf, brand group, type group and root of every domain, and source codes.
 
-        Every part emits its own rows and its groups' rows; groups repeat and
-        collapse on the map side.  Some source codes are invalid, some occur in
-        two vocabularies.
+        Some source codes are invalid, some occur in two vocabularies.
         """
-        rows = []
-
-        def add(concept_id, name, code, vocabulary, domain_id, kind, reason=None):
+        def row(concept_id, name, code, vocabulary, domain_id, kind, reason=None):
             reason = F.lit(None).cast("string") if reason is None else reason
-            rows.append(F.struct(
+            return F.struct(
                 concept_id.cast("long").alias("concept_id"), name.alias("concept_name"),
                 code.alias("concept_code"), vocabulary.alias("vocabulary_id"),
                 F.lit(domain_id).alias("domain_id"), F.lit(kind).alias("concept_class_id"),
-                reason.alias("invalid_reason")))
+                reason.alias("invalid_reason"))
 
         part_text = F.col("p_partkey").cast("string")
+        leaves, groups = [], []
         for domain in DOMAINS.values():
             leaf, brand, kind, root = self._ids(domain.name)
             top = F.lit(domain.vocabularies[-1])
             mixed = F.get(F.array(*[F.lit(v) for v in domain.vocabularies]),
                           (F.col("p_partkey") % len(domain.vocabularies)).cast("int"))
-            add(leaf, F.col("p_name"), F.concat(F.lit("P"), part_text), mixed,
-                domain.domain_id, "Leaf")
-            add(brand, F.concat("p_type", F.lit("_"), "p_brand"), F.col("brand_key"), top,
-                domain.domain_id, "Ingredient" if domain.name == "drug" else "Group")
-            add(kind, F.col("p_type"), F.col("type_key"), top, domain.domain_id, "Group")
-            add(root, F.lit(f"All {domain.domain_id}"), F.lit("root"), top,
-                domain.domain_id, "Root")
+            leaves.append(row(leaf, F.col("p_name"), F.concat(F.lit("P"), part_text), mixed,
+                              domain.domain_id, "Leaf"))
+            groups += [
+                row(brand, F.concat("p_type", F.lit("_"), "p_brand"), F.col("brand_key"), top,
+                    domain.domain_id, "Ingredient" if domain.name == "drug" else "Group"),
+                row(kind, F.col("p_type"), F.col("type_key"), top, domain.domain_id, "Group"),
+                row(root, F.lit(f"All {domain.domain_id}"), F.lit("root"), top,
+                    domain.domain_id, "Root")]
         size = F.col("p_size")
         for number, vocabulary, present in (
                 (SOURCE_NUMBER, "ICD10CM", F.lit(True)),
                 (SOURCE_10_NUMBER, "ICD10", size % 5 == 1)):
             source = F.when(present, F.col("p_partkey") + F.lit(number * ID_RANGE + 1))
-            add(source, F.concat(F.lit("src "), "p_name"), F.concat(F.lit("S"), part_text),
-                F.lit(vocabulary), "Condition", "Code", F.when(size % 10 == 0, "D"))
-        return (self._hashed_part.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
-                .filter(F.col("concept_id").isNotNull()).distinct())
+            leaves.append(row(source, F.concat(F.lit("src "), "p_name"),
+                              F.concat(F.lit("S"), part_text), F.lit(vocabulary), "Condition",
+                              "Code", F.when(size % 10 == 0, "D")))
+        below = (self._part.select(F.explode(F.array(*leaves)).alias("r")).select("r.*")
+                 .filter(F.col("concept_id").isNotNull()))
+        above = (self._hashed_groups.select(F.explode(F.array(*groups)).alias("r"))
+                 .select("r.*").distinct())
+        return below.unionByName(above)
 
     @cached_property
     def concept_ancestor(self) -> DataFrame:
         """Closure root - type - (type, brand) - part, self rows included."""
-        rows = []
-        for name in DOMAINS:
-            path = self._ids(name)
-            rows += [F.struct(path[above].cast("long").alias("ancestor_concept_id"),
-                              path[below].cast("long").alias("descendant_concept_id"),
-                              F.lit(above - below).alias("min_levels_of_separation"))
-                     for below in range(4) for above in range(below, 4)]
-        return (self._hashed_part.select(F.explode(F.array(*rows)).alias("r"))
-                .select("r.*").distinct())
+        def row(path, below, above):
+            return F.struct(path[above].cast("long").alias("ancestor_concept_id"),
+                            path[below].cast("long").alias("descendant_concept_id"),
+                            F.lit(above - below).alias("min_levels_of_separation"))
+
+        paths = [self._ids(name) for name in DOMAINS]
+        leaves = [row(p, 0, above) for p in paths for above in range(4)]
+        groups = [row(p, below, above) for p in paths
+                  for below in range(1, 4) for above in range(below, 4)]
+        return (self._hashed_part.select(F.explode(F.array(*leaves)).alias("r")).select("r.*")
+                .unionByName(self._hashed_groups.select(F.explode(F.array(*groups)).alias("r"))
+                             .select("r.*").distinct()))
 
     @cached_property
     def concept_relationship(self) -> DataFrame:
