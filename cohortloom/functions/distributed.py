@@ -64,7 +64,10 @@ def sorted_partitions(df: DataFrame, order: Sequence) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark a side for broadcast only after counting it; leave it alone beyond that."""
+    """Mark a side for broadcast only after counting it; leave it alone beyond that.
+
+    Give it a frame that is cheap to read twice, such as a stored one.
+    """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 

@@ -8,7 +8,8 @@ from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.functions.distributed import bounded_values, broadcast_if_small, union_all
+from cohortloom.functions.distributed import (bounded_values, broadcast_if_small, stored,
+                                               union_all)
 
 # Feature blocks with counts rather than 0/1 flags; their column sets are closed.
 COUNT_DOMAINS = ("util", "lab_cts")
@@ -18,30 +19,32 @@ ONE_HOT = {"site": "site", "sex": "sex_cat", "eth": "eth_cat",
            "cohort_entry": "cohort_entry_period"}
 
 
-def one_hot_demo(cohort: DataFrame) -> DataFrame:
+def one_hot_demo(cohort: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """(person, key, value) rows for every demographic level and the entry age.
 
-    All levels are kept; a null gives no row.
+    All levels are kept; a null gives no row.  ``carry`` names cohort columns to keep.
     """
     flags = [F.struct(F.concat(F.lit(prefix + "_"), F.col(col)).alias("feature_key"),
                       F.lit(1.0).alias("value")) for prefix, col in ONE_HOT.items()]
     age = F.struct(F.lit(AGE_KEY).alias("feature_key"),
                    F.col("entry_age").cast("double").alias("value"))
-    return (cohort.select("person_id", F.explode(F.array(*flags, age)).alias("f"))
-            .select("person_id", "f.feature_key", "f.value")
+    return (cohort.select("person_id", *carry, F.explode(F.array(*flags, age)).alias("f"))
+            .select("person_id", *carry, "f.feature_key", "f.value")
             .filter(F.col("feature_key").isNotNull() & F.col("value").isNotNull()))
 
 
-def assemble_long(cohort: DataFrame, blocks: Mapping[str, DataFrame]) -> DataFrame:
+def assemble_long(cohort: DataFrame, blocks: Mapping[str, DataFrame],
+                  carry: Sequence[str] = ()) -> DataFrame:
     """(person, domain, key, value) of demographics and all feature blocks.
 
     Every block covers the whole cohort, absent rows being zeros, so the inner
     merge of blocks on person is a union here.  A stacked block brings its own
-    ``domain`` column.
+    ``domain`` column, and ``carry`` names cohort columns all blocks have kept,
+    such as the fold, so that none has to be joined back.
     """
-    parts = {"demo": one_hot_demo(cohort), **blocks}
+    parts = {"demo": one_hot_demo(cohort, carry), **blocks}
     return union_all([
-        df.select("person_id",
+        df.select("person_id", *carry,
                   (F.col("domain") if "domain" in df.columns else F.lit(name)).alias("domain"),
                   "feature_key", F.col("value").cast("double").alias("value"))
         for name, df in parts.items()])
@@ -55,7 +58,7 @@ def common_features(train: DataFrame, test: DataFrame) -> DataFrame:
 
 def drop_diff(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sets restricted to their common features."""
-    shared = broadcast_if_small(common_features(train, test))
+    shared = broadcast_if_small(stored(common_features(train, test)))
     return (train.join(shared, "feature_key", "left_semi"),
             test.join(shared, "feature_key", "left_semi"))
 
@@ -82,7 +85,8 @@ def feature_stats(long: DataFrame, persons: DataFrame) -> DataFrame:
 def scale(long: DataFrame, stats: DataFrame) -> DataFrame:
     """z-scores of the stored (non-zero) entries; ``zero_value`` of the statistics is the rest.
 
-    The statistics hold one row per feature and are broadcast once counted as small.
+    The statistics hold one row per feature and are broadcast once counted as
+    small; store them first, as they are read for the count and for the join.
     """
     return (long.join(broadcast_if_small(stats), "feature_key")
             .withColumn("value", (F.col("value") - F.col("mean")) / F.col("sd"))

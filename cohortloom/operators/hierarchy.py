@@ -112,19 +112,26 @@ def follow_up_events(cohort: DataFrame, events: DataFrame, visits: DataFrame, do
             .withColumnRenamed(domain.concept_col, "node_concept_id"))
 
 
-def _person_nodes(tree: DataFrame, cohort: DataFrame, events: DataFrame, visits: DataFrame,
-                  domain: Domain, days_delta: int, follow_months: int, max_date: date,
-                  *extra: str) -> DataFrame:
-    """Distinct (person, node): the pre-aggregate that keeps a frequent node spread out."""
+def _person_nodes(cohort: DataFrame, events: DataFrame, visits: DataFrame, domain: Domain,
+                  days_delta: int, follow_months: int, max_date: date, *extra: str) -> DataFrame:
+    """Distinct (person, concept): the pre-aggregate that keeps a frequent concept spread out."""
     by = _by_domain(domain)
-    nodes = tree_nodes(tree).select(*by, F.col("node_concept_id").alias(domain.concept_col))
-    known = (events.select(*by, "person_id", "visit_occurrence_id", domain.concept_col)
-             .join(nodes, [*by, domain.concept_col], "left_semi"))
+    seen = events.select(*by, "person_id", "visit_occurrence_id", domain.concept_col)
     followed = cohort.select("person_id", "index_date", "pasc_flag", *extra)
-    return (follow_up_events(followed, known, visits, domain, days_delta, follow_months, max_date)
+    return (follow_up_events(followed, seen, visits, domain, days_delta, follow_months, max_date)
             .select(*by, "person_id", "pasc_flag", "node_concept_id", *extra).distinct())
 
 
+def _only_nodes(counts: DataFrame, tree: DataFrame, domain: Domain) -> DataFrame:
+    """Keep counted concepts that are tree nodes.
+
+    The test runs on one row per concept, after counting, so the event table
+    is never shuffled by concept.
+    """
+    keys = [*_by_domain(domain), "node_concept_id"]
+    return counts.join(tree_nodes(tree).select(*keys), keys, "left_semi")
+
+
 def _count_columns(case, total) -> list:
     return [total.alias("pop_count"), case.alias("case_count"),
             (total - case).alias("control_count")]
@@ -134,12 +141,11 @@ def node_counts(tree: DataFrame, cohort: DataFrame, events: DataFrame, visits: D
                 domain: Domain, days_delta: int, follow_months: int,
                 max_date: date) -> DataFrame:
     """Distinct persons per exact node, split into cases and controls."""
-    pairs = _person_nodes(tree, cohort, events, visits, domain, days_delta, follow_months,
-                          max_date)
+    pairs = _person_nodes(cohort, events, visits, domain, days_delta, follow_months, max_date)
     cases = F.sum("pasc_flag").cast("long")
     by = _by_domain(domain)
-    return (pairs.groupBy(*by, "node_concept_id")
-            .agg(*_count_columns(cases, F.count("*")))
+    counts = pairs.groupBy(*by, "node_concept_id").agg(*_count_columns(cases, F.count("*")))
+    return (_only_nodes(counts, tree, domain)
             .select(*by, F.col("node_concept_id").alias("node"), "node_concept_id",
                     "pop_count", "case_count", "control_count"))
 
@@ -161,8 +167,8 @@ def node_counts_by_fold(tree: DataFrame, cohort: DataFrame, events: DataFrame,
     A training set is everyone minus one fold, so its counts are the node total
     minus the fold's own counts; no event row is copied per fold.
     """
-    pairs = _person_nodes(tree, cohort, events, visits, domain, days_delta, follow_months,
-                          max_date, "fold")
+    pairs = _person_nodes(cohort, events, visits, domain, days_delta, follow_months, max_date,
+                          "fold")
     own, by = F.col("fold"), _by_domain(domain)
     per_node = pairs.groupBy(*by, "node_concept_id").agg(
         F.count("*").alias("pop"), F.sum("pasc_flag").cast("long").alias("cases"),
@@ -175,7 +181,8 @@ def node_counts_by_fold(tree: DataFrame, cohort: DataFrame, events: DataFrame,
                         (F.col("pop") - F.col(f"pop_{i}")).alias("pop"),
                         (F.col("cases") - F.col(f"cases_{i}")).alias("cases"))
                for i in range(1, folds + 1)]
-    return (per_node.select(*by, "node_concept_id", F.explode(F.array(*splits)).alias("s"))
+    return (_only_nodes(per_node, tree, domain)
+            .select(*by, "node_concept_id", F.explode(F.array(*splits)).alias("s"))
             .filter("s.pop > 0")
             .select(*by, F.col("s.split").alias("split"), F.col("node_concept_id").alias("node"),
                     "node_concept_id",

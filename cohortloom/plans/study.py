@@ -31,7 +31,8 @@ def build_cohort(catalog: TableCatalog, cfg: PhenotypeConfig, rules_path: str,
     made = catalog.compute_new(cohorts.make_cohort(
         catalog.cdm_tbl("observation_derivation"), catalog.cdm_tbl("condition_occurrence"),
         visits, rules, cfg.max_date, cfg), "cohort_labelled")
-    followed = cohorts.filter_visits(made, visits, cfg.n_visits)
+    followed = catalog.compute_new(cohorts.filter_visits(made, visits, cfg.n_visits),
+                                   "cohort_followed")
     moved = cohorts.impute_dates(followed, cfg.min_window, cfg.max_window, cfg.impute_seed)
     aged = cohorts.join_cohort_demo(moved, catalog.cdm_tbl("person"), cfg)
     clipped = cohorts.filter_dates(aged, cfg.min_date, cfg.max_date)
@@ -108,18 +109,20 @@ def build_features(catalog: TableCatalog, cfg: PhenotypeConfig, cuts: DataFrame,
         cuts, nodes, catalog.vocabulary_tbl("concept"),
         catalog.vocabulary_tbl("concept_ancestor"), STACKED, by=("domain", "split")), "features")
     distinct = features.drop("split").distinct()
+    ids = (*windows.COHORT_IDS, "fold")
     coded = windows.feature_long(
         cohort, STACKED, distinct, stacked_events(catalog), visits,
-        catalog.cdm_tbl("observation_derivation"), cfg.days_delta, cfg=cfg)
+        catalog.cdm_tbl("observation_derivation"), cfg.days_delta, cfg=cfg, ids=ids)
     util = windows.util_long(
         events.get_util(cohort, visits, catalog.cdm_tbl("adt_occurrence"), cfg.days_delta, cfg),
-        windows=cfg.windows, ids=windows.COHORT_IDS)
+        windows=cfg.windows, ids=ids)
     labs = windows.lab_count_long(
         events.get_lab_cts(cohort, catalog.cdm_tbl("measurement_labs"), visits, cfg.days_delta),
-        windows=cfg.windows, ids=windows.COHORT_IDS)
+        windows=cfg.windows, ids=ids)
     long = catalog.output_tbl(
-        assemble.assemble_long(cohort, {STACKED.name: coded, "util": util, "lab_cts": labs}),
-        "features_long", partition_by=["domain"])
+        assemble.assemble_long(cohort, {STACKED.name: coded, "util": util, "lab_cts": labs},
+                               ("fold",)),
+        "features_long", partition_by=["fold", "domain"])
     labels = nodes.drop("domain").distinct()
     return {"cuts": cuts, "overlap": catalog.output_tbl(overlap, "cut_overlap"),
             "features": features, "long": long,
@@ -146,12 +149,10 @@ def train_model(catalog: TableCatalog, cfg: PhenotypeConfig, model_path: str,
     """Cross-validated predictions and metrics, then the fit on everybody."""
     estimator = train.boosted_trees(cfg) if estimator is None else estimator
     cohort = catalog.results_tbl("cohort")
-    owner = cohort.select("person_id", "fold")
     longs = {}
     for fold in range(1, cfg.folds + 1):
-        rows = split_rows(catalog, str(fold)).join(owner, "person_id")
-        longs[fold] = (rows.filter(F.col("fold") != fold).drop("fold"),
-                       rows.filter(F.col("fold") == fold).drop("fold"))
+        rows = split_rows(catalog, str(fold))  # stored by fold, so each filter prunes folders
+        longs[fold] = (cohorts.fold_train(rows, fold), cohorts.fold_test(rows, fold))
     predictions = catalog.output_tbl(train.train_cv(cohort, longs, estimator, cfg),
                                      "predictions")
     metrics = catalog.output_tbl(train.cv_metrics(predictions, cfg.thresholds), "cv_metrics")

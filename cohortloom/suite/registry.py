@@ -748,6 +748,9 @@ UNION ALL SELECT 3, 'age', count(DISTINCT person_id), count(*) FROM demo
 UNION ALL SELECT 4, 'study period', count(DISTINCT person_id), count(*) FROM dated
 UNION ALL SELECT 5, 'entry period', count(DISTINCT person_id), count(*) FROM study""")
 def attrition(s: Study) -> DataFrame:
+    # Each step reads the one before from storage instead of recomputing it.
+    s.adjusted = stored(s.adjusted)
+    s.followed = stored(s.followed)
     return audit.attrition({"cohort": s.adjusted, "follow-up visits": s.followed,
                             "age": s.demo, "study period": s.dated, "entry period": s.cohort})
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cohortloom.config import DOMAINS, STACKED, CutThreshold
 from cohortloom.functions.distributed import stored
@@ -162,6 +161,12 @@ class Study:
     def long(self) -> DataFrame:
         return assemble.assemble_long(self.folded, self.blocks())
 
+    @cached_property
+    def fold_long_table(self) -> DataFrame:
+        """Stored feature rows that carry the fold."""
+        ids = ("person_id", "fold")
+        return stored(assemble.assemble_long(self.folded, self.blocks(ids), ("fold",)))
+
     @cached_property
     def labelled(self) -> DataFrame:
         return self.folded.withColumn("label", assemble.label3())
@@ -173,6 +178,6 @@ class Study:
 
     def split(self, fold: int) -> tuple[DataFrame, DataFrame]:
         """Train and test feature rows of a fold, from one long table."""
-        of = self.long_table.join(self.folded.select("person_id", F.col("fold")), "person_id")
-        return (of.filter(F.col("fold") != fold).drop("fold"),
-                of.filter(F.col("fold") == fold).drop("fold"))
+        of = self.fold_long_table
+        return (cohort.fold_train(of, fold).drop("fold"),
+                cohort.fold_test(of, fold).drop("fold"))
