@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from cohortloom.config import PhenotypeConfig
 from cohortloom.functions.dates import age_in_years, follow_up_possible, month_period
-from cohortloom.functions.hashing import hex_to_long, seeded_digest, uniform_int
+from cohortloom.functions.hashing import seeded_digest, uniform_int
 
 # Label texts of the cohort table and actions of the rule table.
 TYPE_A, TYPE_B = "pasc", "misc"

@@ -99,7 +99,8 @@ class TableCatalog:
             folder = self.local_csv_folder if local else self.csv_folder
             if folder is None:
                 raise ValueError(f"mode {self.mode} needs a CSV folder")
-            write_csv(out, f"{folder.rstrip('/')}/{self.intermed_name(name, results_tag, local)}.csv")
+            logical = self.intermed_name(name, results_tag, local)
+            write_csv(out, f"{folder.rstrip('/')}/{logical}.csv")
         return out
 
     def copy_to_new(self, rows, name: str, schema=None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from cohortloom.config import DOMAINS, WINDOWS
 from cohortloom.sources.star_mapping import (DOMAIN_NUMBER, GROUPS, ID_RANGE, PROMO_NODE, ROOT,
                                              SOURCE_10_NUMBER, SOURCE_NUMBER, STAR_CONFIG)
@@ -448,7 +450,6 @@ VIEWS = _views()
 
 def _needed(sql: str) -> list[str]:
     """Views the statement uses, directly or through others, in definition order."""
-    import re
     seen: set[str] = set()
     todo = [sql]
     while todo:

@@ -17,7 +17,7 @@ from cohortloom.operators import (assemble, audit, codesets, cohort, deid, event
                                   metrics, train, windows)
 from cohortloom.sources import files, schemas
 from cohortloom.sources.star_mapping import (BRANDS, PROMO_NODE, STAR_CONFIG, TYPES, group_id_of)
-from cohortloom.suite.oracle_views import MAX_DATE, h32, months, window_case, with_views
+from cohortloom.suite.oracle_views import MAX_DATE, months, window_case, with_views
 from cohortloom.suite.study import Study
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -90,7 +90,8 @@ def test_vectors_hold_flags_counts_and_empty_persons(spark):
                                    "person_id long, label double, fold int")
     long = spark.createDataFrame(
         [(1, "cond", "w_1", 1.0), (1, "util", "ED_w", 3.0), (2, "cond", "w_2", 1.0),
-         (9, "cond", "w_1", 1.0)], "person_id long, domain string, feature_key string, value double")
+         (9, "cond", "w_1", 1.0)],
+        "person_id long, domain string, feature_key string, value double")
     flags, counts = assemble.vector_layout(long)
     assert (flags, counts) == (["w_1", "w_2"], ["ED_w"])
     got = {r.person_id: (r.label, r.fold, r.features.toArray().tolist())

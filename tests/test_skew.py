@@ -2,11 +2,10 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.ml.classification import LogisticRegression
 
-from cohortloom.config import PhenotypeConfig
+from cohortloom.config import DOMAINS, PhenotypeConfig
 from cohortloom.operators import assemble, events, hierarchy, train, windows
-from cohortloom.config import DOMAINS
-from pyspark.ml.classification import LogisticRegression
 from tests.conftest import day, rows
 
 ROWS, HOT = 300_000, 0
