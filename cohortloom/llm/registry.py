@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cohortloom.llm import quality_rules, simhash
+from cohortloom.llm import mixing, quality_rules, sharding, simhash
 
-_MODULES = (quality_rules, simhash)
+_MODULES = (simhash, mixing, sharding, quality_rules)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
