@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions.distributed import stored
 
-__all__ = ["SPACE", "bind", "bytes_of", "components", "connect", "documents", "held_out",
+__all__ = ["SPACE", "bind", "bytes_of", "components", "connect", "discard",
+           "documents", "held_out",
            "partitions_for", "stored", "utf8", "words_of"]
 
 # The blanks that separate words (space, tab to carriage return).
@@ -22,6 +23,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
