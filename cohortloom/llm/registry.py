@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-from cohortloom.llm import bpe, mixing, quality_rules, sharding, simhash, suffix_dedup
+from cohortloom.llm import (
+    bpe,
+    mixing,
+    quality_model,
+    quality_rules,
+    sharding,
+    simhash,
+    suffix_dedup,
+    toxicity,
+)
 
-_MODULES = (suffix_dedup, simhash, mixing, sharding, bpe, quality_rules)
+_MODULES = (toxicity, suffix_dedup, quality_model, simhash, mixing, sharding, bpe, quality_rules)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
