@@ -77,10 +77,12 @@ def _constant(j: int) -> int:
 
 def bands(hashes: Column) -> Column:
     """(band, shingle): under each permutation, the shingle that comes first."""
-    return F.array(*[F.struct(
-        F.lit(j).alias("band"),
-        F.array_min(F.transform(hashes, lambda x, c=_constant(j): x.bitwiseXOR(F.lit(c))))
-        .bitwiseXOR(F.lit(_constant(j))).alias("shingle")) for j in range(BANDS)])
+    def first(j: int) -> Column:
+        mask = F.lit(_constant(j))
+        return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(mask))).bitwiseXOR(mask)
+
+    return F.array(*[F.struct(F.lit(j).alias("band"), first(j).alias("shingle"))
+                     for j in range(BANDS)])
 
 
 def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:

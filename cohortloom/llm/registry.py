@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from cohortloom.llm import (
     bpe,
+    embedding_dedup,
+    licenses,
     mixing,
     quality_model,
     quality_rules,
@@ -13,7 +15,8 @@ from cohortloom.llm import (
     toxicity,
 )
 
-_MODULES = (toxicity, suffix_dedup, quality_model, simhash, mixing, sharding, bpe, quality_rules)
+_MODULES = (licenses, toxicity, embedding_dedup, suffix_dedup, quality_model, simhash, mixing,
+            sharding, bpe, quality_rules)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}

@@ -66,19 +66,26 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, bytes of a text, gives way to the fingerprint."""
     for batch in batches:
-        texts = batch.column("text")
+        texts = batch.column(batch.num_columns - 1)
         got = [fingerprint(t.as_buffer().to_pybytes()) if t.is_valid else 0 for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(got, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got, pa.int64())],
+                                         [*batch.schema.names[:-1], "fp"])
+
+
+def with_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of ``docs`` and ``fp``; a column of this name is replaced."""
+    names = [c for c in docs.columns if c != "fp"]
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in names)
+    return docs.select(*names, F.col(text).cast("string").cast("binary").alias("_body")).mapInArrow(
+        _fingerprints, schema + "fp bigint")
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp) for every row."""
-    picked = docs.select(F.col(doc_id).alias("doc_id"),
-                         F.col(text).cast("string").cast("binary").alias("text"))
-    kind = picked.schema["doc_id"].dataType.simpleString()
-    return picked.mapInArrow(_fingerprints, f"doc_id {kind}, fp bigint")
+    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    return with_fingerprint(picked, "_text").select("doc_id", "fp")
 
 
 def _unpack(fps: np.ndarray) -> np.ndarray:
@@ -289,20 +296,36 @@ def simhash_links(fps: DataFrame, tau: int = TAU,
             .mapInArrow(lambda it: _spans(it, tau), "a bigint, b bigint"))
 
 
-def simhash_groups(docs: DataFrame, tau: int = TAU,
-                   max_bucket: int = MAX_BUCKET, doc_id: str = "doc_id",
-                   text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): the smallest id of each document's group."""
-    rows = stored(fingerprints(docs, doc_id, text))
+def _named(rows: DataFrame, tau: int, max_bucket: int) -> DataFrame:
+    """(fp, low, root): the smallest id of each fingerprint and the name of its group."""
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
     star = connect(simhash_links(distinct.select("fp"), tau, max_bucket))
-    named = distinct.join(star, distinct["fp"] == star["node"], "left").select(
+    return distinct.join(star, distinct["fp"] == star["node"], "left").select(
         "fp", "low", F.coalesce("component", "fp").alias("root"))
+
+
+def simhash_groups(docs: DataFrame, tau: int = TAU, max_bucket: int = MAX_BUCKET,
+                   doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id): the smallest id of each document's group."""
+    rows = stored(fingerprints(docs, doc_id, text))
+    named = _named(rows, tau, max_bucket)
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     return rows.join(named.join(lows, "root").select("fp", "component_id"), "fp").select(
         "doc_id", "fp", "component_id")
 
 
+def one_of_each_group(docs: DataFrame, tau: int = TAU, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """The row with the smallest id of each group (of rows that repeat it, any one)."""
+    named = _named(stored(fingerprints(docs)), tau, max_bucket)
+    first = F.struct(F.col("low").isNull(), "low", "fp")
+    keep = stored(named.groupBy("root").agg(F.min(first).alias("k")).select(
+        F.col("k.low").alias("_id"), F.col("k.fp").alias("_fp")))
+    rows = with_fingerprint(docs)
+    kept = rows.join(keep, rows["doc_id"].eqNullSafe(keep["_id"]) & (rows["fp"] == keep["_fp"]),
+                     "left_semi")
+    return kept.dropDuplicates(["doc_id", "fp"]).drop("fp")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(documents(spark, sf_dir))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
