@@ -12,10 +12,8 @@
    number of partitions that is cheapest.
 4. Probing.  A fingerprint's keys are its partition with every choice of ``t_i``
    bits masked out.  Keys met by one fingerprint only vanish.  A key with more
-   than ``max_bucket`` fingerprints is refined: its members agree outside the
-   mask on that partition, so the pigeonhole principle applies again to the bits
-   left, and the rows go on with longer keys.  Buckets are thus bounded
-   without leaving out a pair.
+   than ``max_bucket`` fingerprints is dealt into chunks, and every two chunks are a
+   bucket: a task holds a bounded number of fingerprints, and no pair is left out.
 5. Each bucket is searched exactly, and returns links that span the groups it
    finds instead of all pairs.  Components are joined over all buckets.
 
@@ -222,7 +220,7 @@ def _spans(batches: Iterator[pa.RecordBatch], tau: int) -> Iterator[pa.RecordBat
             links.extend(span(np.concatenate(held), tau))
 
     for batch in batches:
-        keys = list(zip(*(batch.column(c).to_pylist() for c in ("part", "mask", "key", "more"))))
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("part", "mask", "key", "pair"))))
         fps = batch.column("fp").to_numpy(zero_copy_only=False)
         cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
         for a, b in zip(cuts, cuts[1:]):
@@ -243,11 +241,11 @@ def _link_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
         [pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-KEY = ["part", "mask", "key", "more"]
+KEY = ["part", "mask", "key"]
 
 
 def _keys(fps: DataFrame, groups: list[list[int]], thresholds: list[int]) -> DataFrame:
-    """A row for each fingerprint and key; masks with the bits that a key fixes."""
+    """A row for each fingerprint and key; masks hold the bits that a key fixes."""
     choices = []
     for i, (group, t) in enumerate(zip(groups, thresholds)):
         for out in combinations(group, t) if t >= 0 else ():
@@ -255,44 +253,31 @@ def _keys(fps: DataFrame, groups: list[list[int]], thresholds: list[int]) -> Dat
             choices.append(F.struct(F.lit(i).alias("part"), F.lit(fixed).alias("mask")))
     return (fps.select("fp", F.explode(F.array(*choices)).alias("c"))
             .select("c.part", "c.mask", F.col("fp").bitwiseAND(F.col("c.mask")).alias("key"),
-                    F.lit("").alias("more"), "fp"))
-
-
-def _refine(rows: DataFrame, tau: int) -> DataFrame:
-    """Longer keys: the bits that a key leaves open are dealt into tau + 1 groups,
-    one of which two linked fingerprints share."""
-    open_bits = F.expr(f"filter(sequence(0, {BITS - 1}), b -> getbit(mask, b) = 0)")
-    dealt = rows.withColumn("_open", open_bits).filter(F.size("_open") > 0)
-    dealt = dealt.withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(tau))))
-    new = F.expr(f"""aggregate(filter(_open, (b, i) -> i % {tau + 1} = _g), 0L,
-                     (a, b) -> a | shiftleft(1L, b))""")
-    return (dealt.withColumn("_new", F.col("mask").bitwiseOR(new))
-            .select("part", F.col("_new").alias("mask"),
-                    F.col("fp").bitwiseAND(F.col("_new")).alias("key"),
-                    F.concat("more", F.lit("/"), F.col("mask").cast("string")).alias("more"),
                     "fp"))
 
 
 def candidate_buckets(fps: DataFrame, groups: list[list[int]], thresholds: list[int],
-                      tau: int = TAU, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """Rows of buckets with 2 to ``max_bucket`` fingerprints; larger ones are refined."""
-    rows, done = _keys(fps, groups, thresholds), None
-    while True:
-        sizes = rows.groupBy(*KEY).agg(F.count("*").alias("n")).filter("n > 1")
-        rows = stored(rows.join(sizes, KEY))
-        fit = rows.filter(F.col("n") <= max_bucket).drop("n")
-        done = fit if done is None else done.unionByName(fit)
-        large = rows.filter(F.col("n") > max_bucket).drop("n")
-        if large.isEmpty():
-            return done
-        rows = _refine(large, tau)
+                      max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """Rows of buckets with at least two fingerprints.
+
+    A bucket of more than ``max_bucket`` is dealt into k chunks by hash, and every two
+    chunks make a bucket of their own: each pair of members still meets somewhere.
+    """
+    rows = _keys(fps, groups, thresholds)
+    sizes = rows.groupBy(*KEY).agg(F.count("*").alias("n")).filter("n > 1")
+    rows = rows.join(sizes, KEY).withColumn("_k", F.ceil(F.col("n") / max_bucket).cast("int"))
+    chunk = F.pmod(F.hash("fp"), F.col("_k"))
+    pairs = F.when(F.col("_k") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.transform(
+        F.sequence(F.lit(0), F.col("_k") - 1),
+        lambda j: F.least(j, chunk).cast("long") * F.col("_k") + F.greatest(j, chunk)))
+    return rows.withColumn("pair", F.explode(pairs)).select(*KEY, "pair", "fp")
 
 
 def simhash_links(fps: DataFrame, tau: int = TAU,
                   max_bucket: int = MAX_BUCKET) -> DataFrame:
     """Links (a, b) between distinct fingerprints that span every group."""
-    buckets = candidate_buckets(fps, *plan(fps, tau), tau, max_bucket)
-    return (buckets.repartition(*KEY).sortWithinPartitions(*KEY)
+    buckets = candidate_buckets(fps, *plan(fps, tau), max_bucket)
+    return (buckets.repartition(*KEY, "pair").sortWithinPartitions(*KEY, "pair")
             .mapInArrow(lambda it: _spans(it, tau), "a bigint, b bigint"))
 
 
