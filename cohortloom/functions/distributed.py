@@ -1,4 +1,4 @@
-"""Global order and bounded collection without a single-task window.
+"""Global order without a single-task window, and intermediate tables.
 
 ``row_number`` over everything, or over a few huge groups, sorts all rows in a
 few tasks.  Here rows are range-sorted across the cluster, written to the
@@ -9,7 +9,6 @@ partition is ever brought together.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 from typing import Sequence
@@ -22,16 +21,18 @@ PART = "_part"
 POS = "_pos"
 # monotonically_increasing_id keeps the row position in the low 33 bits.
 _POSITION_MASK = (1 << 33) - 1
+# Folders of intermediate tables, for clear_stored.
+_written: list[str] = []
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the session; a private one only for local masters."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one in the warehouse.
+
+    Executors share both, whatever the master.
+    """
     sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="cohortloom-")
+    folder = (sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+              or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     return folder
@@ -51,9 +52,17 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> None:
+    """Delete the tables that :func:`stored` wrote in this process, once nothing reads them."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sorted_partitions(df: DataFrame, order: Sequence) -> DataFrame:
     """Globally sorted rows with a stable partition number and position."""
     stable = durable(df.orderBy(*order))
@@ -63,14 +72,6 @@ def sorted_partitions(df: DataFrame, order: Sequence) -> DataFrame:
         F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_MASK)).alias(POS))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark a side for broadcast only after counting it; leave it alone beyond that.
-
-    Give it a frame that is cheap to read twice, such as a stored one.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def row_numbers(df: DataFrame, order: Sequence, name: str,
                 by: Sequence[str] = ()) -> DataFrame:
     """Dense 1..n in the given total order, restarted for each group of ``by``."""
@@ -83,7 +84,7 @@ def row_numbers(df: DataFrame, order: Sequence, name: str,
     offsets = sizes.select(
         PART, *by, "_first",
         (F.sum("_n").over(ahead) - F.col("_n")).alias("_before"))
-    out = rows.join(broadcast_if_small(offsets), [PART, *by])
+    out = rows.join(offsets, [PART, *by])
     return (out.withColumn(name, F.col(POS) - F.col("_first") + F.col("_before") + 1)
             .drop(PART, POS, "_first", "_before"))
 
@@ -102,18 +103,15 @@ def running_sums(df: DataFrame, order: Sequence, values: Sequence[str],
     inside = W.partitionBy(PART, *by).orderBy(POS).rowsBetween(
         W.unboundedPreceding, W.currentRow)
     local = rows.select("*", *[F.sum(v).over(inside).alias(f"_c_{v}") for v in values])
-    out = local.join(broadcast_if_small(offsets), [PART, *by])
+    out = local.join(offsets, [PART, *by])
     return out.select(
         *df.columns,
         *[(F.col(f"_c_{v}") + F.col(f"_o_{v}")).alias(f"{prefix}{v}") for v in values])
 
 
-def bounded_values(df: DataFrame, column: str, limit: int = 20_000) -> list:
-    """Distinct values of a closed set for column names; fails rather than truncates."""
-    rows = (df.select(column).filter(F.col(column).isNotNull())
-            .distinct().limit(limit + 1).collect())
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} values; keep the long form")
+def vocabulary(df: DataFrame, column: str) -> list:
+    """Distinct values in order, of a column whose values follow a vocabulary, not the rows."""
+    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().collect()
     return sorted(r[0] for r in rows)
 
 

@@ -20,11 +20,6 @@ def hash32(text: Column) -> Column:
     return hex_to_long(F.substring(F.md5(text), 1, 8))
 
 
-def hash60(text: Column) -> Column:
-    """First 60 bits of md5 as a non-negative long."""
-    return hex_to_long(F.substring(F.md5(text), 1, 15))
-
-
 def uniform_int(key: Column, seed: int, lo: int, hi: int) -> Column:
     """One draw from [lo, hi], both ends included, fixed by key and seed."""
     drawn = hex_to_long(F.substring(seeded_digest(key, seed), 1, 8))

@@ -8,8 +8,7 @@ from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.functions.distributed import (bounded_values, broadcast_if_small, stored,
-                                               union_all)
+from cohortloom.functions.distributed import union_all, vocabulary
 
 # Feature blocks with counts rather than 0/1 flags; their column sets are closed.
 COUNT_DOMAINS = ("util", "lab_cts")
@@ -58,7 +57,7 @@ def common_features(train: DataFrame, test: DataFrame) -> DataFrame:
 
 def drop_diff(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sets restricted to their common features."""
-    shared = broadcast_if_small(stored(common_features(train, test)))
+    shared = common_features(train, test)
     return (train.join(shared, "feature_key", "left_semi"),
             test.join(shared, "feature_key", "left_semi"))
 
@@ -85,20 +84,21 @@ def feature_stats(long: DataFrame, persons: DataFrame) -> DataFrame:
 def scale(long: DataFrame, stats: DataFrame) -> DataFrame:
     """z-scores of the stored (non-zero) entries; ``zero_value`` of the statistics is the rest.
 
-    The statistics hold one row per feature and are broadcast once counted as
-    small; store them first, as they are read for the count and for the join.
+    The statistics hold one row per feature.
     """
-    return (long.join(broadcast_if_small(stats), "feature_key")
+    return (long.join(stats, "feature_key")
             .withColumn("value", (F.col("value") - F.col("mean")) / F.col("sd"))
             .select(*long.columns))
 
 
-def vector_layout(long: DataFrame, max_features: int = 262_144
-                  ) -> tuple[list[str], list[str]]:
-    """(flag keys, count keys): the vector slots in order; fails when too many."""
+def vector_layout(long: DataFrame) -> tuple[list[str], list[str]]:
+    """(flag keys, count keys): the vector slots in order.
+
+    Their number follows the vocabulary and the windows, not the persons.
+    """
     counted = F.col("domain").isin(*COUNT_DOMAINS) | (F.col("feature_key") == AGE_KEY)
-    return (bounded_values(long.filter(~counted), "feature_key", max_features),
-            bounded_values(long.filter(counted), "feature_key", max_features))
+    return (vocabulary(long.filter(~counted), "feature_key"),
+            vocabulary(long.filter(counted), "feature_key"))
 
 
 def feature_vectors(cohort: DataFrame, long: DataFrame, flag_keys: Sequence[str],

@@ -135,7 +135,7 @@ def stack_events(tables: dict[str, DataFrame]) -> DataFrame:
         df.select(F.lit(name).alias("domain"), "person_id", "visit_occurrence_id",
                   F.col(DOMAINS[name].concept_col).alias(STACKED.concept_col),
                   (F.col(DOMAINS[name].event_id_col) if DOMAINS[name].event_id_col
-                   else F.lit(None).cast("long")).alias(STACKED.event_id_col))
+                   else F.lit(None)).alias(STACKED.event_id_col))
         for name, df in tables.items()])
 
 
@@ -146,10 +146,33 @@ def feature_events(cohort: DataFrame, features: DataFrame, events: DataFrame,
     One row for every feature that covers the concept.
     """
     by = ["domain"] if domain.members else []
-    tagged = (events.withColumnRenamed(domain.concept_col, "descendant_concept_id")
-              .join(features, [*by, "descendant_concept_id"]))
-    return cohort_events(cohort, tagged, visits).filter(
-        since_index("visit_start_date", "index_date", days_delta))
+    return (cohort_events(cohort, events, visits)
+            .filter(since_index("visit_start_date", "index_date", days_delta))
+            .withColumnRenamed(domain.concept_col, "descendant_concept_id")
+            .join(features, [*by, "descendant_concept_id"]))
+
+
+def guarded_feature_days(cohort: DataFrame, features: DataFrame, events: DataFrame,
+                         visits: DataFrame, observations: DataFrame, domain: Domain,
+                         days_delta: int = 28,
+                         cfg: PhenotypeConfig = PhenotypeConfig()) -> DataFrame:
+    """Distinct (cohort columns, domain, feature, visit date) without label events.
+
+    Persons come first, then the label guard, visits and dates; what is left is made
+    distinct by concept and day before a concept meets the features, so that a frequent
+    concept fans out over few rows.
+    """
+    by = ["domain"] if domain.members else []
+    own = events.join(cohort, "person_id")
+    if domain.event_id_col is not None:
+        own = _drop_label_sources(own, observations, domain.event_id_col, cfg)
+    days = (with_visit(own, visits)
+            .filter(since_index("visit_start_date", "index_date", days_delta))
+            .select(*cohort.columns, *by, F.col(domain.concept_col).alias("descendant_concept_id"),
+                    "visit_start_date").distinct())
+    pairs = (features.filter(F.col("ancestor_concept_id") != cfg.leak_root)
+             .select(*by, "descendant_concept_id", "ancestor_concept_id").distinct())
+    return days.join(pairs, [*by, "descendant_concept_id"])
 
 
 def diagnosis_sources(observations: DataFrame, cfg: PhenotypeConfig) -> DataFrame:
@@ -162,8 +185,12 @@ def diagnosis_sources(observations: DataFrame, cfg: PhenotypeConfig) -> DataFram
 
 def _drop_label_sources(events: DataFrame, observations: DataFrame, event_id_col: str,
                         cfg: PhenotypeConfig) -> DataFrame:
+    """Events without an id can't be a source; they stay out of the join, where they would
+    all meet at one key."""
     sources = diagnosis_sources(observations, cfg)
-    return events.join(sources, events[event_id_col] == sources["_source"], "left_anti")
+    known = events.filter(F.col(event_id_col).isNotNull())
+    safe = known.join(sources, known[event_id_col] == sources["_source"], "left_anti")
+    return safe.unionByName(events.filter(F.col(event_id_col).isNull()))
 
 
 def remove_label_events(events: DataFrame, observations: DataFrame, domain: Domain,

@@ -150,15 +150,6 @@ def node_counts(tree: DataFrame, cohort: DataFrame, events: DataFrame, visits: D
                     "pop_count", "case_count", "control_count"))
 
 
-def get_snomed_counts(tree, cohort, conditions, visits, domain, days_delta, max_date,
-                      follow_months=3) -> DataFrame:
-    return node_counts(tree, cohort, conditions, visits, domain, days_delta, follow_months,
-                       max_date)
-
-
-get_loinc_counts = get_proc_counts = get_drug_counts = get_snomed_counts
-
-
 def node_counts_by_fold(tree: DataFrame, cohort: DataFrame, events: DataFrame,
                         visits: DataFrame, domain: Domain, days_delta: int,
                         follow_months: int, max_date: date, folds: int = 5) -> DataFrame:
@@ -199,30 +190,26 @@ def significant(scan: DataFrame, threshold: CutThreshold) -> DataFrame:
 
 
 def select_cuts(scan: DataFrame, nodes: DataFrame, threshold: CutThreshold,
-                by: Sequence[str] = (), max_cuts: int | None = None) -> DataFrame:
-    """Significant nodes with their label, ranked by log-likelihood ratio within ``by``.
-
-    ``max_cuts`` keeps only the best ranks of each group.
-    """
+                by: Sequence[str] = ()) -> DataFrame:
+    """Significant nodes with their label, ranked by log-likelihood ratio within ``by``."""
     labels = nodes.withColumnRenamed("node_concept_id", "node_identifier")
     labelled = significant(scan, threshold).join(labels, "node_identifier", "left")
-    ranked = row_numbers(labelled, [F.desc("log_likelihood_ratio"), F.asc("node_identifier")],
-                         "cut_rank", by)
-    return ranked if max_cuts is None else ranked.filter(F.col("cut_rank") <= max_cuts)
+    return row_numbers(labelled, [F.desc("log_likelihood_ratio"), F.asc("node_identifier")],
+                       "cut_rank", by)
 
 
 def expand_cuts(cuts: DataFrame, concept: DataFrame, closure: DataFrame, domain: Domain,
                 deduplicate: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """All descendants of every cut; or each descendant under the first cut covering it.
 
-    "First" is the smallest ``cut_rank``, found by one combinable minimum per
-    descendant, not by walking through the cuts.
+    "First" is the largest likelihood ratio, then the smallest node, found by one
+    combinable minimum per descendant; the cuts need no rank for it.
     """
     by = list(by)
     own = _by_domain(domain)
     if not set(own) <= set(by):
         raise ValueError("stacked cuts are expanded by domain")
-    order = ["cut_rank"] if deduplicate else []
+    order = [(-F.col("log_likelihood_ratio")).alias("_order")] if deduplicate else []
     known = concept.select(F.col("concept_id").alias("descendant_concept_id"))
     inside = domain_concepts(concept, domain).select(
         *own, F.col("concept_id").alias("ancestor_concept_id"))
@@ -233,15 +220,12 @@ def expand_cuts(cuts: DataFrame, concept: DataFrame, closure: DataFrame, domain:
              .join(known, "descendant_concept_id", "left_semi"))
     if not deduplicate:
         return pairs.select(*by, "ancestor_concept_id", "descendant_concept_id")
-    first = F.min(F.struct("cut_rank", "ancestor_concept_id"))
+    first = F.min(F.struct("_order", "ancestor_concept_id"))
     return (pairs.groupBy(*by, "descendant_concept_id").agg(first.alias("_first"))
             .select(*by, F.col("_first.ancestor_concept_id").alias("ancestor_concept_id"),
                     "descendant_concept_id"))
 
 
-sep_cuts = expand_cuts
-
-
 def make_features(cuts: DataFrame, nodes: DataFrame, concept: DataFrame, closure: DataFrame,
                   domain: Domain, by: Sequence[str] = ()) -> DataFrame:
     """Feature definitions: every cut with its labelled descendants known to the tree."""

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Mapping, Sequence
 
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import StandardScaler
+from pyspark.ml.feature import ElementwiseProduct
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +21,30 @@ from cohortloom.config import PhenotypeConfig
 from cohortloom.functions.distributed import checkpoint_folder, durable, stored, union_all
 from cohortloom.operators.assemble import (common_features, feature_vectors, label3,
                                            vector_layout)
-from cohortloom.operators.metrics import score_binary, score_multiclass
+from cohortloom.operators.metrics import rank_metrics, score_multiclass, threshold_metrics
 
+# Rows of a training partition: boosting runs many short jobs over small vectors.
+_ROWS = 20_000
 
-def scaler() -> StandardScaler:
-    """Unit variance, no centring, so vectors stay sparse; trees ignore shifts."""
-    return StandardScaler(inputCol="features", outputCol="scaled", withMean=False, withStd=True)
+
+def fit_scaler(vectors: DataFrame) -> ElementwiseProduct:
+    """Division by the population deviation of the given rows; a constant slot keeps 1.
+
+    The same deviation as ``assemble.feature_stats``.  Nothing is centred, so vectors
+    stay sparse; trees ignore shifts.
+    """
+    row = vectors.select(Summarizer.metrics("variance", "count").summary(
+        F.col("features")).alias("s")).select("s.variance", "s.count").first()
+    n = max(row["count"], 1)
+    spread = [math.sqrt(max(v, 0.0) * (n - 1) / n) for v in row["variance"]]
+    return ElementwiseProduct(scalingVec=Vectors.dense([1 / s if s > 1e-12 else 1.0 for s in spread]),
+                              inputCol="features", outputCol="scaled")
+
+
+def _compact(vectors: DataFrame) -> DataFrame:
+    """Vectors stored in as few partitions as their number asks for."""
+    kept = durable(vectors)
+    return kept.coalesce(max(1, math.ceil(kept.count() / _ROWS)))
 
 
 def boosted_trees(cfg: PhenotypeConfig = PhenotypeConfig(), features: str = "scaled"):
@@ -80,13 +101,13 @@ def fold_vectors(cohort: DataFrame, train_long: DataFrame, test_long: DataFrame,
     parts = [feature_vectors(members, long, flag_keys, count_keys)
              for members, long in ((labelled.filter(F.col("fold") != fold), train_long),
                                    (labelled.filter(F.col("fold") == fold), test_long))]
-    return FoldData(durable(parts[0]), parts[1], (*flag_keys, *count_keys))
+    return FoldData(_compact(parts[0]), _compact(parts[1]), (*flag_keys, *count_keys))
 
 
 def fit_scaled(train: DataFrame, estimator) -> PipelineModel:
     """Scaler and model fitted on the training vectors."""
     checkpoint_folder(train.sparkSession)
-    return Pipeline(stages=[scaler(), estimator]).fit(train)
+    return Pipeline(stages=[fit_scaler(train), estimator]).fit(train)
 
 
 def train_cv(cohort: DataFrame, fold_longs: Mapping[int, tuple[DataFrame, DataFrame]],
@@ -96,19 +117,20 @@ def train_cv(cohort: DataFrame, fold_longs: Mapping[int, tuple[DataFrame, DataFr
 
     ``fold_longs`` gives the (train, test) feature rows of each fold.  The
     scaler is fitted on the training part; ``fit_each`` rescales the test part
-    by its own deviation instead.
+    by its own deviation instead.  Folds are fitted side by side: each runs many
+    short jobs that leave room for the others.
     """
-    out = []
-    for fold, (train_long, test_long) in fold_longs.items():
-        data = fold_vectors(cohort, train_long, test_long, fold)
-        fitted = fit_scaled(data.train, estimator)
+    def one(fold: int) -> DataFrame:
+        data = fold_vectors(cohort, *fold_longs[fold], fold)
+        fitted = fit_scaled(data.train, estimator.copy())
         if fit_each:
-            own = scaler().fit(data.test).transform(data.test)
-            scored = fitted.stages[-1].transform(own)
+            scored = fitted.stages[-1].transform(fit_scaler(data.test).transform(data.test))
         else:
             scored = fitted.transform(data.test)
-        out.append(class_probabilities(scored).withColumn("fold", F.lit(fold)))
-    return union_all(out)
+        return class_probabilities(scored).withColumn("fold", F.lit(fold))
+
+    with ThreadPoolExecutor(len(fold_longs)) as pool:
+        return union_all(list(pool.map(one, fold_longs)))
 
 
 def cv_metrics(predictions: DataFrame,
@@ -117,48 +139,69 @@ def cv_metrics(predictions: DataFrame,
     return score_multiclass(predictions, thresholds, ("fold",))
 
 
-def model_score(estimator, train: DataFrame, test: DataFrame,
-                features: str = "features") -> DataFrame:
-    """Fit a binary model and score the test set at probability one half."""
-    scored = estimator.fit(train).transform(test)
-    return score_binary(scored.select(F.col("label").cast("int").alias("y"),
-                                      vector_to_array("probability")[1].alias("p")), 0.5)
+# The six metrics of a binary model.
+SCORES = ("accuracy", "precision", "recall", "auroc", "average_precision", "f1")
+
+
+def _scored(fitted, test: DataFrame, *keys) -> DataFrame:
+    """True class, probability of class 1, and the class the model itself predicts."""
+    return fitted.transform(test).select(
+        *keys, F.col("label").cast("int").alias("y"),
+        vector_to_array("probability")[1].alias("p"), F.col("prediction").alias("predicted"))
+
+
+def _six(scored: DataFrame, by: Sequence[str]) -> DataFrame:
+    chosen = threshold_metrics(scored.withColumn("p", F.col("predicted")), [0.5], ">", by)
+    return chosen.join(rank_metrics(scored, by), list(by)).select(*by, *SCORES)
+
+
+def model_score(estimator, train: DataFrame, test: DataFrame) -> DataFrame:
+    """Fit a binary model and score its own predictions on the test set."""
+    scored = _scored(estimator.fit(train), test, F.lit("all").alias("task"))
+    return _six(scored, ["task"]).drop("task")
 
 
 def model_eval(estimator, train: DataFrame, param_grid: Mapping[str, Sequence] | None = None,
-               metric: str = "areaUnderROC", folds: int = 5, fold_col: str | None = None,
+               refit: str = "auroc", folds: int = 5, fold_col: str | None = None,
                seed: int = 0) -> DataFrame:
-    """Cross-validated metric of every parameter combination, the refit one marked.
+    """(params, split, metric, value, best): six metrics of every parameter set and split.
 
-    Without a grid there is one row for the estimator as given.
+    ``best`` marks the parameter set with the largest mean of the ``refit`` metric.
+    Without a grid there is one set, the estimator as given.
     """
+    if refit not in SCORES:
+        raise ValueError(f"refit is one of {SCORES}")
     builder = ParamGridBuilder()
     for name, values in (param_grid or {}).items():
         builder = builder.addGrid(estimator.getParam(name), list(values))
-    grid = builder.build()
-    if metric in ("areaUnderROC", "areaUnderPR"):
-        evaluator = BinaryClassificationEvaluator(labelCol="label", metricName=metric)
-    else:
-        evaluator = MulticlassClassificationEvaluator(labelCol="label", metricName=metric)
-    search = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=evaluator,
-                            numFolds=folds, seed=seed, parallelism=2, collectSubModels=False)
-    if fold_col is not None:
-        search = search.setFoldCol(fold_col)
-    fitted = search.fit(train)
-    best = (max if evaluator.isLargerBetter() else min)(fitted.avgMetrics)
-    rows = [(", ".join(f"{p.name}={v}" for p, v in params.items()) or "default", metric,
-             float(mean), float(sd), bool(mean == best))
-            for params, mean, sd in zip(grid, fitted.avgMetrics, fitted.stdMetrics)]
-    return train.sparkSession.createDataFrame(
-        rows, "params string, metric string, mean_score double, std_score double, best boolean")
+    split = (F.col(fold_col) if fold_col else F.floor(F.rand(seed) * folds) + 1).cast("int")
+    rows = durable(train.withColumn("_split", split))
+    splits = [r[0] for r in rows.select("_split").distinct().orderBy("_split").collect()]
+
+    def one(task) -> DataFrame:
+        params, k = task
+        name = ", ".join(f"{p.name}={v}" for p, v in params.items()) or "default"
+        fitted = estimator.fit(rows.filter(F.col("_split") != k), params)
+        return _scored(fitted, rows.filter(F.col("_split") == k), F.lit(name).alias("params"),
+                       F.lit(k).alias("split"))
+
+    with ThreadPoolExecutor(4) as pool:
+        scored = union_all(list(pool.map(one, [(g, k) for g in builder.build() for k in splits])))
+    scores = stored(_six(durable(scored), ["params", "split"]))
+    best = scores.groupBy("params").agg(F.avg(refit).alias("_mean")).agg(
+        F.max_by("params", F.struct("_mean", "params"))).first()[0]
+    metric = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
+                                 for m in SCORES])).alias("m")
+    return scores.select("params", "split", metric).select(
+        "params", "split", "m.metric", "m.value", (F.col("params") == F.lit(best)).alias("best"))
 
 
 def train_full(cohort: DataFrame, long: DataFrame, estimator
                ) -> tuple[PipelineModel, DataFrame, list[str]]:
     """(model, scaled vectors, slot names) of a fit on everybody."""
     flag_keys, count_keys = vector_layout(long)
-    vectors = durable(feature_vectors(cohort.withColumn("label", label3().cast("double")),
-                                      long, flag_keys, count_keys))
+    vectors = _compact(feature_vectors(cohort.withColumn("label", label3().cast("double")),
+                                       long, flag_keys, count_keys))
     fitted = fit_scaled(vectors, estimator)
     return fitted, fitted.stages[0].transform(vectors), [*flag_keys, *count_keys]
 

@@ -1,7 +1,6 @@
 """Time-window features: long form first, wide form for closed column sets.
 
-Long rows are (ids, feature_key, value).  Wide tables need a column list; it is
-given, or read as a bounded set of values that fails rather than truncates.
+Long rows are (ids, feature_key, value).  Wide tables need the list of their columns.
 """
 
 from __future__ import annotations
@@ -13,13 +12,10 @@ from pyspark.sql import functions as F
 
 from cohortloom.config import DOMAINS, UTIL_LOCATIONS, WINDOWS, Domain, PhenotypeConfig, Window
 from cohortloom.functions.dates import strictly_between_days, window_label
-from cohortloom.functions.distributed import bounded_values
-from cohortloom.operators.events import feature_events, remove_label_events
+from cohortloom.operators.events import guarded_feature_days
 
 IDS = ("person_id", "index_date", "observation_type", "pasc_flag")
 COHORT_IDS = ("person_id", "index_date", "pasc_flag")
-# Above this many columns a pivot buffer is cheaper than one aggregate per column.
-_MAX_CONDITIONAL = 100
 
 
 def assign_window(events: DataFrame, event_col: str, index_col: str = "index_date",
@@ -60,24 +56,21 @@ def presence_flags(events: DataFrame, event_col: str, feature_col: str,
             .withColumn("value", F.lit(1).cast("long")))
 
 
-def to_wide(long: DataFrame, ids: Sequence[str], keys: Sequence[str] | None = None,
-            cohort: DataFrame | None = None, max_columns: int = 20_000) -> DataFrame:
+def to_wide(long: DataFrame, ids: Sequence[str], keys: Sequence[str],
+            cohort: DataFrame | None = None) -> DataFrame:
     """Turn feature keys into columns, absent ones 0.
 
     With a cohort, members without any row get zeros: their ids are added as
     rows without a key, so one shuffle does the outer join and the pivot.
     """
-    keys = bounded_values(long, "feature_key", max_columns) if keys is None else list(keys)
+    keys = list(keys)
     rows = long.select(*ids, "feature_key", F.col("value").cast("long").alias("value"))
     if cohort is not None:
         empty = cohort.select(*ids, F.lit(None).cast("string").alias("feature_key"),
                               F.lit(None).cast("long").alias("value"))
         rows = rows.unionByName(empty)
-    if len(keys) <= _MAX_CONDITIONAL:
-        columns = [F.coalesce(F.max(F.when(F.col("feature_key") == k, F.col("value"))),
-                              F.lit(0)).alias(k) for k in keys]
-        grouped = rows.groupBy(*ids)
-        return grouped.agg(*columns) if columns else rows.select(*ids).distinct()
+    if not keys:
+        return rows.select(*ids).distinct()
     return rows.groupBy(*ids).pivot("feature_key", keys).agg(F.max("value")).na.fill(0, keys)
 
 
@@ -106,8 +99,8 @@ def partition_dates_and_pivot_wide_util(
 
 
 def partition_dates_and_pivot_wide_features(
-        events: DataFrame, feature_col: str = "ancestor_concept_id", split_dates: bool = True,
-        days_min: int = -28, days_max: int = 180, keys: Sequence[str] | None = None,
+        events: DataFrame, keys: Sequence[str], feature_col: str = "ancestor_concept_id",
+        split_dates: bool = True, days_min: int = -28, days_max: int = 180,
         windows: Sequence[Window] = WINDOWS) -> DataFrame:
     """0/1 columns per feature (and window) for persons with any event."""
     long = presence_flags(events, "visit_start_date", feature_col, split_dates,
@@ -115,26 +108,6 @@ def partition_dates_and_pivot_wide_features(
     return to_wide(long, IDS, keys)
 
 
-def partition_dates_and_pivot_wide_cond_features(events: DataFrame, **options) -> DataFrame:
-    return partition_dates_and_pivot_wide_features(events, **options)
-
-
-def partition_dates_and_pivot_wide_lab_features(events: DataFrame, **options) -> DataFrame:
-    return partition_dates_and_pivot_wide_features(events, **options)
-
-
-def partition_dates_and_pivot_wide_proc_features(events: DataFrame, **options) -> DataFrame:
-    return partition_dates_and_pivot_wide_features(events, **options)
-
-
-def partition_dates_and_pivot_wide_drug_features(events: DataFrame, **options) -> DataFrame:
-    return partition_dates_and_pivot_wide_features(events, **options)
-
-
-def partition_dates_and_pivot_wide_clust_features(events: DataFrame, **options) -> DataFrame:
-    return partition_dates_and_pivot_wide_features(events, feature_col="cluster", **options)
-
-
 def lab_count_long(events: DataFrame, split_dates: bool = True, days_min: int = -28,
                    days_max: int = 180, windows: Sequence[Window] = WINDOWS,
                    ids: Sequence[str] = IDS) -> DataFrame:
@@ -171,16 +144,17 @@ def feature_long(cohort: DataFrame, domain: Domain | str, features: DataFrame,
     """Leak-guarded presence features of one domain, or of all stacked, in long form."""
     domain = DOMAINS[domain] if isinstance(domain, str) else domain
     ids = (*ids, "domain") if domain.members else ids
-    tagged = feature_events(cohort, features, events, visits, domain, days_delta)
-    guarded = remove_label_events(tagged, observations, domain, cfg)
-    return presence_flags(guarded, "visit_start_date", "ancestor_concept_id", split_dates,
+    needed = dict.fromkeys([c for c in ids if c != "domain"] + ["index_date"])
+    days = guarded_feature_days(cohort.select(*needed), features, events, visits, observations,
+                                domain, days_delta, cfg)
+    return presence_flags(days, "visit_start_date", "ancestor_concept_id", split_dates,
                           days_min, days_max, cfg.windows, ids)
 
 
 def make_feature_tbl(cohort: DataFrame, domain: Domain | str, features: DataFrame,
                      events: DataFrame, visits: DataFrame, observations: DataFrame,
-                     days_delta: int = -28, split_dates: bool = True, days_min: int = -28,
-                     days_max: int = 180, keys: Sequence[str] | None = None,
+                     keys: Sequence[str], days_delta: int = -28, split_dates: bool = True,
+                     days_min: int = -28, days_max: int = 180,
                      cfg: PhenotypeConfig = PhenotypeConfig()) -> DataFrame:
     """Wide 0/1 features of one domain for every cohort member."""
     long = feature_long(cohort, domain, features, events, visits, observations,

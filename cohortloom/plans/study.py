@@ -133,11 +133,15 @@ def build_features(catalog: TableCatalog, cfg: PhenotypeConfig, cuts: DataFrame,
 
 def split_rows(catalog: TableCatalog, split: str) -> DataFrame:
     """Feature rows as a split defines them: its own coded features, all other blocks."""
-    long = catalog.results_tbl("features_long")
+    return restrict_to(catalog.results_tbl("features_long"),
+                       catalog.results_tbl("features").filter(F.col("split") == split))
+
+
+def restrict_to(long: DataFrame, features: DataFrame) -> DataFrame:
+    """Long rows of the given coded features, and all rows of other blocks."""
     coded = F.col("domain").isin(*DOMAINS)
-    chosen = (catalog.results_tbl("features").filter(F.col("split") == split)
-              .select("domain", F.col("ancestor_concept_id").cast("string").alias("_id"))
-              .distinct())
+    chosen = features.select("domain", F.col("ancestor_concept_id").cast("string").alias("_id")
+                             ).distinct()
     # A coded key is "{window}_{concept id}".
     own = (long.filter(coded).withColumn("_id", F.substring_index("feature_key", "_", -1))
            .join(chosen, ["domain", "_id"], "left_semi").drop("_id"))

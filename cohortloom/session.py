@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Runtime SQL settings.  Joins carry no broadcast hints: Spark broadcasts a side
-# only below autoBroadcastJoinThreshold, from file sizes before the run and from
-# measured shuffle sizes during it.  A key that holds a large share of the rows
+# Runtime SQL settings.  Joins carry no broadcast hints, but for the offsets of the fold
+# assignment, which have a fixed number of rows: Spark broadcasts a side only below
+# autoBroadcastJoinThreshold, from file sizes before the run and from measured shuffle
+# sizes during it.  A key that holds a large share of the rows
 # is split by the adaptive skew join, also where that costs another exchange.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",

@@ -138,14 +138,14 @@ class TableCatalog:
             self.spark.sql(f"DROP TABLE IF EXISTS {physical}")
 
     @staticmethod
-    def collect_new(df: DataFrame, limit: int = 100_000) -> list:
-        """A small result on the driver; fails when it is not small."""
+    def collect_new(df: DataFrame, limit: int) -> list:
+        """A result of at most ``limit`` rows on the driver; fails beyond the caller's bound."""
         rows = df.limit(limit + 1).collect()
         if len(rows) > limit:
             raise ValueError(f"more than {limit} rows; keep the result distributed")
         return rows
 
     @classmethod
-    def pull(cls, df: DataFrame, column: str | Column, limit: int = 100_000) -> list:
+    def pull(cls, df: DataFrame, column: str | Column, limit: int) -> list:
         """One column of a small result."""
         return [r[0] for r in cls.collect_new(df.select(column), limit)]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.config import DOMAINS, STACKED, CutThreshold, PhenotypeConfig
-from cohortloom.functions.hashing import hash32, hash60
+from cohortloom.functions.hashing import hash32
 from cohortloom.functions.dates import follow_up_possible, in_follow_up
 
 _SCHEMAS = {
@@ -115,7 +115,7 @@ class StarTables:
         """Line items with an event id and their order's person and date."""
         cents = [F.floor(F.col(c) * 100 + 0.5).cast("string")
                  for c in ("l_extendedprice", "l_discount", "l_tax")]
-        event_id = hash60(F.concat_ws(
+        event_id = F.md5(F.concat_ws(
             "|", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
             F.col("l_quantity").cast("int").cast("string"), *cents, "l_returnflag",
             "l_linestatus", F.to_date("l_shipdate").cast("string")))

@@ -104,11 +104,11 @@ _SIMPLE = {
     "lines": """
     SELECT l.*, o_custkey AS person_id, o_orderdate::DATE AS event_date,
            l_orderkey AS visit_occurrence_id,
-           ('0x' || substr(md5(concat_ws('|', l_orderkey::VARCHAR, l_partkey::VARCHAR,
+           md5(concat_ws('|', l_orderkey::VARCHAR, l_partkey::VARCHAR,
              l_suppkey::VARCHAR, l_linenumber::VARCHAR, l_quantity::INT::VARCHAR,
              floor(l_extendedprice * 100 + 0.5)::BIGINT::VARCHAR,
              floor(l_discount * 100 + 0.5)::BIGINT::VARCHAR, floor(l_tax * 100 + 0.5)::BIGINT::VARCHAR,
-             l_returnflag, l_linestatus, l_shipdate::DATE::VARCHAR)), 1, 15))::BIGINT AS event_id
+             l_returnflag, l_linestatus, l_shipdate::DATE::VARCHAR)) AS event_id
     FROM lineitem l JOIN orders ON l_orderkey = o_orderkey""",
     "conditions": f"""
     SELECT event_id AS condition_occurrence_id, person_id, visit_occurrence_id,
@@ -460,10 +460,15 @@ def _needed(sql: str) -> list[str]:
     return [name for name in VIEWS if name in seen]
 
 
+_SHARED = ("lines", "folded", "closure", "visits", "long_all")
+
+
 def with_views(sql: str) -> str:
     """The statement with the views it uses in front."""
     names = _needed(sql)
     if not names:
         return sql
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
+    # Views that several others read are computed once.
+    ctes = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in _SHARED else ''}({VIEWS[n]})"
+                      for n in names)
     return f"WITH {ctes}\n{sql}"

@@ -10,7 +10,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.config import DOMAINS, UTIL_LOCATIONS, WINDOWS
+from cohortloom.config import DOMAINS, STACKED, UTIL_LOCATIONS, WINDOWS
 from cohortloom.functions import labels
 from cohortloom.functions.distributed import checkpoint_folder, durable, stored
 from cohortloom.operators import (assemble, audit, codesets, cohort, deid, events, hierarchy,
@@ -273,7 +273,7 @@ def _register_domain(d: str) -> None:
     def feature_wide(s: Study) -> DataFrame:
         return windows.make_feature_tbl(
             s.folded, d, s.type_features(d), s.cdm.events(d), s.cdm.visits, s.cdm.observations,
-            s.cfg.days_delta, keys=keys, cfg=s.cfg)
+            keys, s.cfg.days_delta, cfg=s.cfg)
 
     @query(f"node_counts_{d}", f"""
     SELECT concept_id AS node, concept_id AS node_concept_id,
@@ -447,9 +447,9 @@ GROUP BY {IDS}""")
 def cluster_unsplit(s: Study) -> DataFrame:
     hits = events.get_cluster_visits(s.folded, s.cdm.clusters, s.cdm.conditions, s.cdm.visits,
                                      s.cfg.days_delta, ())
-    return windows.partition_dates_and_pivot_wide_clust_features(
-        hits, split_dates=False, days_min=s.cfg.days_min, days_max=s.cfg.days_max,
-        keys=list(BRANDS))
+    return windows.partition_dates_and_pivot_wide_features(
+        hits, list(BRANDS), "cluster", split_dates=False, days_min=s.cfg.days_min,
+        days_max=s.cfg.days_max)
 
 
 @query("feature_unsplit_cond", f"""
@@ -558,33 +558,42 @@ SELECT ancestor_concept_id, descendant_concept_id FROM (
 def expand_cuts_dedup(s: Study) -> DataFrame:
     every_level = replace(s.cfg.cut_thresholds["drug"], level=1, level_op=">=", observations=1,
                           p_value=1.0)
-    cuts = hierarchy.select_cuts(s.scan("drug"), s.nodes("drug"), every_level)
+    cuts = hierarchy.significant(s.scan("drug"), every_level)
     return hierarchy.expand_cuts(cuts, s.cdm.concept, s.cdm.concept_ancestor, DOMAINS["drug"],
                                  deduplicate=True)
 
 
-@query("fold_cuts", """
-SELECT fold::INT AS fold, node_identifier, log_likelihood_ratio, row_number() OVER (
-  PARTITION BY fold ORDER BY log_likelihood_ratio DESC, node_identifier) AS cut_rank
-FROM cuts_fold_cond""")
+def _each_domain(sql: str) -> str:
+    return " UNION ALL ".join(sql.replace("{d}", d) for d in DOMAINS)
+
+
+@query("fold_cuts", _each_domain("""
+SELECT '{d}' AS domain, fold::INT AS fold, node_identifier, log_likelihood_ratio,
+  row_number() OVER (
+    PARTITION BY fold ORDER BY log_likelihood_ratio DESC, node_identifier) AS cut_rank
+FROM cuts_fold_{d}"""))
 def fold_cuts(s: Study) -> DataFrame:
-    ranked = hierarchy.select_cuts(s.fold_scan("cond"), s.nodes("cond"),
-                                   s.cfg.cut_thresholds["cond"], by=("fold",))
-    return ranked.select("fold", "node_identifier", "log_likelihood_ratio", "cut_rank")
+    ranked = hierarchy.select_cuts(
+        s.fold_scan(STACKED.name), s.nodes(STACKED.name).drop("domain").distinct(),
+        s.cfg.cut_thresholds[STACKED.name], by=("domain", "fold"))
+    return ranked.select("domain", "fold", "node_identifier", "log_likelihood_ratio", "cut_rank")
 
 
-@query("fold_features", """
-SELECT fold::INT AS fold, ancestor_concept_id, descendant_concept_id FROM features_fold_lab""")
+@query("fold_features", _each_domain("""
+SELECT '{d}' AS domain, fold::INT AS fold, ancestor_concept_id, descendant_concept_id
+FROM features_fold_{d}"""))
 def fold_features(s: Study) -> DataFrame:
-    return s.fold_features("lab").select("fold", "ancestor_concept_id", "descendant_concept_id")
+    return s.fold_features(STACKED.name).select(
+        "domain", "fold", "ancestor_concept_id", "descendant_concept_id")
 
 
 @query("cut_overlap", """
 SELECT folds, count(*) AS nodes FROM (
   SELECT node_identifier, string_agg(fold::VARCHAR, ',' ORDER BY fold) AS folds
-  FROM cuts_fold_cond GROUP BY node_identifier) GROUP BY folds""")
+  FROM (""" + _each_domain("SELECT node_identifier, fold FROM cuts_fold_{d}") + """)
+  GROUP BY node_identifier) GROUP BY folds""")
 def cut_overlap(s: Study) -> DataFrame:
-    return hierarchy.cut_overlap(s.fold_cuts("cond"))
+    return hierarchy.cut_overlap(s.fold_cuts(STACKED.name))
 
 
 # Codesets ------------------------------------------------------------------------------
@@ -848,14 +857,14 @@ UNION ALL
 SELECT 'lab_cts', w, w, 'Lab count ' || {_TITLES}
 FROM (SELECT DISTINCT feature_key AS w FROM long_lab_cts)
 UNION ALL
-SELECT 'cond', w || '_' || id, w, split_part(node_concept, ',', 1) || ' ' || {_TITLES}
+""" + " UNION ALL ".join(f"""
+SELECT '{d}', w || '_' || id, w, split_part(node_concept, ',', 1) || ' ' || {_TITLES}
 FROM (SELECT DISTINCT ancestor_concept_id AS id, {window_case('visit_start_date')} AS w
-      FROM safe_cond) k JOIN nodes_cond n ON n.node_concept_id = k.id WHERE w IS NOT NULL""")
+      FROM safe_{d}) k JOIN nodes_{d} n ON n.node_concept_id = k.id WHERE w IS NOT NULL"""
+    for d in DOMAINS))
 def feature_dictionary(s: Study) -> DataFrame:
-    blocks = {"cond": s.feature_long("cond"),
-              "util": windows.util_long(s.util), "lab_cts": windows.lab_count_long(s.lab_cts)}
-    long = assemble.assemble_long(s.folded, blocks)
-    return labels.feature_dictionary(long, s.nodes("cond"), _SITES)
+    nodes = s.nodes(STACKED.name).drop("domain").distinct()
+    return labels.feature_dictionary(s.long, nodes, _SITES)
 
 
 # Model assembly ------------------------------------------------------------------------
@@ -870,12 +879,23 @@ def assemble_long(s: Study) -> DataFrame:
     return s.long
 
 
-@query("common_features", """
-SELECT DISTINCT l.feature_key FROM long_all l JOIN folded f ON f.person_id = l.person_id
-WHERE f.fold <> 1
+_FOLD_ROWS = """
+SELECT l.feature_key, f.fold FROM long_all l JOIN folded f ON f.person_id = l.person_id
+WHERE l.domain IN ('demo', 'util', 'lab_cts')
+UNION ALL """ + _each_domain(f"""
+SELECT {window_case('v.visit_start_date')} || '_' || c.ancestor_concept_id, s.fold
+FROM folded s JOIN ev_{{d}} e ON e.person_id = s.person_id
+JOIN features_fold_{{d}} c ON c.descendant_concept_id = e.concept_id AND c.fold = 1
+JOIN visits v ON v.visit_occurrence_id = e.visit_occurrence_id
+WHERE v.visit_start_date >= s.index_date - 28 AND {window_case('v.visit_start_date')} IS NOT NULL
+  AND c.ancestor_concept_id <> {PROMO_NODE}
+  AND ('{{d}}' <> 'cond' OR e.event_id NOT IN (SELECT source FROM diagnosis_sources))""")
+
+
+@query("common_features", f"""
+SELECT DISTINCT feature_key FROM ({_FOLD_ROWS}) WHERE fold <> 1
 INTERSECT
-SELECT l.feature_key FROM long_all l JOIN folded f ON f.person_id = l.person_id
-WHERE f.fold = 1""")
+SELECT DISTINCT feature_key FROM ({_FOLD_ROWS}) WHERE fold = 1""")
 def common_features(s: Study) -> DataFrame:
     return assemble.common_features(*s.split(1))
 
@@ -1009,11 +1029,7 @@ def youden_sweep(s: Study) -> DataFrame:
     return _rounded(metrics.youden_sweep(s.cdm.predictions, _SWEEP))
 
 
-# Training (no SQL counterpart) -----------------------------------------------------------
-
-# Small ensembles keep the check short; the default settings train 150 trees.
-_SMALL = replace(STAR_CONFIG, trees=4, tree_depth=3)
-
+# Training ----------------------------------------------------------------------------------
 
 def _prepared(s: Study) -> Study:
     """The folds written once before the iterative part."""
@@ -1021,18 +1037,39 @@ def _prepared(s: Study) -> Study:
     return s
 
 
+def _predictions(s: Study, estimator) -> DataFrame:
+    """Out-of-fold probabilities of all five folds."""
+    s = _prepared(s)
+    folds = {i: s.split(i) for i in range(1, s.cfg.folds + 1)}
+    return stored(train.train_cv(s.folded, folds, estimator, s.cfg))
+
+
 @query("train_cv")
 def train_cv(s: Study) -> DataFrame:
-    s = _prepared(s)
-    folds = {i: s.split(i) for i in (1, 2)}
-    scored = durable(train.train_cv(s.folded, folds, train.boosted_trees(_SMALL), _SMALL))
-    return train.cv_metrics(scored, s.cfg.thresholds)
+    return train.cv_metrics(_predictions(s, train.boosted_trees(s.cfg)), s.cfg.thresholds)
+
+
+@query("train_cv_facts", """
+SELECT fold, count(*) AS persons, count(*) AS predicted_once,
+       sum((pasc_flag + pasc_not_misc_flag = 0)::INT)::BIGINT AS n0,
+       sum((pasc_flag + pasc_not_misc_flag = 1)::INT)::BIGINT AS n1,
+       sum((pasc_flag + pasc_not_misc_flag = 2)::INT)::BIGINT AS n2, count(*) AS sums_to_one
+FROM folded GROUP BY fold""")
+def train_cv_facts(s: Study) -> DataFrame:
+    """What holds for out-of-fold predictions of any model, here of a quick one."""
+    quick = LogisticRegression(featuresCol="scaled", maxIter=20)
+    whole = F.abs(F.col("p0") + F.col("p1") + F.col("p2") - 1) < 1e-9
+    return _predictions(s, quick).groupBy("fold").agg(
+        F.count("*").alias("persons"), F.count_distinct("person_id").alias("predicted_once"),
+        *[F.sum((F.col("y3") == k).cast("long")).alias(f"n{k}") for k in range(3)],
+        F.sum(whole.cast("long")).alias("sums_to_one"))
 
 
 @query("train_full")
 def train_full(s: Study) -> DataFrame:
     s = _prepared(s)
-    model, scaled, _ = train.train_full(s.folded, s.long_table, train.random_forest(_SMALL))
+    model, scaled, _ = train.train_full(s.folded, s.defined(0).drop("fold"),
+                                        train.boosted_trees(s.cfg))
     train.save_model(model, f"{checkpoint_folder(s.spark)}/model-{uuid.uuid4().hex}")
     return train.class_probabilities(model.stages[-1].transform(scaled))
 
@@ -1041,8 +1078,17 @@ def train_full(s: Study) -> DataFrame:
 def grid_search(s: Study) -> DataFrame:
     s = _prepared(s)
     flag_keys, count_keys = assemble.vector_layout(s.long_table)
-    vectors = durable(assemble.feature_vectors(
+    vectors = assemble.feature_vectors(
         s.folded.withColumn("label", F.col("pasc_flag").cast("double")), s.long_table,
-        flag_keys, count_keys))
-    return train.model_eval(LogisticRegression(maxIter=5), vectors,
-                            {"regParam": [0.01, 0.1]}, folds=3)
+        flag_keys, count_keys)
+    return train.model_eval(LogisticRegression(), vectors, {"regParam": [0.01, 0.1]},
+                            fold_col="fold")
+
+
+@query("model_slots", "SELECT DISTINCT feature_key, domain IN ('util', 'lab_cts') "
+       "OR feature_key = 'entry_age' AS counted FROM long_all")
+def model_slots(s: Study) -> DataFrame:
+    """The slots of the feature vectors, flags and counts."""
+    flags, counts = assemble.vector_layout(s.long_table)
+    return s.spark.createDataFrame([(k, False) for k in flags] + [(k, True) for k in counts],
+                                   "feature_key string, counted boolean")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortloom.config import DOMAINS, STACKED, CutThreshold
 from cohortloom.functions.distributed import stored
 from cohortloom.operators import assemble, cohort, events, hierarchy, windows
+from cohortloom.plans import study as plans
 from cohortloom.session import configure
 from cohortloom.sources.star_mapping import PROMO_NODE, STAR_CONFIG, StarTables
 
@@ -118,7 +120,14 @@ class Study:
         return self._features(self.cuts(domain), domain, by)
 
     def fold_features(self, domain: str) -> DataFrame:
-        return self._features(self.fold_cuts(domain), domain, ("fold",))
+        by = ("fold", "domain") if domain == STACKED.name else ("fold",)
+        return self._features(self.fold_cuts(domain), domain, by)
+
+    @cached_property
+    def fold_feature_table(self) -> DataFrame:
+        """Definitions of every fold and of the whole cohort (fold 0), written once."""
+        whole = self.features(STACKED.name).withColumn("fold", F.lit(0))
+        return stored(self.fold_features(STACKED.name).unionByName(whole))
 
     def type_features(self, domain: str) -> DataFrame:
         return self._features(self.type_cuts(domain), domain)
@@ -151,9 +160,10 @@ class Study:
                                   self.cfg.days_delta)
 
     # model input ------------------------------------------------------------------------
-    def blocks(self, ids=windows.COHORT_IDS) -> dict[str, DataFrame]:
+    def blocks(self, ids=windows.COHORT_IDS, features: DataFrame | None = None
+               ) -> dict[str, DataFrame]:
         """Long feature blocks of the whole cohort."""
-        return {STACKED.name: self.feature_long(STACKED.name, ids=ids),
+        return {STACKED.name: self.feature_long(STACKED.name, features, ids=ids),
                 "util": windows.util_long(self.util, ids=ids),
                 "lab_cts": windows.lab_count_long(self.lab_cts, ids=ids)}
 
@@ -163,9 +173,18 @@ class Study:
 
     @cached_property
     def fold_long_table(self) -> DataFrame:
-        """Stored feature rows that carry the fold."""
+        """Stored rows of the features of any fold; they carry the person's fold.
+
+        Definitions differ by fold, but a person's events do not: one pass finds all.
+        """
         ids = ("person_id", "fold")
-        return stored(assemble.assemble_long(self.folded, self.blocks(ids), ("fold",)))
+        every = self.fold_feature_table.drop("fold").distinct()
+        return stored(assemble.assemble_long(self.folded, self.blocks(ids, every), ("fold",)))
+
+    def defined(self, fold: int) -> DataFrame:
+        """Feature rows as a fold's own cuts define them (0: those of the whole cohort)."""
+        return plans.restrict_to(self.fold_long_table,
+                                 self.fold_feature_table.filter(F.col("fold") == fold))
 
     @cached_property
     def labelled(self) -> DataFrame:
@@ -177,7 +196,7 @@ class Study:
         return stored(self.long)
 
     def split(self, fold: int) -> tuple[DataFrame, DataFrame]:
-        """Train and test feature rows of a fold, from one long table."""
-        of = self.fold_long_table
+        """Train and test feature rows of a fold; its features come from its training part."""
+        of = self.defined(fold)
         return (cohort.fold_train(of, fold).drop("fold"),
                 cohort.fold_test(of, fold).drop("fold"))

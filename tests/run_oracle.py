@@ -10,6 +10,7 @@ import duckdb
 from pyspark.sql import SparkSession
 
 import __spark_entry__ as entry_points
+from cohortloom.functions.distributed import clear_stored
 from tests.compare import difference
 
 
@@ -23,7 +24,8 @@ def connect(folder: str):
 def main(folder: str, names: list[str]) -> int:
     spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
              .config("spark.sql.shuffle.partitions", "8")
-             .config("spark.driver.memory", "8g").getOrCreate())
+             .config("spark.driver.memory", "8g")
+             .config("spark.checkpoint.dir", "spark-warehouse/_work").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     con, sql, bad = connect(folder), entry_points.oracle_sql(), 0
     for name, fn in entry_points.queries().items():
@@ -36,6 +38,7 @@ def main(folder: str, names: list[str]) -> int:
                     else None if df.collect() else "empty result")
         except Exception as e:  # report and go on
             note = f"{type(e).__name__}: {str(e)[:600]}"
+        clear_stored(spark)
         bad += note is not None
         print(f"{'ok ' if note is None else 'BAD'} {name} {time.time() - start:.1f}s "
               f"{note or ''}", flush=True)

@@ -97,5 +97,7 @@ def test_drop_diff_and_model_score(spark):
     vectors = assemble.feature_vectors(cohort, train_rows, *assemble.vector_layout(train_rows))
     score = train.model_score(LogisticRegression(), vectors, vectors).first()
     assert score.auroc == 1.0 and score.accuracy == 1.0
-    table = train.model_eval(LogisticRegression(), vectors, folds=2)
-    assert rows(table, "params", "best") == [("default", True)]
+    table = train.model_eval(LogisticRegression(), vectors, {"regParam": [0.0, 5.0]}, folds=2)
+    assert table.count() == 2 * 2 * 6
+    assert table.filter("best").select("params").distinct().count() == 1
+    assert table.filter("value < 0 or value > 1").count() == 0

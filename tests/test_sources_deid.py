@@ -37,7 +37,7 @@ def test_output_modes_existence_and_overwrite(spark, catalog, tmp_path):
     assert not files_only.exists("t")
     assert spark.read.option("header", True).csv(str(tmp_path / "csv/t.csv")).count() == 3
     assert catalog.compute_new(df).count() == 3
-    assert catalog.pull(df, "id") == [0, 1, 2]
+    assert catalog.pull(df, "id", 10) == [0, 1, 2]
     with pytest.raises(ValueError):
         catalog.collect_new(df, limit=2)
     assert catalog.copy_to_new([(1, "a")], "loc", "i int, s string").first().s == "a"
