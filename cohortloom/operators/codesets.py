@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from typing import Sequence
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +26,22 @@ def read_codeset(spark: SparkSession, path: str, col_types: str | None = None,
 def load_codeset(spark: SparkSession, path: str, table_name: str,
                  col_types: str | None = None,
                  names: Sequence[str] | None = None) -> DataFrame:
-    """Read once, register under a name and keep for reuse."""
-    if spark.catalog.tableExists(table_name):
-        return spark.table(table_name)
-    codes = read_codeset(spark, path, col_types, names).cache()
-    codes.createOrReplaceTempView(table_name)
-    return spark.table(table_name)
+    """Read once, register under a name and keep for reuse.
+
+    A list is known by its name, file and types; other tables of that name are never
+    taken for it, and another file under the name replaces it.
+    """
+    known = (path, col_types, tuple(names or ()))
+    lists = _loaded.setdefault(spark, {})
+    if lists.get(table_name, (None,))[0] != known:
+        codes = read_codeset(spark, path, col_types, names).cache()
+        codes.createOrReplaceTempView(table_name)
+        lists[table_name] = (known, codes)
+    return lists[table_name][1]
+
+
+# Code lists of each session: name -> (file and types, rows).
+_loaded: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def get_descendants(codeset: DataFrame, concept: DataFrame, closure: DataFrame) -> DataFrame:

@@ -32,9 +32,10 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructTyp
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV folder with headers; nulls are written as empty fields."""
+    """CSV folder with headers; nulls are written as empty fields, blanks as they are."""
     (df.write.mode("overwrite").option("header", True).option("nullValue", "")
-     .option("emptyValue", "").option("escape", '"').csv(path))
+     .option("emptyValue", "").option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from cohortloom.config import DOMAINS, STACKED, UTIL_LOCATIONS, WINDOWS
 from cohortloom.functions import labels
-from cohortloom.functions.distributed import checkpoint_folder, durable, stored
+from cohortloom.functions.distributed import checkpoint_folder, stored, union_all
 from cohortloom.operators import (assemble, audit, codesets, cohort, deid, events, hierarchy,
                                   metrics, train, windows)
 from cohortloom.sources import files, schemas
+from cohortloom.sources.catalog import TableCatalog
 from cohortloom.sources.star_mapping import (BRANDS, PROMO_NODE, STAR_CONFIG, TYPES, group_id_of)
 from cohortloom.suite.oracle_views import MAX_DATE, months, window_case, with_views
 from cohortloom.suite.study import Study
@@ -70,6 +71,23 @@ def codeset_join(s: Study) -> DataFrame:
             .agg(F.count("*").alias("events")))
 
 
+@query("load_codeset", "SELECT concept_id, concept_name, concept_code, vocabulary_id FROM codeset")
+def load_codeset(s: Study) -> DataFrame:
+    return _csv_round_trip(s, s.cdm.codeset(),
+                           lambda p: codesets.load_codeset(s.spark, p, "type_groups"))
+
+
+@query("catalog_table", f"SELECT {COHORT} FROM base_cohort")
+def catalog_table(s: Study) -> DataFrame:
+    """A result written, found and read back through the catalog."""
+    catalog = TableCatalog(s.spark, "", "",
+                           f"{checkpoint_folder(s.spark)}/results-{uuid.uuid4().hex}")
+    catalog.output_tbl(s.base_cohort.select(*_columns(COHORT)), "cohort")
+    if not catalog.exists("cohort"):
+        raise RuntimeError("the result was not written")
+    return catalog.results_tbl("cohort")
+
+
 @query("rules_join", """
 SELECT r.action, count(*) AS events, count(DISTINCT e.person_id) AS persons
 FROM conditions e JOIN rules r ON r.condition_concept_id = e.condition_concept_id
@@ -81,13 +99,24 @@ def rules_join(s: Study) -> DataFrame:
         F.count("*").alias("events"), F.countDistinct("person_id").alias("persons"))
 
 
-@query("scan_files", """
-SELECT 'all' AS split, cut_no, node_identifier, tree_level, relative_risk,
-       log_likelihood_ratio, observations, expected, p_value FROM scan_lab""")
+@query("scan_files", " UNION ALL ".join(f"""
+SELECT '{d}' AS domain, {split} AS split, cut_no, node_identifier, tree_level, relative_risk,
+       log_likelihood_ratio, observations, expected, p_value FROM {view}_{d}"""
+    for d in DOMAINS for split, view in (("'all'", "scan"), ("fold::VARCHAR", "scan_fold"))))
 def scan_files(s: Study) -> DataFrame:
-    dotted = s.scan("lab").select(*[f.name for f in schemas.SCAN.fields]).toDF(
-        *schemas.SCAN_HEADER)
-    return _csv_round_trip(s, dotted, lambda p: files.read_scans(s.spark, {"all": p}))
+    """Scan files of every domain, of the whole cohort and of every training set."""
+    columns = [f.name for f in schemas.SCAN.fields]
+    whole, folds = stored(s.scan(STACKED.name)), stored(s.fold_scan(STACKED.name))
+    out = []
+    for d in DOMAINS:
+        paths = {}
+        for split in ("all", *map(str, range(1, s.cfg.folds + 1))):
+            rows = whole if split == "all" else folds.filter(F.col("fold") == int(split))
+            paths[split] = f"{checkpoint_folder(s.spark)}/csv-{uuid.uuid4().hex}"
+            files.write_csv(rows.filter(F.col("domain") == d).select(*columns)
+                            .toDF(*schemas.SCAN_HEADER), paths[split])
+        out.append(files.read_scans(s.spark, paths).withColumn("domain", F.lit(d)))
+    return union_all(out)
 
 
 # Cohort --------------------------------------------------------------------------------
@@ -697,6 +726,29 @@ def merge_sets(s: Study) -> DataFrame:
     return _merged(s)[1]
 
 
+@query("process_code_files", _MAPPED)
+def process_code_files(s: Study) -> DataFrame:
+    """Codes read from a file; what is returned comes from the file of mapped concepts."""
+    def read(path: str) -> DataFrame:
+        codesets.process_codes_from_file(s.spark, path, s.cdm.concept, s.cdm.concept_relationship)
+        return files.read_csv(s.spark, f"{path}_mapped.csv", _mapped(s).schema)
+
+    return _csv_round_trip(s, s.cdm.raw_codes, read)
+
+
+@query("merge_set_files", f"""
+SELECT DISTINCT std_concept_id AS concept_id, std_concept_name AS concept_name,
+       std_concept_code AS concept_code, std_vocabulary_id AS vocabulary_id
+FROM ({_EXPANDED})""")
+def merge_set_files(s: Study) -> DataFrame:
+    mapped, paths = _mapped(s), []
+    for vocabulary in ("ICD10CM", "ICD10"):
+        paths.append(f"{checkpoint_folder(s.spark)}/csv-{uuid.uuid4().hex}")
+        files.write_csv(mapped.filter(F.col("source_vocabulary_id") == vocabulary).select(
+            *[f.name for f in schemas.STD_CONCEPTS.fields]), paths[-1])
+    return codesets.merge_sets_from_files(s.spark, paths, s.cdm.concept, s.cdm.concept_ancestor)[1]
+
+
 @query("descendant_summary", f"""
 SELECT ancestor_concept_name, count(*) AS desc_ct FROM ({_EXPANDED}) GROUP BY 1""")
 def descendant_summary(s: Study) -> DataFrame:

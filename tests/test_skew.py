@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.ml.classification import LogisticRegression
 
 from cohortloom.config import DOMAINS, PhenotypeConfig
+from cohortloom.functions.distributed import stored
 from cohortloom.operators import assemble, events, hierarchy, train, windows
 from tests.conftest import day, rows
 
@@ -101,3 +102,38 @@ def test_drop_diff_and_model_score(spark):
     assert table.count() == 2 * 2 * 6
     assert table.filter("best").select("params").distinct().count() == 1
     assert table.filter("value < 0 or value > 1").count() == 0
+
+
+def test_events_without_an_id_stay_out_of_the_guard_join(splitting):
+    spark, cfg = splitting, PhenotypeConfig()
+    rows_in = spark.range(2000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id").cast("string")).alias("event_id"),
+        F.lit(5).cast("long").alias("ancestor_concept_id"))
+    source = F.when(F.col("id") < 100, F.col("id").cast("string"))
+    obs = spark.range(200).select(
+        F.lit(cfg.diagnosis_concept).cast("long").alias("observation_concept_id"),
+        F.lit(cfg.diagnosis_values[0]).cast("long").alias("value_as_concept_id"),
+        source.alias("observation_source_concept_id"))
+    rows_in = stored(rows_in)
+    kept = events.remove_label_events(rows_in, obs, DOMAINS["cond"].__class__(
+        "one", "events", "concept_id", (), "", "event_id"), cfg)
+    assert kept.count() == 2000 - 10
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("LeftAnti"):].splitlines()[1:3]
+    assert any("isnotnull(event_id" in line for line in below)
+
+
+def test_a_frequent_concept_meets_features_once_a_day(spark):
+    """Many events of one concept, person and day are one row before the feature join."""
+    people = spark.range(4).select(F.col("id").alias("person_id"),
+                                   F.lit(day("2021-03-01")).alias("index_date"))
+    visits = spark.range(4).select(F.col("id").alias("visit_occurrence_id"),
+                                   F.lit(day("2021-03-05")).alias("visit_start_date"))
+    many = spark.range(4000).select(
+        (F.col("id") % 4).alias("person_id"), (F.col("id") % 4).alias("visit_occurrence_id"),
+        F.lit(7).cast("long").alias("measurement_concept_id"))
+    features = spark.createDataFrame([(7, 1), (7, 2)],
+                                     "descendant_concept_id long, ancestor_concept_id long")
+    days = events.guarded_feature_days(people, features, many, visits, None, DOMAINS["lab"], -28)
+    assert rows(days, "person_id", "ancestor_concept_id") == [
+        (p, a) for p in range(4) for a in (1, 2)]
