@@ -15,6 +15,7 @@ and an even map; other columns are never read.
 from __future__ import annotations
 
 import heapq
+import uuid
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -132,7 +133,7 @@ def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(records(documents(spark, sf_dir)))
     sums = slot_sums(rows)
-    path = f"{checkpoint_folder(spark)}/slot-map-{spark.sparkContext.applicationId}-{id(rows):x}"
+    path = f"{checkpoint_folder(spark)}/slot-map-{uuid.uuid4().hex}"
     slot_map = store_map(spark, path, 0, first_map(sums), sums)
     return place(rows, slot_map).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
