@@ -66,6 +66,12 @@ def _solid(text: Column) -> Column:
     return F.length(F.translate(text, BLANKS, ""))
 
 
+def _n_words(line: Column) -> Column:
+    """Words of a line that has one; only lines with runs of blanks are split for it."""
+    return bind(F.trim(F.translate(line, BLANKS, " " * len(BLANKS))), lambda x: F.when(
+        F.contains(x, F.lit("  ")), F.size(words_of(x))).otherwise(_count(x, " ") + 1))
+
+
 def repeat_words(words: Column) -> Column:
     """Words inside 5-word windows that occur at least twice in the list."""
     hashes = F.when(F.size(words) >= WINDOW, F.transform(
@@ -112,8 +118,7 @@ def _verdict(line: Column, rules: LineRules) -> Column:
     return bind(F.struct(
         line.alias("line"), _solid(line).alias("solid"), _count(line, SYMBOLS).alias("symbols"),
         _count(line, SEPARATORS).alias("separators"),
-        # Blanks before words estimate their number without splitting again.
-        (_count(line, BLANKS) + 1).alias("n_words")), judge)
+        _n_words(line).alias("n_words")), judge)
 
 
 def quality_rules(docs: DataFrame, rules: LineRules | None = None, text: str = "text") -> DataFrame:

@@ -53,6 +53,22 @@ def test_rules_reject_what_is_mostly_menu(spark):
     assert kept == {0: False, 1: False, 2: True}
 
 
+def test_rules_count_words_not_blanks(spark):
+    """Indented, padded, tabbed and CRLF lines are judged by their words."""
+    around = [lambda x: x, lambda x: " " * 26 + x, lambda x: x + "\t" * 30, lambda x: x + " \r"]
+    between = [lambda x: "\t" + x.replace(" ", "   "), lambda x: x.replace(" ", " \t\x0b\x0c ") + "\r"]
+    furniture = ["Privacy Policy", "twelve words of furniture that say read more in one short line"]
+    plain = [("Home » About us » Contact our team", True), ("four words without marks", False),
+             ("a title of words " * 8 + "that never ends", True), (prose(5, 12), False)]
+    lines = [(f(x), True) for x in furniture for f in around]
+    lines += [(f(x), failed) for x, failed in plain for f in around + between]
+    docs = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    for i, (line, failed) in enumerate(lines):
+        assert got[i].lost_share == (1.0 if failed else 0.0), line
+        assert got[i].clean_text == ("" if failed else line)
+
+
 def test_licenses_on_odd_texts(odd_docs):
     got = [(r.doc_id, r.license, r.containment) for r in licenses.license_matches(odd_docs).collect()]
     assert got == [(16, "mit", 1.0)]
