@@ -6,9 +6,13 @@ the largest slot left to the lightest shard; rebalancing edits a copy of the
 newest version, moving as few bytes as even out the shards, and stores it as the
 next one.  Only the map, ``SLOTS`` rows whatever the data, meets the driver.
 
-Defined results: a null text has no bytes (size 1, like the empty text); records
-without an id are spread by their text; rows that agree in id follow each other
-in one slot; very long texts stay whole; an empty table gives an empty result
+The law is bytes, so a record's slot follows from its id, its size and checksum, and
+its number among the records that agree in all three: neither an id nor a text that
+many rows share fills a slot.  Equal records are counted, which combines before the
+shuffle, and numbered in chunks.
+
+Defined results: a null text has no bytes (size 1, like the empty text); rows that
+agree in id are spread over the slots; very long texts stay whole; an empty table gives an empty result
 and an even map; other columns are never read.
 """
 
@@ -28,26 +32,37 @@ from cohortloom.llm.common import documents, stored, utf8
 
 SLOTS = 8192
 SHARDS = 16
+CHUNK = 4096  # equal records numbered by one row
 MAP_SCHEMA = T.StructType([T.StructField("version", T.IntegerType()),
                            T.StructField("vslot", T.IntegerType()),
                            T.StructField("shard", T.IntegerType()),
                            T.StructField("rows_ahead", T.LongType())])
 
 
-def virtual_slot(key: Column, text: Column, slots: int = SLOTS) -> Column:
-    """Slot of a record; records without a key are spread by their text."""
-    return F.pmod(F.when(key.isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(text)),
-                  F.lit(slots)).cast("int")
+def virtual_slot(record: list[str], slots: int = SLOTS) -> Column:
+    """Slot of a record, from the columns that tell it from all others."""
+    return F.pmod(F.xxhash64(*record), F.lit(slots)).cast("int")
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with ``_nr``, 0 to n - 1 among n equal rows; no task holds all of them."""
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    chunks = counted.withColumn("_c", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / CHUNK))))
+    return (chunks.repartition(*rows.columns, "_c")
+            .withColumn("_nr", F.explode(F.sequence(
+                F.col("_c") * CHUNK, F.least((F.col("_c") + 1) * CHUNK, F.col("_n")) - 1)))
+            .drop("_n", "_c"))
 
 
 def records(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             slots: int = SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, vslot) without the texts."""
     body = utf8(text)
-    return docs.select(
+    rows = numbered(docs.select(
         F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"),
-        F.crc32(body.cast("binary")).cast("long").alias("text_crc32"),
-        virtual_slot(F.col(doc_id), body, slots).alias("vslot"))
+        F.crc32(body.cast("binary")).cast("long").alias("text_crc32")))
+    return rows.withColumn("vslot", virtual_slot(rows.columns, slots)).drop("_nr")
 
 
 def slot_sums(rows: DataFrame) -> dict[int, tuple[int, int]]:

@@ -157,6 +157,29 @@ def test_shards_are_even_and_reruns_agree(spark):
     assert len(load) == 16 and max(load.values()) <= 1.02 * min(load.values())
 
 
+@pytest.mark.parametrize("hot", [(7, None), (None, "one text"), (7, "one text")])
+def test_a_hot_key_fills_no_shard(spark, tmp_path, hot):
+    """A third of all rows share an id, a text without an id, or both."""
+    n = 60_000
+    docs = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit(hot[0])).otherwise(F.col("id") + 100).cast("long").alias("doc_id"),
+        F.when((F.col("id") % 3 == 0) & F.lit(hot[1] is not None), F.lit(hot[1]))
+        .otherwise(F.concat(F.lit("text "), "id")).alias("text"))
+    rows = sharding.records(docs)
+    sums = sharding.slot_sums(rows)
+    assert max(count for _, count in sums.values()) <= 60
+    table = sharding.store_map(spark, str(tmp_path / "map"), 0, sharding.first_map(sums), sums)
+    got = sharding.place(rows, table)
+    by_shard = got.groupBy("shard").agg(F.sum("size").alias("size"), F.count("*").alias("n"),
+                                        F.min("slot").alias("low"), F.max("slot").alias("high"),
+                                        F.count_distinct("slot").alias("slots")).collect()
+    assert len(by_shard) == 16 and sum(r.n for r in by_shard) == n
+    assert all(r.low == 0 and r.high == r.n - 1 and r.slots == r.n for r in by_shard)
+    assert max(r.size for r in by_shard) <= 1.02 * min(r.size for r in by_shard)
+    other = sharding.records(docs.repartition(11))
+    assert other.exceptAll(rows).count() == rows.exceptAll(other).count() == 0
+
+
 def test_rebalancing_edits_a_stored_map(spark, tmp_path):
     sums = {v: (1000 + v % 13, 1) for v in range(sharding.SLOTS)}
     old = sharding.first_map(sums)
