@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from cohortloom.llm import (
     bpe,
+    collocations,
     embedding_dedup,
+    lexical_search,
     licenses,
     mixing,
+    packing,
     quality_model,
     quality_rules,
     sharding,
@@ -16,7 +19,7 @@ from cohortloom.llm import (
 )
 
 _MODULES = (licenses, toxicity, embedding_dedup, suffix_dedup, quality_model, simhash, mixing,
-            sharding, bpe, quality_rules)
+            sharding, bpe, quality_rules, collocations, packing, lexical_search)
 
 QUERIES = {name: fn for module in _MODULES for name, fn in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
