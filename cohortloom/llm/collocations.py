@@ -48,7 +48,7 @@ MAX_WORDS = 5
 TOP = 2000
 NO_LANG = "und"
 MAX_BITS = 24                # bytes of the phrase table: 16 MB
-BLOCK = 2_000_000            # words counted at once
+BLOCK = 3_000_000            # words counted at once
 SLICE = 1 << 22              # bytes split at once
 WORD_LANES = 1024            # lanes of the empty prefix
 LANE_BITS = 16               # a lane takes prefixes of up to 2 ** 17 occurrences whole
@@ -140,81 +140,95 @@ STRIPE_SCHEMA = "lang string, prefix string, lane int, followers binary, counts
 
 
 class _Block:
-    """Words of a task until they are counted: numbers, with -1 for the end of a piece."""
+    """Words of a task until they are counted."""
 
     def __init__(self):
-        self.numbers: dict[bytes, int] = {}
-        self.words: list[bytes] = []
+        self.parts: list[pa.Array] = []
+        self.pending: list[bytes] = []
         self.langs: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
         self.owner: list[tuple[int, int]] = []      # (language, words) in order
         self.size = 0
-        self.numbers[_MARK] = -1
+        self.last: list[bytes] = []
 
     def add(self, lang: str, found: list[bytes]) -> None:
-        get, words, numbers = self.numbers.get, self.words, self.numbers
-        for w in set(found).difference(numbers):
-            numbers[w] = len(words)
-            words.append(w)
-        self.parts.append(np.fromiter(map(get, found), np.int64, len(found)))
+        self.pending.extend(found)
         self.owner.append((self.langs.setdefault(lang, len(self.langs)), len(found)))
         self.size += len(found)
+        self.last = (self.last + found[-MAX_WORDS:])[-MAX_WORDS:]
+        if len(self.pending) > 200_000:
+            self._settle()
 
-    def last(self, n: int) -> list[bytes]:
-        """The last ``n`` words and marks."""
-        flat = np.concatenate(self.parts[-n:])[-n:].tolist() if n else []
-        return [self.words[i] if i >= 0 else _MARK for i in flat]
+    def _settle(self) -> None:
+        self.parts.append(pa.array(self.pending, pa.binary()))
+        self.pending = []
+
+    def numbered(self) -> tuple[np.ndarray, list[bytes]]:
+        """Numbers of all words in order, -1 at the end of a piece, and the words by number."""
+        self._settle()
+        coded = pa.concat_arrays(self.parts).dictionary_encode()
+        ids = coded.indices.to_numpy()
+        words = coded.dictionary.to_pylist()
+        return np.where(ids == words.index(_MARK), -1, ids) if _MARK in words else ids, words
 
 
 def _stripes_of(block: _Block, length: int, table: PhraseTable | None, word_lanes: int,
                 lane_bits: int) -> Iterator[tuple]:
-    """(lang, prefix, lane, followers, counts) of prefixes of ``length`` words."""
-    if not block.parts or not block.words:
-        return
-    ids = np.concatenate(block.parts)
-    lang = np.repeat([o for o, _ in block.owner], [n for _, n in block.owner]).astype(np.int64)
+    """(lang, prefix, lane, followers, counts) of prefixes of ``length`` words.
+
+    The table holds phrases of as many words.
+    """
+    ids, words = block.numbered()
     n = len(ids) - length
     if n <= 0:
         return
-    hashes = np.array([_hash_word(w) for w in block.words] + [0], np.uint64)   # [-1] is a mark
+    lang = np.repeat([o for o, _ in block.owner], [n for _, n in block.owner]).astype(np.int32)
+    hashes = np.array([_hash_word(w) for w in words], np.uint64)
+    spread = (hashes >> np.uint64(40)).astype(np.int32)
     lang_names = list(block.langs)
-    lang_hash = np.array([_hash_word(x.encode()) for x in lang_names], np.uint64)
-    inside = np.ones(n, bool)
-    for k in range(length + 1):
-        inside &= ids[k:k + n] >= 0
-    at = np.flatnonzero(inside)
-    if length:
-        size = table(phrase_hashes(lang_hash[lang[at]], [hashes[ids[at + k]] for k in range(length)]))
-        at, size = at[size > 0], size[size > 0]
-        tail = table(phrase_hashes(lang_hash[lang[at]], [hashes[ids[at + k]] for k in range(1, length + 1)]))
-        at, size = at[tail > 0], size[tail > 0]
-    if not len(at):
-        return
-    n_words = len(block.words)
-    prefix = lang[at]                   # exact numbers of (language, prefix)
+    is_word = ids >= 0
+    lanes = np.int64(word_lanes)
+    if length:                 # the prefix and the phrase that ends with the follower are frequent
+        lang_hash = np.array([_hash_word(x.encode()) for x in lang_names], np.uint64)
+        at = np.flatnonzero(np.logical_and.reduce([is_word[k:n + 1 + k] for k in range(length)]))
+        size = np.zeros(n + 1, np.uint8)
+        size[at] = table(phrase_hashes(lang_hash[lang[at]], [hashes[ids[at + k]] for k in range(length)]))
+        at = np.flatnonzero((size[:-1] > 0) & (size[1:] > 0))
+        lanes = np.left_shift(1, np.clip(size[at].astype(np.int64) - lane_bits, 0, 12))
+    else:
+        at = np.flatnonzero(is_word)
+    if len(at):
+        yield from _grouped(ids, lang, at, length, lanes, spread, words, lang_names)
+
+
+def _grouped(ids: np.ndarray, lang: np.ndarray, at: np.ndarray, length: int, lanes,
+             spread: np.ndarray, words: list[bytes], lang_names: list[str]) -> Iterator[tuple]:
+    """Stripes of the phrases of ``length + 1`` words that start at the given places."""
+    n_words = len(words)
+    prefix, where = lang[at].astype(np.int64), None      # exact numbers of (language, prefix)
     for k in range(length):
-        prefix = np.unique(prefix * n_words + ids[at + k], return_inverse=True)[1]
+        prefix = prefix * n_words + ids[at + k]
+        if k:
+            where, prefix = np.unique(prefix, return_index=True, return_inverse=True)[1:]
     follower = ids[at + length]
-    spread = (hashes[follower] >> np.uint64(40)).astype(np.int64)
-    if length:
-        lanes = np.left_shift(1, np.clip(size.astype(np.int64) - lane_bits, 0, 12))
-    else:
-        lanes = np.full(len(at), word_lanes)
-    lane = spread % lanes
-    key = (prefix * (1 + int(lane.max())) + lane) * n_words + follower
-    key, first, count = np.unique(key, return_index=True, return_counts=True)
-    group = key // n_words
+    lane = spread[follower] % lanes
+    n_lanes = int(lane.max()) + 1
+    key, count = np.unique((prefix * n_lanes + lane) * n_words + follower, return_counts=True)
+    group, follower = np.divmod(key, n_words)
     cut = np.flatnonzero(np.diff(group, prepend=-1))
-    ends = np.append(cut[1:], len(group))
-    starts, lane, follower = at[first], lane[first], follower[first]
-    count = count.astype("<u4")
-    words = block.words
-    for a, b in zip(cut.tolist(), ends.tolist()):
-        start = int(starts[a])
-        yield (lang_names[lang[start]],
-               b" ".join([words[i] for i in ids[start:start + length].tolist()]).decode(),
-               int(lane[a]), b" ".join([words[i] for i in follower[a:b].tolist()]),
-               count[a:b].tobytes())
+    ends = np.append(cut[1:], len(group)).tolist()
+    prefix, lane = np.divmod(group[cut], n_lanes)
+    if length < 2:
+        own, one = np.divmod(prefix, n_words) if length else (prefix, prefix)
+        heads = [words[i] for i in one.tolist()] if length else [b""] * len(cut)
+    else:
+        start = at[where[prefix]]
+        own = lang[start]
+        heads = [b" ".join(p) for p in zip(*([words[i] for i in ids[start + k].tolist()]
+                                             for k in range(length)))]
+    names = [words[i] for i in follower.tolist()]
+    counts = count.astype("<u4").tobytes()
+    for o, head, x, a, b in zip(own.tolist(), heads, lane.tolist(), cut.tolist(), ends):
+        yield (lang_names[o], head.decode(), x, b" ".join(names[a:b]), counts[4 * a:4 * b])
 
 
 def _stripe_batches(rows: Iterator[tuple], each: int = 20_000) -> Iterator[pa.RecordBatch]:
@@ -238,7 +252,7 @@ def _stripe_batches(rows: Iterator[tuple], each: int = 20_000) -> Iterator[pa.Re
 def _stripe_task(length: int, classes: np.ndarray | None, block_words: int, word_lanes: int,
                  lane_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = PhraseTable(classes) if length else None
+        table = None if classes is None else PhraseTable(classes)
         block = _Block()
 
         def counted():
@@ -253,11 +267,12 @@ def _stripe_task(length: int, classes: np.ndarray | None, block_words: int, word
                     if block.size >= block_words:
                         yield from counted()
                         # Its last words may start phrases that end in the next block.
-                        border = block.last(length)
+                        border = block.last[-length:] if length else []
                         block = _Block()
                         if border:
                             block.add(lang, border)
-        yield from counted()
+        if block.size:
+            yield from counted()
 
     return run
 
