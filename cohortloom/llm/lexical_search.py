@@ -299,7 +299,7 @@ def _search_task(n_docs: int, n_terms: int, k: int):
 def search(docs: DataFrame, items: DataFrame, k: int = K, doc_id: str = "doc_id",
            text: str = "text", item_id: str = "item_id", item_text: str = "text",
            block_docs: int = BLOCK_DOCS, block_terms: int = BLOCK_TERMS,
-           block_queries: int = BLOCK_QUERIES, lane_rows: int = 1 << 16) -> DataFrame:
+           block_queries: int = BLOCK_QUERIES, lane_rows: int = 1 << 14) -> DataFrame:
     """(item_id, rank, doc_id, score): the ``k`` best documents of each item with a score above 0."""
     spark = docs.sparkSession
     queries = stored(query_terms(items, item_id, item_text))
