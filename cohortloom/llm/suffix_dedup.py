@@ -7,7 +7,8 @@ anywhere else in the corpus, the same text included.
    one with the least hash (the last of equal ones) is the window's anchor.  It
    depends on the window's bytes alone, so equal windows have equal anchors at
    equal offsets.  Every window has one anchor; an anchor stands for a run of
-   neighbouring windows, of which only a digest travels.
+   neighbouring windows, of which only a digest travels.  In a periodic text equal
+   runs follow each other; they make one row with their number.
 2. Classes.  Anchor hashes that occur once are dropped.  Runs with equal digests
    are one class: in a class of two or more all bytes repeat.  Copies of any
    number are thus settled by counting, combined before the shuffle.
@@ -50,9 +51,9 @@ from cohortloom.llm.common import discard, documents, stored
 LENGTH = 400
 GRAM = 128
 CELL = 68
-MAX_GROUP = 20_000
+MAX_GROUP = 4_000
 PIECE = 1 << 20          # bytes worked at once
-BATCH = 1_500_000        # symbols of one transform
+BATCH = 500_000          # symbols of one transform, beyond its first group
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -118,6 +119,19 @@ def _runs(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hasher: _Hasher
     return h[at], at, cut[keep], last[keep]
 
 
+def _fold(h: np.ndarray, d: np.ndarray, rows: np.ndarray, pos: np.ndarray, lo: np.ndarray,
+          hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, number) of equal runs that follow each other without a gap in one text."""
+    if not len(h):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    new = np.ones(len(h), bool)
+    new[1:] = pos[1:] != (pos + hi - lo + 1)[:-1]
+    for column in (h, d, rows, lo, hi):
+        new[1:] |= column[1:] != column[:-1]
+    first = np.flatnonzero(new)
+    return first, np.diff(np.append(first, len(h)))
+
+
 def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
     """Blocks of (row, offset, bytes); long texts in pieces that overlap by a window less one."""
     block, held = [], 0
@@ -162,11 +176,13 @@ def _anchor_task(length: int, gram: int):
                     first.tolist(), last.tolist(), lo.tolist(), hi.tolist())]
                 rows = np.array([row for row, _, _ in block])[piece]
                 shift = np.array([o for _, o, _ in block])[piece] - starts[piece]
+                keep, times = _fold(h, np.array(d, np.int64), rows, at + shift, lo, hi)
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(h), pa.array(d, pa.int64()), uid.take(pa.array(rows)),
-                     chk.take(pa.array(rows)), pa.array(at + shift, pa.int64()),
-                     pa.array(lo, pa.int16()), pa.array(hi, pa.int16())],
-                    ["h", "d", "uid", "chk", "pos", "lo", "hi"])
+                    [_signed(h[keep]), pa.array(np.array(d, np.int64)[keep]),
+                     uid.take(pa.array(rows[keep])), chk.take(pa.array(rows[keep])),
+                     pa.array((at + shift)[keep], pa.int64()), pa.array(times, pa.int64()),
+                     pa.array(lo[keep], pa.int16()), pa.array(hi[keep], pa.int16())],
+                    ["h", "d", "uid", "chk", "pos", "times", "lo", "hi"])
 
     return run
 
@@ -186,10 +202,13 @@ def squeezed(rows: DataFrame) -> DataFrame:
 
 
 def anchors(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """One row for each anchor: hash, digest of its windows, place, and window offsets."""
+    """A row for each anchor: hash, digest of its windows, place, and window offsets.
+
+    ``times`` equal anchors that follow each other, ``hi - lo + 1`` bytes apart, are one row.
+    """
     return rows.mapInArrow(
-        _anchor_task(length, gram),
-        "h bigint, d bigint, uid bigint, chk int, pos bigint, lo smallint, hi smallint")
+        _anchor_task(length, gram), "h bigint, d bigint, uid bigint, chk int, pos bigint, "
+        "times bigint, lo smallint, hi smallint")
 
 
 CELL_COLUMNS = ("h", "d", "single", "cell", "core", "lo", "left", "right")
@@ -238,15 +257,16 @@ def _search(groups: list[list[tuple]], cell: int) -> list[tuple[int, int, int, i
     base, parts, begins, at = n + 1, [], [], 0
     k = 0
     for g, group in enumerate(groups):
-        core = np.array([base + 256 + g])
+        core = np.array([base + 256 + g], np.int32)
         for _, _, _, left, right, _ in group:
-            part = np.concatenate([np.frombuffer(left, np.uint8).astype(np.int64) + base, core,
-                                   np.frombuffer(right, np.uint8).astype(np.int64) + base, [k + 1]])
+            part = np.concatenate([np.frombuffer(left, np.uint8).astype(np.int32) + base, core,
+                                   np.frombuffer(right, np.uint8).astype(np.int32) + base,
+                                   np.array([k + 1], np.int32)])
             parts.append(part)
             begins.append(at)
             at += len(part)
             k += 1
-    text = np.concatenate([*parts, [0]])
+    text = np.concatenate([*parts, np.zeros(1, np.int32)])
     found = repeated_starts(text, cell)
     which = np.searchsorted(np.array(begins), found, side="right") - 1
     out: list[tuple[int, int, int, int]] = []
@@ -275,22 +295,26 @@ def _search_task(cell: int):
                                           ["h", "d", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, group, key, size = [], [], None, 0
+        groups, group, key, size, mine = [], [], None, 0, 0
         for batch in batches:
             columns = [batch.column(c).to_pylist()
                        for c in ("h", "cell", "core", "d", "left", "right", "single")]
             for h, i, core, d, left, right, single in zip(*columns):
                 if (h, i, core) != key:
                     if len(group) > 1:
-                        groups.append(group)
-                        size += sum(len(m[3]) + len(m[4]) + 2 for m in group)
-                        if size > BATCH:
+                        if groups and size + mine > BATCH:
                             yield emit(groups)
                             groups, size = [], 0
-                    group, key = [], (h, i, core)
+                        groups.append(group)
+                        size += mine
+                    group, key, mine = [], (h, i, core), 0
                 if not group or group[-1][1] != d:  # equal rows bring a class twice
                     group.append((h, d, i, left, right, single))
+                    mine += len(left) + len(right) + 2
         if len(group) > 1:
+            if groups and size + mine > BATCH:
+                yield emit(groups)
+                groups = []
             groups.append(group)
         if groups:
             yield emit(groups)
@@ -322,7 +346,7 @@ def covered_ranges(runs: DataFrame, texts: DataFrame, length: int = LENGTH, cell
     ``runs`` are the anchors whose hash occurs at least twice.
     """
     classes = stored(runs.groupBy("h", "d").agg(
-        F.count("*").alias("n"), F.min(F.struct("uid", "chk", "pos", "lo", "hi")).alias("m")))
+        F.sum("times").alias("n"), F.min(F.struct("uid", "chk", "pos", "lo", "hi")).alias("m")))
     n_classes = classes.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
     most = n_classes.agg(F.max("k")).first()[0] or 0
     places = classes.join(n_classes, "h").groupBy("m.uid", "m.chk").agg(F.collect_list(F.struct(
@@ -351,14 +375,15 @@ def _merge(spans: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _cut_task(keep_text: bool):
+def _cut_task(keep_text: bool, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = {c: [] for c in ("n_bytes", "n_removed", "spans", "kept")}
             for packed, found in zip(batch.column("body"), batch.column("spans").to_pylist()):
                 text = unpack(packed.as_py())
-                spans = _merge([(s["start"], s["end"]) for s in found or ()])
+                spans = [(a, b) for a, b in _merge([(s["start"], s["end"]) for s in found or ()])
+                         if not min_words or len(text[a:b].split()) >= min_words]
                 edges = [0, *(x for span in spans for x in span), len(text)]
                 kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 out["n_bytes"].append(len(text))
@@ -379,28 +404,31 @@ def _cut_task(keep_text: bool):
 
 def repeats(docs: DataFrame, keep_text: bool = False, length: int = LENGTH, gram: int = GRAM,
             cell: int = CELL, max_group: int = MAX_GROUP, doc_id: str = "doc_id",
-            text: str = "text") -> DataFrame:
+            text: str = "text", min_words: int = 0) -> DataFrame:
     """The columns of ``docs`` but its text, then ``n_bytes n_removed spans`` and the kept text
-    or its digest.  Columns of these names are replaced."""
+    or its digest.  Columns of these names are replaced.  Spans of fewer than ``min_words``
+    words stay."""
     made = ("uid", "chk", "body", "spans", "n_bytes", "n_removed", "kept_text", "kept_sha256")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rest = [c for c in docs.columns if c != text and c not in made]
     rows = docs.select(*rest, F.xxhash64(F.col(doc_id), body).alias("uid"),
                        F.hash(body, F.col(doc_id)).alias("chk"), body.cast("binary").alias("body"))
     found = stored(anchors(rows.select("uid", "chk", "body"), length, gram))
-    twice = found.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1").select("h")
+    twice = found.groupBy("h").agg(F.sum("times").alias("k")).filter("k > 1").select("h")
     runs = stored(found.join(twice, "h"))
     discard(found)
     ranges = covered_ranges(runs, squeezed(rows.select("uid", "chk", "body")), length, cell,
                             max_group)
-    spans = (runs.drop("lo", "hi").join(ranges, ["h", "d"])
+    # The spans of runs that follow each other overlap.
+    ahead = (F.col("times") - 1) * (F.col("run_hi") - F.col("run_lo") + 1)
+    spans = (runs.withColumnsRenamed({"lo": "run_lo", "hi": "run_hi"}).join(ranges, ["h", "d"])
              .groupBy("uid", "chk").agg(F.collect_set(F.struct(
                  (F.col("pos") - F.col("hi")).alias("start"),
-                 (F.col("pos") - F.col("lo") + length).alias("end"))).alias("spans")))
+                 (F.col("pos") + ahead - F.col("lo") + length).alias("end"))).alias("spans")))
     packed = squeezed(rows)
     both = packed.join(spans, ["uid", "chk"], "left").select(*rest, "body", "spans")
     schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in rest)
-    return both.mapInArrow(_cut_task(keep_text), schema + (
+    return both.mapInArrow(_cut_task(keep_text, min_words), schema + (
         "n_bytes bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>, "
         + ("kept_text string" if keep_text else "kept_sha256 string")))
 

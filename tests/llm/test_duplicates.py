@@ -8,10 +8,10 @@ import numpy as np
 import pytest
 import xxhash
 
-import corpus_pipeline
-from cohortloom.llm import bwt, embedding_dedup, near_copies, simhash, suffix_dedup
+from cohortloom.llm import bwt, embedding_dedup, simhash, suffix_dedup
 from cohortloom.llm.common import components, connect
 from tests.conftest import SMALL
+from tests.llm.conftest import prose
 
 
 def groups_of(nodes, linked):
@@ -114,58 +114,6 @@ def test_one_of_each_group_stays(odd_docs):
     assert {r.doc_id for r in kept} == {c for _, _, c in slow_simhash(rows)}
 
 
-# Near copies ---------------------------------------------------------------------------
-def slow_near_copies(rows):
-    """Smallest ids of the groups by 5-word Jaccard of 0.8, and the most copies in a group."""
-    def shingles(text):
-        words = (text or "").encode().lower().split()
-        return {tuple(words[i:i + 5]) for i in range(len(words) - 4)} or {tuple(words)} - {()}
-
-    sets = [shingles(t) for _, t in rows]
-    linked = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i])
-              if 5 * len(a & b) >= 4 * len(a | b)]
-    group, low = groups_of(range(len(rows)), linked), {}
-    for k, (i, _) in enumerate(rows):
-        low.setdefault(group[k], []).append(i)
-    return sorted((min((i for i in ids if i is not None), default=None) for ids in low.values()), key=repr)
-
-
-@pytest.mark.parametrize("max_grams", [near_copies.MAX_GRAMS, 200])
-def test_near_copies_equal_brute_force(spark, odd_docs, max_grams):
-    rng, texts = random.Random(5), []
-    for _ in range(30):
-        words = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([30, 120, 400]))]
-        texts.append(" ".join(words))
-        for changes in range(1, 7):       # similarities on both sides of 0.8
-            other = list(words)
-            for _ in range(changes):
-                other[rng.randrange(len(other))] = f"x{rng.randrange(10 ** 6)}"
-            texts.append(" ".join(other))
-    rows = list(enumerate(texts))
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = near_copies.one_of_each_group(docs, max_grams=max_grams)
-    assert sorted((r.doc_id for r in got.collect()), key=repr) == slow_near_copies(rows)
-    got = near_copies.one_of_each_group(odd_docs, max_grams=max_grams)
-    assert got.columns == odd_docs.columns
-    assert sorted((r.doc_id for r in got.collect()), key=repr) == slow_near_copies(
-        [(r.doc_id, r.text) for r in odd_docs.collect()])
-
-
-def test_near_copies_of_nothing(no_docs):
-    assert near_copies.one_of_each_group(no_docs).count() == 0
-
-
-def test_the_pipeline_drops_copies_of_similarity_four_fifths(spark):
-    words = [f"w{i}" for i in range(204)]
-    near = [w + "x" if i in (20, 80, 140, 190) else w for i, w in enumerate(words)]  # 180 of 220
-    far = [w + "y" if i in (20, 60, 100, 140, 180) else w for i, w in enumerate(words)]  # 175 of 225
-    for other, left in ((near, [0]), (far, [0, 1])):
-        docs = spark.createDataFrame([(i, " ".join(x), "en", "s", 1) for i, x in enumerate((words, other))],
-                                     "doc_id long, text string, lang string, source string, n_chars long")
-        got = corpus_pipeline.drop_near_copies(spark, docs, SMALL)
-        assert sorted(r.doc_id for r in got.collect()) == left
-
-
 # Repeated passages -----------------------------------------------------------------------
 def slow_repeats(texts, length):
     raw = [(t or "").encode() for t in texts]
@@ -220,6 +168,27 @@ def test_very_long_texts_are_worked_in_pieces(spark, monkeypatch):
     assert found_repeats(df) == [(i, *w) for i, w in enumerate(slow_repeats(texts, 400))]
 
 
+def test_periodic_texts_take_one_row_for_equal_runs(spark):
+    texts = ["ab" * 100_000, "x" * 50_000, "one two three. " * 3000 + "ab" * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "uid long, text string").selectExpr(
+        "uid", "cast(uid as int) as chk", "cast(text as binary) as body")
+    found = suffix_dedup.anchors(df)
+    rows, total = found.count(), found.selectExpr("sum(times * (hi - lo + 1))").first()[0]
+    assert total == sum(len(t) - 399 for t in texts) and rows < 60
+    got = suffix_dedup.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: (r.n_removed, len(r.spans)) for r in got.collect()} == {
+        i: (len(t), 1) for i, t in enumerate(texts[:2])} | {2: (len(texts[2]), 1)}
+
+
+def test_short_spans_stay(spark):
+    long, short = prose(31, 60), prose(32, 45)
+    df = spark.createDataFrame([(0, "a! " + long), (1, long + " z? " + short), (2, short + " b.")],
+                               "doc_id long, text string")
+    got = suffix_dedup.repeats(df, length=200, gram=64, min_words=51, keep_text=True)
+    got = {r.doc_id: (r.kept_text, len(r.spans)) for r in got.collect()}
+    assert got[0] == ("a! ", 1) and got[1] == (" z? " + short, 1) and got[2] == (short + " b.", 0)
+
+
 def test_kept_text_has_whole_characters(spark):
     shared = "é" * 300
     df = spark.createDataFrame([(0, "a" + shared + "ü"), (1, "bb" + shared + "ö")],
