@@ -170,7 +170,7 @@ def _sql() -> str:
     """The same rules for DuckDB, with windows compared as strings."""
     blanks = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     r = LineRules()
-    phrases = " OR ".join(f"contains(lower(y), '{p}')" for p in BOILERPLATE)
+    phrases = " OR ".join(f"contains(lower(v.y), '{p}')" for p in BOILERPLATE)
     return rf"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -193,20 +193,19 @@ repeats AS (
     SELECT doc_id, t, i, lead(i) OVER (PARTITION BY doc_id, t ORDER BY i) AS nxt FROM again)
   GROUP BY doc_id, t),
 lost AS (
-  SELECT doc_id, t, w, lines, coalesce(list_sum(list_transform(lines, lambda y: CASE WHEN
-      100 * (length(y) - length(translate(y, '{SYMBOLS}', '')))
-        > {r.symbol_pct} * length(translate(y, {blanks}, ''))
-      OR 100 * (length(y) - length(replace(y, '!', '')))
-        > {r.exclaim_pct} * length(translate(y, {blanks}, ''))
-      OR (length(y) - length(translate(y, '{SEPARATORS}', '')) >= 2
-        AND 100 * (length(y) - length(translate(y, '{SEPARATORS}', '')))
-          > {r.separator_pct} * (length(y) - length(translate(y, {blanks}, '')) + 1))
-      OR (length(y) - length(translate(y, {blanks}, '')) + 1 >= {r.unpunctuated_words}
-        AND length(y) = length(translate(y, '{MARKS}', '')))
-      OR (length(y) - length(translate(y, {blanks}, '')) + 1 <= {r.boilerplate_words}
-        AND ({phrases}))
-    THEN length(translate(y, {blanks}, '')) ELSE 0 END)), 0) AS lost
-  FROM windows),
+  SELECT doc_id, t, w, lines, coalesce(list_sum(list_transform(judged, lambda v: CASE WHEN
+      100 * (length(v.y) - length(translate(v.y, '{SYMBOLS}', '')))
+        > {r.symbol_pct} * length(translate(v.y, {blanks}, ''))
+      OR 100 * (length(v.y) - length(replace(v.y, '!', '')))
+        > {r.exclaim_pct} * length(translate(v.y, {blanks}, ''))
+      OR (length(v.y) - length(translate(v.y, '{SEPARATORS}', '')) >= 2
+        AND 100 * (length(v.y) - length(translate(v.y, '{SEPARATORS}', '')))
+          > {r.separator_pct} * v.n)
+      OR (v.n >= {r.unpunctuated_words} AND length(v.y) = length(translate(v.y, '{MARKS}', '')))
+      OR (v.n <= {r.boilerplate_words} AND ({phrases}))
+    THEN length(translate(v.y, {blanks}, '')) ELSE 0 END)), 0) AS lost
+  FROM (SELECT *, list_transform(lines, lambda y: struct_pack(y := y, n := len(list_filter(
+      string_split_regex(y, '[\x20\x09-\x0D]+'), lambda z: z <> '')))) AS judged FROM windows)),
 counts AS (
   SELECT l.doc_id, len(l.w)::BIGINT AS n_words, length(translate(l.t, {blanks}, ''))::BIGINT AS word_chars,
     (length(l.t) - length(translate(l.t, '{SYMBOLS}', '')))::BIGINT AS n_symbols,
