@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import bpe, mixing, near_copies, quality_rules, suffix_dedup
+from cohortloom.llm import bpe, mixing, quality_rules, simhash, suffix_dedup
 from cohortloom.llm.common import documents, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+PASSAGE_BYTES = 200
+PASSAGE_WORDS = 51
 
 
 def _with_text(docs: DataFrame, text: str) -> DataFrame:
@@ -30,13 +32,22 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
-    return near_copies.one_of_each_group(docs.select(*COLUMNS))
+    """One document of each group of near-duplicates stays, the one with the smallest id.
+
+    Shingles and bits are those of the operator's own query: three words, at most three bits.
+    """
+    return simhash.one_of_each_group(docs.select(*COLUMNS))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that also occur elsewhere go; documents stay, if without text."""
-    return _with_text(suffix_dedup.repeats(docs.select(*COLUMNS), keep_text=True), "kept_text")
+    """Passages of over 50 words that also occur elsewhere go; documents stay, if without text.
+
+    51 words of three letters and their blanks take 203 bytes, so such passages are found by
+    strings of 200; every copy goes, shorter repeats stay.
+    """
+    return _with_text(suffix_dedup.repeats(
+        docs.select(*COLUMNS), keep_text=True, length=PASSAGE_BYTES, gram=64,
+        min_words=PASSAGE_WORDS), "kept_text")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

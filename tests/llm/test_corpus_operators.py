@@ -6,7 +6,6 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from cohortloom.llm import mixing, quality_model, registry, sharding, toxicity
 from cohortloom.llm.common import held_out
 from tests.conftest import SMALL
@@ -200,34 +199,3 @@ def test_shards_of_nothing(spark, no_docs, tmp_path):
     rows = sharding.records(no_docs)
     table = sharding.store_map(spark, str(tmp_path / "m"), 0, sharding.first_map({}), {})
     assert sharding.place(rows, table).count() == 0
-
-
-# Pipeline --------------------------------------------------------------------------------
-def test_pipeline_stages(spark, odd_docs, no_docs):
-    for docs in (odd_docs, no_docs):
-        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-            before = docs.count()
-            docs = stage(spark, docs, SMALL)
-            if i < 4:
-                assert docs.columns == list(corpus_pipeline.COLUMNS)
-                assert i == 3 or docs.count() <= before
-            else:
-                assert docs.count() == before
-
-
-def test_pipeline_keeps_clean_documents_and_cuts_copies(spark):
-    from tests.llm.conftest import PASSAGE, prose
-    texts = {0: prose(20, 200), 1: prose(21, 200), 2: prose(20, 200), 3: prose(22, 60) + PASSAGE,
-             4: PASSAGE + prose(23, 60), 5: "Home | News | Help | More\n" * 30}
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()],
-                                 "doc_id long, text string, lang string, source string, n_chars long")
-    out = docs
-    for _, stage in corpus_pipeline.STAGES[:3]:
-        out = stage(spark, out, SMALL)
-    got = {r.doc_id: r for r in out.collect()}
-    assert sorted(got) == [0, 1, 3, 4]
-    assert got[0].text == texts[0] and got[1].text == texts[1]
-    assert PASSAGE not in got[3].text and PASSAGE not in got[4].text
-    assert all(r.n_chars == len(r.text) for r in got.values())
-    rows = corpus_pipeline.run(spark, SMALL)
-    assert rows.columns == ["doc_id", "n_tokens", "ids", "decoded"] and rows.count() > 0
