@@ -44,20 +44,34 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def work_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared checkpoint folder, deleted by :func:`clear_stored`."""
+    path = f"{checkpoint_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut lineage through a Parquet table in the shared checkpoint folder.
 
     Unlike a checkpoint it keeps column pruning, and its file sizes let Spark
     decide on broadcasts from facts.
     """
-    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = work_path(df.sparkSession, "table")
     df.write.parquet(path)
-    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more."""
+    spark = table.sparkSession
+    for file in table.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def clear_stored(spark: SparkSession) -> None:
-    """Delete the tables that :func:`stored` wrote in this process, once nothing reads them."""
+    """Delete what this process wrote under :func:`work_path`, once nothing reads it."""
     while _written:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

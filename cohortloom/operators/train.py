@@ -1,4 +1,4 @@
-"""Boosted-tree training, cross-validation, grid search and artefacts with MLlib."""
+"""Training, cross-validation, grid search and artefacts of MLlib models."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from typing import Mapping, Sequence
 
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -47,34 +47,17 @@ def _compact(vectors: DataFrame) -> DataFrame:
     return kept.coalesce(max(1, math.ceil(kept.count() / _ROWS)))
 
 
-def boosted_trees(cfg: PhenotypeConfig = PhenotypeConfig(), features: str = "scaled"):
-    """One boosted ensemble per class against the rest.
-
-    Boosting rounds are iterative, so node ids are checkpointed every few trees.
-    """
-    trees = GBTClassifier(
-        featuresCol=features, labelCol="label", maxIter=cfg.trees, stepSize=cfg.learning_rate,
-        maxDepth=cfg.tree_depth, featureSubsetStrategy=str(cfg.column_sample), seed=cfg.seed,
-        checkpointInterval=10)
-    return OneVsRest(classifier=trees, featuresCol=features, labelCol="label", parallelism=3)
-
-
 def random_forest(cfg: PhenotypeConfig = PhenotypeConfig(), features: str = "scaled"):
-    """Multiclass alternative with native probabilities."""
+    """Multiclass forest with native probabilities (boosting: ``operators.boosting``)."""
     return RandomForestClassifier(
         featuresCol=features, labelCol="label", numTrees=cfg.trees, maxDepth=cfg.tree_depth,
         featureSubsetStrategy=str(cfg.column_sample), seed=cfg.seed)
 
 
 def class_probabilities(scored: DataFrame, classes: int = 3) -> DataFrame:
-    """p0..pk from native probabilities, or from margins by 1 / (1 + exp(-2 m)), summing to 1."""
-    if "probability" in scored.columns:
-        raw = vector_to_array("probability")
-    else:
-        raw = F.transform(vector_to_array("rawPrediction"),
-                          lambda m: 1 / (1 + F.exp(-2 * m)))
+    """p0..pk from a model's probabilities, summing to 1."""
     total = F.aggregate("_raw", F.lit(0.0), lambda a, b: a + b)
-    rows = scored.withColumn("_raw", raw)
+    rows = scored.withColumn("_raw", vector_to_array("probability"))
     return rows.select(
         *[c for c in ("person_id", "fold") if c in scored.columns],
         F.col("label").cast("int").alias("y3"),

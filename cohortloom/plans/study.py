@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cohortloom.config import DOMAINS, STACKED, CutThreshold, PhenotypeConfig
 from cohortloom.functions.distributed import union_all
 from cohortloom.functions.labels import feature_dictionary
-from cohortloom.operators import assemble, audit, events, hierarchy, train, windows
+from cohortloom.operators import assemble, audit, boosting, events, hierarchy, train, windows
 from cohortloom.operators import cohort as cohorts
 from cohortloom.sources import files
 from cohortloom.sources.catalog import TableCatalog
@@ -148,10 +148,31 @@ def restrict_to(long: DataFrame, features: DataFrame) -> DataFrame:
     return union_all([long.filter(~coded), own.select(*long.columns)])
 
 
+def defined_keys(long: DataFrame, features: DataFrame, folds: int) -> DataFrame:
+    """(fold, feature_key): the keys of ``long`` that each fold's own features define.
+
+    Coded features follow the fold's cuts; all other blocks belong to every fold.
+    """
+    keys = long.select("domain", "feature_key").distinct()
+    coded = F.col("domain").isin(*DOMAINS)
+    own = features.select("fold", "domain", F.col("ancestor_concept_id").cast("string").alias("_id")
+                          ).distinct()
+    # A coded key is "{window}_{concept id}".
+    chosen = (keys.filter(coded).withColumn("_id", F.substring_index("feature_key", "_", -1))
+              .join(own, ["domain", "_id"]).select("fold", "feature_key"))
+    every = F.explode(F.sequence(F.lit(1), F.lit(folds))).alias("fold")
+    return chosen.unionByName(keys.filter(~coded).select(every, "feature_key"))
+
+
 def train_model(catalog: TableCatalog, cfg: PhenotypeConfig, model_path: str,
                 estimator=None) -> dict[str, DataFrame]:
-    """Cross-validated predictions and metrics, then the fit on everybody."""
-    estimator = train.boosted_trees(cfg) if estimator is None else estimator
+    """Cross-validated predictions and metrics, then the fit on everybody.
+
+    The model is the boosted ensemble, whose nodes go to ``model_path`` as a table; an MLlib
+    estimator takes its place where one is given.
+    """
+    if estimator is None:
+        return _train_boosted(catalog, cfg, model_path)
     cohort = catalog.results_tbl("cohort")
     longs = {}
     for fold in range(1, cfg.folds + 1):
@@ -166,3 +187,20 @@ def train_model(catalog: TableCatalog, cfg: PhenotypeConfig, model_path: str,
     slots = catalog.copy_to_new(list(enumerate(names)), "model_columns",
                                 "slot int, feature_key string")
     return {"predictions": predictions, "metrics": metrics, "columns": slots}
+
+
+def _train_boosted(catalog: TableCatalog, cfg: PhenotypeConfig, model_path: str
+                   ) -> dict[str, DataFrame]:
+    cohort, boost = catalog.results_tbl("cohort"), boosting.Boost.of(cfg)
+    long, features = catalog.results_tbl("features_long"), catalog.results_tbl("features")
+    by_fold = features.filter("split <> 'all'").withColumn("fold", F.col("split").cast("int"))
+    ensemble = boosting.cross_validate(cohort, long, defined_keys(long, by_fold, cfg.folds),
+                                       cfg.folds, boost)
+    predictions = catalog.output_tbl(ensemble.predictions(), "predictions")
+    metrics = catalog.output_tbl(train.cv_metrics(predictions, cfg.thresholds), "cv_metrics")
+    whole = boosting.train_full(cohort, split_rows(catalog, "all"), boost)
+    boosting.save(whole, model_path)
+    loss = catalog.output_tbl(ensemble.loss_table(catalog.spark), "cv_loss")
+    columns = catalog.output_tbl(whole.slots.select("slot", "feature_key"), "model_columns")
+    return {"predictions": predictions, "metrics": metrics, "columns": columns, "loss": loss,
+            "nodes": boosting.load(catalog.spark, model_path)}

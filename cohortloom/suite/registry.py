@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 from typing import Callable
 
@@ -12,9 +11,10 @@ from pyspark.sql import functions as F
 
 from cohortloom.config import DOMAINS, STACKED, UTIL_LOCATIONS, WINDOWS
 from cohortloom.functions import labels
-from cohortloom.functions.distributed import checkpoint_folder, stored, union_all
-from cohortloom.operators import (assemble, audit, codesets, cohort, deid, events, hierarchy,
-                                  metrics, train, windows)
+from cohortloom.functions.distributed import stored, union_all, work_path
+from cohortloom.operators import (assemble, audit, boosting, codesets, cohort, deid, events,
+                                  hierarchy, metrics, train, windows)
+from cohortloom.plans import study as plans
 from cohortloom.sources import files, schemas
 from cohortloom.sources.catalog import TableCatalog
 from cohortloom.sources.star_mapping import (BRANDS, PROMO_NODE, STAR_CONFIG, TYPES, group_id_of)
@@ -48,7 +48,7 @@ def _columns(text: str) -> list[str]:
 
 def _csv_round_trip(study: Study, df: DataFrame, read) -> DataFrame:
     """Write a frame as CSV into the shared folder and read it back through a typed source."""
-    path = f"{checkpoint_folder(study.spark)}/csv-{uuid.uuid4().hex}"
+    path = work_path(study.spark, "csv")
     files.write_csv(df, path)
     return read(path)
 
@@ -81,7 +81,7 @@ def load_codeset(s: Study) -> DataFrame:
 def catalog_table(s: Study) -> DataFrame:
     """A result written, found and read back through the catalog."""
     catalog = TableCatalog(s.spark, "", "",
-                           f"{checkpoint_folder(s.spark)}/results-{uuid.uuid4().hex}")
+                           work_path(s.spark, "results"))
     catalog.output_tbl(s.base_cohort.select(*_columns(COHORT)), "cohort")
     if not catalog.exists("cohort"):
         raise RuntimeError("the result was not written")
@@ -112,7 +112,7 @@ def scan_files(s: Study) -> DataFrame:
         paths = {}
         for split in ("all", *map(str, range(1, s.cfg.folds + 1))):
             rows = whole if split == "all" else folds.filter(F.col("fold") == int(split))
-            paths[split] = f"{checkpoint_folder(s.spark)}/csv-{uuid.uuid4().hex}"
+            paths[split] = work_path(s.spark, "csv")
             files.write_csv(rows.filter(F.col("domain") == d).select(*columns)
                             .toDF(*schemas.SCAN_HEADER), paths[split])
         out.append(files.read_scans(s.spark, paths).withColumn("domain", F.lit(d)))
@@ -743,7 +743,7 @@ FROM ({_EXPANDED})""")
 def merge_set_files(s: Study) -> DataFrame:
     mapped, paths = _mapped(s), []
     for vocabulary in ("ICD10CM", "ICD10"):
-        paths.append(f"{checkpoint_folder(s.spark)}/csv-{uuid.uuid4().hex}")
+        paths.append(work_path(s.spark, "csv"))
         files.write_csv(mapped.filter(F.col("source_vocabulary_id") == vocabulary).select(
             *[f.name for f in schemas.STD_CONCEPTS.fields]), paths[-1])
     return codesets.merge_sets_from_files(s.spark, paths, s.cdm.concept, s.cdm.concept_ancestor)[1]
@@ -1089,41 +1089,76 @@ def _prepared(s: Study) -> Study:
     return s
 
 
-def _predictions(s: Study, estimator) -> DataFrame:
-    """Out-of-fold probabilities of all five folds."""
+def _boosted(s: Study) -> boosting.Ensemble:
+    """Models of all five folds, each on the features of its own cuts."""
     s = _prepared(s)
-    folds = {i: s.split(i) for i in range(1, s.cfg.folds + 1)}
-    return stored(train.train_cv(s.folded, folds, estimator, s.cfg))
+    defined = plans.defined_keys(s.fold_long_table, s.fold_feature_table, s.cfg.folds)
+    return boosting.cross_validate(s.folded, s.fold_long_table, defined, s.cfg.folds,
+                                   boosting.Boost.of(s.cfg))
 
 
 @query("train_cv")
 def train_cv(s: Study) -> DataFrame:
-    return train.cv_metrics(_predictions(s, train.boosted_trees(s.cfg)), s.cfg.thresholds)
+    return train.cv_metrics(_boosted(s).predictions(), s.cfg.thresholds)
 
 
-@query("train_cv_facts", """
+@query("train_cv_facts", f"""
 SELECT fold, count(*) AS persons, count(*) AS predicted_once,
        sum((pasc_flag + pasc_not_misc_flag = 0)::INT)::BIGINT AS n0,
        sum((pasc_flag + pasc_not_misc_flag = 1)::INT)::BIGINT AS n1,
-       sum((pasc_flag + pasc_not_misc_flag = 2)::INT)::BIGINT AS n2, count(*) AS sums_to_one
+       sum((pasc_flag + pasc_not_misc_flag = 2)::INT)::BIGINT AS n2, count(*) AS sums_to_one,
+       count(*) AS repeated, {3 * STAR_CONFIG.trees}::BIGINT AS trees,
+       {STAR_CONFIG.trees - 1}::BIGINT AS rounds_that_fell
 FROM folded GROUP BY fold""")
 def train_cv_facts(s: Study) -> DataFrame:
-    """What holds for out-of-fold predictions of any model, here of a quick one."""
-    quick = LogisticRegression(featuresCol="scaled", maxIter=20)
+    """What holds for the boosted ensemble of every fold.
+
+    ``repeated`` counts persons whose scores from the joined nodes equal the trainer's.
+    """
+    fitted = _boosted(s)
+    predictions, nodes = fitted.predictions(), stored(fitted.nodes)
     whole = F.abs(F.col("p0") + F.col("p1") + F.col("p2") - 1) < 1e-9
-    return _predictions(s, quick).groupBy("fold").agg(
+    again = boosting.score(nodes, s.folded, s.fold_long_table).select(
+        F.col("model").alias("fold"), "person_id", *[F.col(f"p{k}").alias(f"q{k}") for k in range(3)])
+    same = F.greatest(*[F.abs(F.col(f"p{k}") - F.col(f"q{k}")) for k in range(3)]) < 1e-9
+    people = predictions.join(again, ["person_id", "fold"]).groupBy("fold").agg(
         F.count("*").alias("persons"), F.count_distinct("person_id").alias("predicted_once"),
         *[F.sum((F.col("y3") == k).cast("long")).alias(f"n{k}") for k in range(3)],
-        F.sum(whole.cast("long")).alias("sums_to_one"))
+        F.sum(whole.cast("long")).alias("sums_to_one"), F.sum(same.cast("long")).alias("repeated"))
+    grown = nodes.groupBy(F.col("model").alias("fold")).agg(
+        F.count_distinct("tree", "klass").alias("trees"))
+    loss = fitted.loss_table(s.spark)
+    later = loss.select("model", (F.col("round") + 1).alias("round"), F.col("loss").alias("before"))
+    fell = loss.join(later, ["model", "round"]).groupBy(F.col("model").alias("fold")).agg(
+        F.sum((F.col("loss") < F.col("before")).cast("long")).alias("rounds_that_fell"))
+    return people.join(grown, "fold").join(fell, "fold")
+
+
+def _full_scores(s: Study) -> tuple[DataFrame, DataFrame]:
+    """(trainer's probabilities, those of the saved and reloaded nodes) of a fit on everybody."""
+    s = _prepared(s)
+    long = stored(s.defined(0).drop("fold"))
+    fitted = boosting.train_full(s.folded, long, boosting.Boost.of(s.cfg))
+    path = work_path(s.spark, "model")
+    boosting.save(fitted, path)
+    return fitted.predictions(), boosting.score(boosting.load(s.spark, path), s.folded, long)
 
 
 @query("train_full")
 def train_full(s: Study) -> DataFrame:
-    s = _prepared(s)
-    model, scaled, _ = train.train_full(s.folded, s.defined(0).drop("fold"),
-                                        train.boosted_trees(s.cfg))
-    train.save_model(model, f"{checkpoint_folder(s.spark)}/model-{uuid.uuid4().hex}")
-    return train.class_probabilities(model.stages[-1].transform(scaled))
+    return _full_scores(s)[1].drop("model")
+
+
+@query("train_full_facts", """
+SELECT pasc_flag + pasc_not_misc_flag AS y3, count(*) AS persons, count(*) AS repeated
+FROM folded GROUP BY 1""")
+def train_full_facts(s: Study) -> DataFrame:
+    """Persons whose scores from the reloaded nodes equal the trainer's."""
+    first, again = _full_scores(s)
+    again = again.select("person_id", *[F.col(f"p{k}").alias(f"q{k}") for k in range(3)])
+    same = F.greatest(*[F.abs(F.col(f"p{k}") - F.col(f"q{k}")) for k in range(3)]) < 1e-9
+    return first.join(again, "person_id").groupBy("y3").agg(
+        F.count("*").alias("persons"), F.sum(same.cast("long")).alias("repeated"))
 
 
 @query("grid_search")
@@ -1141,6 +1176,5 @@ def grid_search(s: Study) -> DataFrame:
        "OR feature_key = 'entry_age' AS counted FROM long_all")
 def model_slots(s: Study) -> DataFrame:
     """The slots of the feature vectors, flags and counts."""
-    flags, counts = assemble.vector_layout(s.long_table)
-    return s.spark.createDataFrame([(k, False) for k in flags] + [(k, True) for k in counts],
-                                   "feature_key string, counted boolean")
+    counted = F.col("domain").isin(*assemble.COUNT_DOMAINS) | (F.col("feature_key") == assemble.AGE_KEY)
+    return s.long.select("feature_key", counted.alias("counted")).distinct()

@@ -62,3 +62,9 @@ def test_study_from_tables_to_model(spark, tmp_path):
     assert off.count() == 0
     assert out["metrics"].count() == 2 * 3 * 2
     assert out["columns"].count() > 20
+
+    boosted = plans.train_model(catalog, replace(cfg, trees=3, tree_depth=3), str(tmp_path / "nodes"))
+    assert boosted["predictions"].count() == persons
+    assert boosted["nodes"].select("tree", "klass").distinct().count() == 9
+    assert boosted["loss"].count() == 3 * cfg.folds
+    assert boosted["columns"].count() > 20
