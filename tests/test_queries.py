@@ -21,6 +21,9 @@ def test_registry_is_consistent():
     missing = set(entry_points.queries()) - set(entry_points.oracle_sql())
     assert {n for n in missing if not n.startswith("op") and n != "pipeline"} == {
         "train_cv", "train_full", "grid_search"}
+    assert {n for n in missing if n.startswith("op")} <= {
+        "op2_toxicity", "op3_embedding_dedup", "op4_suffix_dedup", "op5_quality_model", "op6_simhash",
+        "op7_mixing", "op8_sharding", "op9_bpe", "op12_packing"}
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
