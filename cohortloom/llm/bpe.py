@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from cohortloom.llm.common import documents
 
 MAX_WORDS = 400_000
+BLOCK = 4 << 20          # bytes of a block
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -66,7 +67,7 @@ class _Words:
                 self.text[word] = b" ".join([self.pieces[i] for i in ids])
 
 
-def _blocks(column: pa.Array, limit: int = 4 << 20) -> Iterator[list[list[bytes]]]:
+def _blocks(column: pa.Array, limit: int) -> Iterator[list[list[bytes]]]:
     """Word lists of consecutive rows, about ``limit`` bytes at a time."""
     block, held = [], 0
     for value in column:
@@ -80,12 +81,12 @@ def _blocks(column: pa.Array, limit: int = 4 << 20) -> Iterator[list[list[bytes]
         yield block
 
 
-def _coder(vocabulary: str, digest: bool, max_words: int):
+def _coder(vocabulary: str, digest: bool, max_words: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Words(vocabulary, max_words)
         for batch in batches:
             at = 0
-            for block in _blocks(batch.column(1)):
+            for block in _blocks(batch.column(1), block_bytes):
                 table.learn(set().union(*block))
                 ids = [b"".join(map(table.ids.__getitem__, words)) for words in block]
                 texts = [b" ".join(filter(None, map(table.text.__getitem__, words)))
@@ -110,7 +111,8 @@ def _coder(vocabulary: str, digest: bool, max_words: int):
 
 
 def encode(docs: DataFrame, path: str | None = None, digest: bool = False,
-           doc_id: str = "doc_id", text: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
+           doc_id: str = "doc_id", text: str = "text", max_words: int = MAX_WORDS,
+           block: int = BLOCK) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded), or with ``digest`` the SHA-256 of the last two."""
     vocabulary = Path(path or vocabulary_path()).read_text(encoding="utf-8")
     picked = docs.select(F.col(doc_id).alias("doc_id"),
@@ -118,7 +120,7 @@ def encode(docs: DataFrame, path: str | None = None, digest: bool = False,
     kind = picked.schema["doc_id"].dataType.simpleString()
     last = ("ids_sha256 string, decoded_sha256 string" if digest
             else "ids array<int>, decoded string")
-    return picked.mapInArrow(_coder(vocabulary, digest, max_words),
+    return picked.mapInArrow(_coder(vocabulary, digest, max_words, block),
                              f"doc_id {kind}, n_tokens bigint, {last}")
 
 
