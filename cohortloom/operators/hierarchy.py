@@ -6,11 +6,12 @@ from datetime import date
 from typing import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortloom.config import CutThreshold, Domain, compare
 from cohortloom.functions.dates import follow_up_possible, in_follow_up
-from cohortloom.functions.distributed import row_numbers, union_set
+from cohortloom.functions.distributed import union_set
 from cohortloom.functions.text import paste
 from cohortloom.operators.events import cohort_events
 
@@ -190,12 +191,20 @@ def significant(scan: DataFrame, threshold: CutThreshold) -> DataFrame:
 
 
 def select_cuts(scan: DataFrame, nodes: DataFrame, threshold: CutThreshold,
-                by: Sequence[str] = ()) -> DataFrame:
-    """Significant nodes with their label, ranked by log-likelihood ratio within ``by``."""
+                by: Sequence[str] = (), k: int | None = None) -> DataFrame:
+    """Significant nodes with their label, ranked by log-likelihood ratio within ``by``.
+
+    Cuts are tree nodes, whose number follows the vocabulary and not the persons, so a window
+    ranks them.  With ``k`` only the best stay: tasks pass on at most ``k`` of a group before
+    the shuffle, and labels are joined to what is left.
+    """
+    rank = F.row_number().over(W.partitionBy(*(by or [F.lit(0)])).orderBy(
+        F.desc("log_likelihood_ratio"), F.asc("node_identifier"))).cast("long")
+    ranked = significant(scan, threshold).withColumn("cut_rank", rank)
+    if k is not None:
+        ranked = ranked.filter(F.col("cut_rank") <= k)
     labels = nodes.withColumnRenamed("node_concept_id", "node_identifier")
-    labelled = significant(scan, threshold).join(labels, "node_identifier", "left")
-    return row_numbers(labelled, [F.desc("log_likelihood_ratio"), F.asc("node_identifier")],
-                       "cut_rank", by)
+    return ranked.join(labels, "node_identifier", "left")
 
 
 def expand_cuts(cuts: DataFrame, concept: DataFrame, closure: DataFrame, domain: Domain,

@@ -28,19 +28,21 @@ def build_cohort(catalog: TableCatalog, cfg: PhenotypeConfig, rules_path: str,
     if clusters_path is not None:
         catalog.output_tbl(files.read_clusters(catalog.spark, clusters_path), "cluster_master")
     visits = catalog.cdm_tbl("visit_occurrence")
-    made = catalog.compute_new(cohorts.make_cohort(
+    log = audit.StepLog(catalog.spark, cfg.site)  # counted by the passes that write the tables
+    made = catalog.compute_new(log.observed(cohorts.make_cohort(
         catalog.cdm_tbl("observation_derivation"), catalog.cdm_tbl("condition_occurrence"),
-        visits, rules, cfg.max_date, cfg), "cohort_labelled")
-    followed = catalog.compute_new(cohorts.filter_visits(made, visits, cfg.n_visits),
-                                   "cohort_followed")
+        visits, rules, cfg.max_date, cfg), step="labelled"), "cohort_labelled")
+    followed = catalog.compute_new(log.observed(cohorts.filter_visits(
+        made, visits, cfg.n_visits), step="follow-up visits"), "cohort_followed")
     moved = cohorts.impute_dates(followed, cfg.min_window, cfg.max_window, cfg.impute_seed)
-    aged = cohorts.join_cohort_demo(moved, catalog.cdm_tbl("person"), cfg)
-    clipped = cohorts.filter_dates(aged, cfg.min_date, cfg.max_date)
-    study = catalog.compute_new(cohorts.get_cohort_entry_period(clipped, cfg), "cohort_study")
+    aged = log.observed(cohorts.join_cohort_demo(moved, catalog.cdm_tbl("person"), cfg), step="age")
+    clipped = log.observed(cohorts.filter_dates(aged, cfg.min_date, cfg.max_date),
+                           step="study period")
+    study = catalog.compute_new(log.observed(cohorts.get_cohort_entry_period(clipped, cfg),
+                                             step="entry period"), "cohort_study")
     folded = catalog.output_tbl(cohorts.split_cohort(study, cfg.folds, cfg.seed), "cohort")
-    catalog.output_tbl(audit.attrition({
-        "labelled": made, "follow-up visits": followed, "age": aged,
-        "study period": clipped, "entry period": study}), "attrition")
+    log.output_sum(catalog)
+    catalog.output_tbl(log.frame().select("persons", "rows", "step_number", "step"), "attrition")
     return folded
 
 

@@ -80,8 +80,7 @@ def load_codeset(s: Study) -> DataFrame:
 @query("catalog_table", f"SELECT {COHORT} FROM base_cohort")
 def catalog_table(s: Study) -> DataFrame:
     """A result written, found and read back through the catalog."""
-    catalog = TableCatalog(s.spark, "", "",
-                           work_path(s.spark, "results"))
+    catalog = TableCatalog(s.spark, "", "", work_path(s.spark, "results"))
     catalog.output_tbl(s.base_cohort.select(*_columns(COHORT)), "cohort")
     if not catalog.exists("cohort"):
         raise RuntimeError("the result was not written")
@@ -608,6 +607,23 @@ def fold_cuts(s: Study) -> DataFrame:
     return ranked.select("domain", "fold", "node_identifier", "log_likelihood_ratio", "cut_rank")
 
 
+_TOP = 3
+
+
+@query("top_cuts", f"""
+SELECT * FROM ({_each_domain("""
+  SELECT '{d}' AS domain, fold::INT AS fold, node_identifier, log_likelihood_ratio,
+    row_number() OVER (
+      PARTITION BY fold ORDER BY log_likelihood_ratio DESC, node_identifier) AS cut_rank
+  FROM cuts_fold_{d}""")}) WHERE cut_rank <= {_TOP}""")
+def top_cuts(s: Study) -> DataFrame:
+    """The best few cuts of each domain and training set."""
+    best = hierarchy.select_cuts(
+        s.fold_scan(STACKED.name), s.nodes(STACKED.name).drop("domain").distinct(),
+        s.cfg.cut_thresholds[STACKED.name], by=("domain", "fold"), k=_TOP)
+    return best.select("domain", "fold", "node_identifier", "log_likelihood_ratio", "cut_rank")
+
+
 @query("fold_features", _each_domain("""
 SELECT '{d}' AS domain, fold::INT AS fold, ancestor_concept_id, descendant_concept_id
 FROM features_fold_{d}"""))
@@ -809,22 +825,32 @@ UNION ALL SELECT 3, 'age', count(DISTINCT person_id), count(*) FROM demo
 UNION ALL SELECT 4, 'study period', count(DISTINCT person_id), count(*) FROM dated
 UNION ALL SELECT 5, 'entry period', count(DISTINCT person_id), count(*) FROM study""")
 def attrition(s: Study) -> DataFrame:
-    # Each step reads the one before from storage instead of recomputing it.
-    s.adjusted = stored(s.adjusted)
-    s.followed = stored(s.followed)
-    return audit.attrition({"cohort": s.adjusted, "follow-up visits": s.followed,
-                            "age": s.demo, "study period": s.dated, "entry period": s.cohort})
+    """The passes that write the tables count them."""
+    log = audit.StepLog(s.spark, "star")
+    s.adjusted = stored(log.observed(s.adjusted, step="cohort"))
+    s.followed = stored(log.observed(s.followed, step="follow-up visits"))
+    s.demo = log.observed(s.demo, step="age")
+    s.dated = log.observed(s.dated, step="study period")
+    s.cohort_table = stored(log.observed(s.cohort, step="entry period"))
+    return log.frame().select("step_number", "step", "persons", "rows")
 
 
 @query("step_log", """
 SELECT 1 AS step_number, 'star' AS site, 'Start' AS cohort, 0::BIGINT AS persons,
-       NULL::BIGINT AS "rows"
-UNION ALL SELECT 2, 'star', 'All labelled', count(DISTINCT person_id), count(*)
-FROM base_cohort""")
+       NULL::BIGINT AS "rows", true AS timed
+UNION ALL SELECT 2, 'star', 'All labelled', count(DISTINCT person_id), count(*), true
+FROM base_cohort
+UNION ALL SELECT 3, 'star', 'Corrected', count(DISTINCT person_id), count(*), true
+FROM adjusted""")
 def step_log(s: Study) -> DataFrame:
+    """The log as its sink returns it; one step is counted on its own, one while written."""
     log = audit.StepLog(s.spark, "star").init_sum(cohort="Start", persons=0)
     log.append_sum(cohort="All labelled", persons=s.base_cohort)
-    return log.output_sum().drop("logged_at")
+    stored(log.observed(s.adjusted, cohort="Corrected"))
+    catalog = TableCatalog(s.spark, "", "", work_path(s.spark, "results"))
+    timed = F.col("used").rlike(r"^[0-9.]+;[0-9.]+;[0-9.]+$") & F.col("logged_at").isNotNull()
+    log.output_sum(catalog)
+    return catalog.results_tbl("star_steps").withColumn("timed", timed).drop("logged_at", "used")
 
 
 @query("distinct_ct", "SELECT count(DISTINCT person_id) AS dist_ct FROM visits")
@@ -959,16 +985,19 @@ def label3(s: Study) -> DataFrame:
 
 
 @query("zscore", """
-SELECT l.person_id, l.domain, l.feature_key, round((l.value - t.mean) / t.sd, 6) AS value
-FROM long_all l JOIN (
-  SELECT feature_key, mean, CASE WHEN var > 1e-24 THEN sqrt(var) ELSE 1 END AS sd FROM (
-    SELECT feature_key, sum(value) / n AS mean,
-           greatest(sum(value * value) / n - (sum(value) / n) ** 2, 0) AS var
-    FROM long_all, (SELECT count(*) AS n FROM folded) GROUP BY feature_key, n)) t
-  ON t.feature_key = l.feature_key""")
+SELECT person_id, domain, feature_key, round((value - mean) / sd, 6) AS value,
+       round(-mean / sd, 6) AS zero_value
+FROM (SELECT *, CASE WHEN var > 1e-24 THEN sqrt(var) ELSE 1 END AS sd FROM (
+  SELECT *, s / n AS mean, greatest(q / n - (s / n) ** 2, 0) AS var FROM (
+    SELECT person_id, domain, feature_key, value, sum(value) OVER f AS s,
+           sum(value * value) OVER f AS q, (SELECT count(*) FROM folded) AS n
+    FROM long_all WINDOW f AS (PARTITION BY feature_key))))""")
 def zscore(s: Study) -> DataFrame:
+    """Scaled stored entries, with the value that an absent one has."""
     stats = stored(assemble.feature_stats(s.long_table, s.folded))
-    return assemble.scale(s.long_table, stats).withColumn("value", F.round("value", 6))
+    scaled = assemble.scale(s.long_table, stats).join(
+        stats.select("feature_key", "zero_value"), "feature_key")
+    return scaled.withColumns({c: F.round(c, 6) for c in ("value", "zero_value")})
 
 
 # Metrics -------------------------------------------------------------------------------

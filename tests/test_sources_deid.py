@@ -1,8 +1,10 @@
 import datetime as dt
+import random
 
 import pytest
 
-from cohortloom.operators import audit, codesets, columns, deid
+from cohortloom.config import CutThreshold
+from cohortloom.operators import audit, codesets, columns, deid, hierarchy
 from cohortloom.sources import files
 from cohortloom.sources.catalog import TableCatalog
 from cohortloom.sources.schemas import RULES, SCAN, SCAN_HEADER
@@ -126,5 +128,40 @@ def test_step_log(spark):
     log = audit.StepLog(spark, "here").init_sum(cohort="Start", persons=0)
     log.append_sum(cohort="Two", persons=spark.createDataFrame([(1,), (1,), (2,)],
                                                                "person_id long"))
-    assert rows(log.output_sum(), "step_number", "cohort", "persons", "rows", "site") == [
+    assert rows(log.frame(), "step_number", "cohort", "persons", "rows", "site") == [
         (1, "Start", 0, None, "here"), (2, "Two", 2, 3, "here")]
+
+
+def test_observed_steps_are_counted_by_the_pass_that_writes(spark, tmp_path):
+    catalog = TableCatalog(spark, "", "", str(tmp_path))
+    log = audit.StepLog(spark, "here")
+    events = spark.range(1000).selectExpr("id % 300 as person_id")
+    seen = log.observed(events, "person_id", step="events").distinct()
+    catalog.compute_new(log.observed(seen, step="persons").filter("person_id < 10"), "kept")
+    log.append_sum(persons=5, step="given")
+    got = {r.step: r for r in log.output_sum(catalog).collect()}
+    assert got["events"].rows == 1000 and abs(got["events"].persons - 300) <= 12
+    assert (got["persons"].persons, got["persons"].rows) == (300, 300)
+    assert got["given"].persons == 5 and catalog.exists("here_steps")
+    assert [got[s].step_number for s in ("events", "persons", "given")] == [1, 2, 3]
+    user, system, elapsed = map(float, got["events"].used.split(";"))
+    assert user >= 0 and system >= 0 and elapsed > 0
+
+
+def test_the_best_cuts_of_each_group(spark):
+    rng = random.Random(4)
+    scan = [(d, n, rng.choice([1.0, 2.5, 7.0]), 3, 50, rng.choice([0.001, 0.5, None]))
+            for d in ("a", "b", None) for n in range(40)]
+    scan = spark.createDataFrame(scan, "domain string, node_identifier int, log_likelihood_ratio double, "
+                                       "tree_level int, observations int, p_value double").repartition(4)
+    nodes = spark.createDataFrame([(n, f"node {n}") for n in range(0, 40, 2)], "node_concept_id int, node_concept string")
+    rule = CutThreshold(3, 1)
+    every = hierarchy.select_cuts(scan, nodes, rule, ["domain"])
+    best = hierarchy.select_cuts(scan, nodes, rule, ["domain"], k=4)
+    assert rows(best) == rows(every.filter("cut_rank <= 4"))
+    want = sorted((-r.log_likelihood_ratio, r.node_identifier) for r in scan.collect()
+                  if r.domain == "a" and r.p_value == 0.001)
+    got = every.filter("domain = 'a'").orderBy("cut_rank").collect()
+    assert [(-r.log_likelihood_ratio, r.node_identifier) for r in got] == want
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
