@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -32,6 +33,7 @@ class TableCatalog:
     mode: str = "development"
     csv_folder: str | None = None
     local_csv_folder: str | None = None
+    buckets: int = 512
 
     # names ---------------------------------------------------------------
     @staticmethod
@@ -103,6 +105,22 @@ class TableCatalog:
             write_csv(out, f"{folder.rstrip('/')}/{logical}.csv")
         return out
 
+    def bucketed(self, df: DataFrame, name: str, namespace: str | None = None,
+                 key: str = "person_id", sort_by: Sequence[str] = ()) -> DataFrame:
+        """Store a table by the person, in ``buckets`` files that are sorted inside.
+
+        Tables of one catalog have equal buckets, so joins and groupings by the person need
+        no exchange, however often they run.  Needs a database, as folders keep no buckets.
+        A person with a large share of all rows would fill one bucket: store such a table
+        plainly, so that the adaptive skew join can split it.
+        """
+        physical = self.results_name(name) if namespace is None else self.qualify(namespace, name)
+        if "/" in physical:
+            raise ValueError("buckets need a database, not a folder")
+        (df.repartition(self.buckets, key).write.mode("overwrite").format("parquet")
+         .bucketBy(self.buckets, key).sortBy(key, *sort_by).saveAsTable(physical))
+        return self._scan(physical)
+
     def copy_to_new(self, rows, name: str, schema=None) -> DataFrame:
         """Local rows as a table, replacing an older one."""
         return self._write(self.spark.createDataFrame(rows, schema),

@@ -3,7 +3,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from cohortloom.config import CutThreshold
+from cohortloom.functions.dates import since_index
 from cohortloom.operators import audit, codesets, columns, deid, hierarchy
 from cohortloom.sources import files
 from cohortloom.sources.catalog import TableCatalog
@@ -148,6 +151,35 @@ def test_observed_steps_are_counted_by_the_pass_that_writes(spark, tmp_path):
     assert user >= 0 and system >= 0 and elapsed > 0
 
 
+def test_bucketed_tables_join_by_person_without_an_exchange(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS by_person")
+    catalog = TableCatalog(spark, "by_person", "by_person", "by_person", buckets=8)
+    visits = spark.range(900).selectExpr("id % 70 as person_id", "id as visit_occurrence_id",
+                                         "date_add(date'2021-01-01', cast(id % 400 as int)) as visit_start_date")
+    members = spark.range(50).selectExpr("id as person_id", "date'2021-06-01' as index_date")
+    plain = visits.join(members, "person_id")
+    events = catalog.bucketed(visits, "visit_occurrence", "by_person", sort_by=["visit_start_date"])
+    cohort = catalog.bucketed(members, "cohort")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = catalog.cdm_tbl("visit_occurrence").join(catalog.results_tbl("cohort"), "person_id")
+        joined = joined.filter(since_index("visit_start_date", "index_date", 28))
+        counted = joined.groupBy("person_id").agg(F.count("*").alias("n"))
+        assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" in plain._jdf.queryExecution().executedPlan().toString()
+        assert rows(counted) == rows(plain.filter(since_index("visit_start_date", "index_date", 28))
+                                     .groupBy("person_id").agg(F.count("*").alias("n")))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        catalog.remove("cohort")
+        catalog.remove("visit_occurrence")
+        spark.sql("DROP DATABASE by_person")
+    assert events.columns == visits.columns and cohort.columns == members.columns
+    with pytest.raises(ValueError):
+        TableCatalog(spark, "", "", str(tmp_path)).bucketed(members, "cohort")
+
+
 def test_the_best_cuts_of_each_group(spark):
     rng = random.Random(4)
     scan = [(d, n, rng.choice([1.0, 2.5, 7.0]), 3, 50, rng.choice([0.001, 0.5, None]))
