@@ -171,15 +171,15 @@ def repeat_rows(docs: DataFrame, units: DataFrame) -> DataFrame:
     names = docs.columns
     keyed = docs.withColumn("_size", F.size(words_of(utf8("text"))).cast("long"))
     u = units.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"),
-                     F.col("size").alias("_n"), "m", F.col("copies").alias("_copies"))
+                     F.col("size").alias("_n"), F.col("m").alias("_m"), F.col("copies").alias("_copies"))
     rows = keyed.join(u.filter("_copies > 0"), keyed["doc_id"].eqNullSafe(u["_id"])
                       & keyed["source"].eqNullSafe(u["_source"]) & (keyed["_size"] == u["_n"]))
     # Units of one row, the usual case, need no order.
     unit = W.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))
-    one = rows.filter("m = 1")
-    many = rows.filter("m > 1").withColumn("_i", F.row_number().over(unit)).withColumn(
-        "_copies", F.floor(F.col("_copies") / F.col("m")) + F.when(
-            F.col("_i") <= F.col("_copies") % F.col("m"), 1).otherwise(0)).drop("_i")
+    one = rows.filter("_m = 1")
+    many = rows.filter("_m > 1").withColumn("_i", F.row_number().over(unit)).withColumn(
+        "_copies", F.floor(F.col("_copies") / F.col("_m")) + F.when(
+            F.col("_i") <= F.col("_copies") % F.col("_m"), 1).otherwise(0)).drop("_i")
     both = one.unionByName(many).filter("_copies > 0")
     return both.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))
                            ).select(*names)

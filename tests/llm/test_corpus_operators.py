@@ -120,6 +120,9 @@ def test_mixing_odd_documents(odd_docs, no_docs):
     repeated = mixing.repeat_rows(odd_docs, units)
     assert repeated.columns == odd_docs.columns
     assert repeated.count() == sum(r.copies for r in rows)
+    clashing = odd_docs.withColumns({c: F.lit(7) for c in ("m", "copies", "size", "bucket", "p")})
+    assert mixing.repeat_rows(clashing, units).count() == repeated.count()
+    assert mixing.repeat_rows(clashing, units).columns == clashing.columns
     assert mixing.per_row(mixing.mix(mixing.sizes(no_docs))).count() == 0
 
 
