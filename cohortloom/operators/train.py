@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Mapping, Sequence
 
+from pyspark import SparkContext
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct
@@ -90,7 +91,7 @@ def fold_vectors(cohort: DataFrame, train_long: DataFrame, test_long: DataFrame,
 def fit_scaled(train: DataFrame, estimator) -> PipelineModel:
     """Scaler and model fitted on the training vectors."""
     checkpoint_folder(train.sparkSession)
-    return Pipeline(stages=[fit_scaler(train), estimator]).fit(train)
+    return _bare(Pipeline(stages=[fit_scaler(train), estimator]).fit(train))
 
 
 def train_cv(cohort: DataFrame, fold_longs: Mapping[int, tuple[DataFrame, DataFrame]],
@@ -126,9 +127,21 @@ def cv_metrics(predictions: DataFrame,
 SCORES = ("accuracy", "precision", "recall", "auroc", "average_precision", "f1")
 
 
+def _bare(fitted: Model) -> Model:
+    """The model without its training summary.
+
+    A summary holds the session and goes to the tasks with the model, which fails once an
+    ``Observation`` was used, since sessions can't be serialized from then on.
+    """
+    for stage in getattr(fitted, "stages", [fitted]):
+        if getattr(stage, "hasSummary", False):
+            stage._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return fitted
+
+
 def _scored(fitted, test: DataFrame, *keys) -> DataFrame:
     """True class, probability of class 1, and the class the model itself predicts."""
-    return fitted.transform(test).select(
+    return _bare(fitted).transform(test).select(
         *keys, F.col("label").cast("int").alias("y"),
         vector_to_array("probability")[1].alias("p"), F.col("prediction").alias("predicted"))
 

@@ -1,6 +1,7 @@
 """One person holds a third of all rows: joins are split and results stay whole."""
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.ml.classification import LogisticRegression
 
@@ -96,6 +97,9 @@ def test_drop_diff_and_model_score(spark):
     cohort = spark.range(30).select(F.col("id").alias("person_id"),
                                     (F.col("id") % 3 == 0).cast("double").alias("label"))
     vectors = assemble.feature_vectors(cohort, train_rows, *assemble.vector_layout(train_rows))
+    seen = Observation("a session that has observed something")
+    cohort.observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get["n"] == cohort.count()
     score = train.model_score(LogisticRegression(), vectors, vectors).first()
     assert score.auroc == 1.0 and score.accuracy == 1.0
     table = train.model_eval(LogisticRegression(), vectors, {"regParam": [0.0, 5.0]}, folds=2)
