@@ -1,21 +1,22 @@
 """License scans: MinHash bands retrieve templates, shingle containment verifies them.
 
 A text becomes the hashes of its 5-word shingles (runs of ASCII letters and digits,
-lower case).  For every template length ``n`` (distinct shingles) windows of ``2 n``
-shingles start every ``n``, so that each place a template can stand lies inside
-one.  A window's signature is the minimum of its hashes under ``BANDS`` permutations
-(exclusive or with a constant); each minimum is a band of its own.  A window that
-holds at least 0.8 of a template has a Jaccard similarity of at least 0.8 / 2.2 with
-it, and 24 bands miss such a pair with a chance of 2 in 100,000.  Retrieved
-templates are verified by exact containment in the window.
+lower case).  A text holds a template of ``n`` distinct shingles if some span of ``2 n``
+shingles in a row holds at least 0.8 of them, which leaves room for inserted words.
+Windows of ``3 n`` shingles start every ``n``, so every span lies inside the window in
+whose first ``n`` places it starts.  A window's signature is the minimum of its hashes
+under ``BANDS`` permutations (exclusive or with a constant); each minimum is a band of
+its own.  A window with such a span has a Jaccard similarity of at least 0.8 / 3.2 with
+the template, and 38 bands miss such a pair with a chance of 2 in 100,000.  Retrieved
+templates are verified by exact containment in the spans of the window.
 
 Built-in expressions only.  A window without any template's band minimum can't
 meet a band, so texts and windows are first tested for those: no pair is lost.
 Templates are a parameter and their table is small, whatever the corpus.
 
-Defined results: a row for each document row and template found, with the best
-window; null, empty and short texts have none; of equally good windows the first
-counts; rows that repeat give repeated results; null ids are passed through;
+Defined results: a row for each document row and template found, with the best span
+that starts with a shingle of the template, and the number of spans that hold it;
+null, empty and short texts have none; of equally good spans the first counts; rows that repeat give repeated results; null ids are passed through;
 other columns are not read; templates shorter than a shingle are refused.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from cohortloom.llm.common import bind, documents, utf8
 
 SHINGLE = 5
-BANDS = 24
+BANDS = 38
 LEAST = 0.8
 
 # Notices as published with the licenses.
@@ -95,7 +96,7 @@ def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]] = T
 
 def license_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES,
                     least: float = LEAST) -> DataFrame:
-    """(doc_id, license, containment, start_word, n_windows) of documents with a notice."""
+    """(doc_id, license, containment, start_word, n_spans) of documents with a notice."""
     spark = docs.sparkSession
     # As many rows as templates were passed in.
     table = template_table(spark, templates).collect()
@@ -114,7 +115,7 @@ def license_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMP
     windows = found.withColumn("k", F.explode(kinds)).select(
         "row", "doc_id", F.col("k.n").alias("n"), F.explode(F.filter(
             F.transform(F.sequence(F.lit(0), F.size("h") - 1, F.col("k.n")), lambda s: F.struct(
-                s.alias("start"), F.slice("h", s + 1, 2 * F.col("k.n")).alias("hashes"))),
+                s.alias("start"), F.slice("h", s + 1, 3 * F.col("k.n")).alias("hashes"))),
             lambda w: F.arrays_overlap(w["hashes"], F.col("k.firsts")))).alias("w"))
     windows = windows.select("row", "doc_id", "n", "w.start", "w.hashes")
     keys = windows.withColumn("b", F.explode(bands(F.col("hashes"))))
@@ -122,18 +123,23 @@ def license_matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMP
         [(t["license"], t["n"], t["shingles"], b["band"], b["shingle"])
          for t in table for b in t["bands"]],
         "license string, n int, shingles array<bigint>, band int, shingle bigint")
+    # A window and a template often share several bands; they are verified once.
     met = (keys.join(known, (keys["n"] == known["n"]) & (keys["b.band"] == known["band"])
                      & (keys["b.shingle"] == known["shingle"]))
-           .select("row", "doc_id", "license", known["n"], "start",
-                   F.size(F.array_intersect("shingles", "hashes")).alias("shared")))
-    met = met.filter(F.col("shared") >= F.lit(least) * F.col("n"))
-    # The bands of a window that meet the same template fall together here.
-    return (met.groupBy("row", "license").agg(
-        F.first("doc_id").alias("doc_id"),
-        F.max(F.struct("shared", (-F.col("start")).alias("back"))).alias("best"),
-        F.first("n").alias("n"), F.count_distinct("start").alias("n_windows"))
+           .select("row", "doc_id", "license", known["n"], "start", "shingles", "hashes")
+           .dropDuplicates(["row", "license", "start"]))
+    spans = met.select("row", "doc_id", "license", "n", F.explode(F.transform(
+        F.filter(F.sequence(F.lit(0), F.least(F.col("n"), F.size("hashes")) - 1),
+                 lambda i: F.array_contains(F.col("shingles"), F.get("hashes", i))),
+        lambda i: F.struct(
+            F.size(F.array_intersect(F.slice("hashes", i + 1, 2 * F.col("n")), "shingles"))
+            .alias("shared"), (-F.col("start") - i).alias("back")))).alias("span"))
+    spans = spans.filter(F.col("span.shared") >= F.lit(least) * F.col("n"))
+    return (spans.groupBy("row", "license").agg(
+        F.first("doc_id").alias("doc_id"), F.max("span").alias("best"),
+        F.first("n").alias("n"), F.count("*").alias("n_spans"))
         .select("doc_id", "license", (F.col("best.shared") / F.col("n")).alias("containment"),
-                (-F.col("best.back")).cast("long").alias("start_word"), "n_windows"))
+                (-F.col("best.back")).cast("long").alias("start_word"), "n_spans"))
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +147,7 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """Containment of every template in every window, without bands."""
+    """Containment of every template in the span from each of its shingles; no windows, no bands."""
     values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES)
 
     def grams(table: str, key: str, text: str) -> str:
@@ -160,16 +166,14 @@ docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body FR
 d AS ({grams('docs', 'r, doc_id', 'body')}),
 hits AS (
   SELECT r, doc_id, license, n, p, gram FROM d JOIN t USING (gram) JOIN sizes USING (license)),
-windows AS (
-  SELECT r, doc_id, license, n, p // n * n AS start, gram FROM hits
-  UNION ALL
-  SELECT r, doc_id, license, n, (p // n - 1) * n, gram FROM hits WHERE p >= n),
 shares AS (
-  SELECT r, doc_id, license, n, start, count(DISTINCT gram) AS shared FROM windows
-  GROUP BY r, doc_id, license, n, start),
+  SELECT r, doc_id, license, n, a.p AS start, count(DISTINCT b.gram) AS shared
+  FROM hits a JOIN hits b USING (r, doc_id, license, n)
+  WHERE b.p >= a.p AND b.p < a.p + 2 * n
+  GROUP BY r, doc_id, license, n, a.p),
 good AS (SELECT * FROM shares WHERE 10 * shared >= 8 * n)
 SELECT doc_id, license, max(shared) / n AS containment,
-  arg_max(start, (shared, -start))::BIGINT AS start_word, count(*) AS n_windows
+  arg_max(start, (shared, -start))::BIGINT AS start_word, count(*) AS n_spans
 FROM good GROUP BY r, doc_id, license, n"""
 
 

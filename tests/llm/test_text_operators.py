@@ -1,6 +1,7 @@
 """Operators on one document at a time: rules, licenses, BPE."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -85,6 +86,43 @@ def test_licenses_need_most_of_a_template(spark):
         licenses.license_matches(docs, [("short", "two words")])
 
 
+def test_licenses_with_inserted_words_at_every_offset(spark):
+    body = dict(licenses.TEMPLATES)["mit-text"].split()
+    notice = " ".join(body[:14] + ["inserted"] * 10 + body[14:])
+    docs = spark.createDataFrame([(i, "before " * i + notice + " after" * 70) for i in range(60)],
+                                 "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.license_matches(docs).collect() if r.license == "mit-text"}
+    assert sorted(got) == list(range(60))
+    assert all(r.start_word == i and 0.8 <= r.containment < 1 for i, r in got.items())
+
+
+def test_license_spans_against_plain_python(spark):
+    rng, words = random.Random(5), dict(licenses.TEMPLATES)["gpl-3.0"].split()
+    texts = []
+    for i in range(80):
+        cut, gap = rng.randrange(len(words)), rng.randrange(24)
+        parts = words[:cut] + ["gap"] * gap + words[cut + rng.randrange(3):]
+        texts.append(" ".join(["x"] * rng.randrange(30) + parts + rng.choice([[], words, ["y"] * 9])))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def grams(text):
+        w = re.findall("[a-z0-9]+", text.lower())
+        return [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+
+    want = []
+    template = set(grams(" ".join(words)))
+    n = len(template)
+    for i, text in enumerate(texts):
+        g = grams(text)
+        spans = [(len(template & set(g[p:p + 2 * n])), -p) for p in range(len(g)) if g[p] in template]
+        good = [s for s in spans if 10 * s[0] >= 8 * n]
+        if good:
+            want.append((i, max(good)[0] / n, -max(good)[1], len(good)))
+    got = sorted((r.doc_id, r.containment, r.start_word, r.n_spans)
+                 for r in licenses.license_matches(docs).collect() if r.license == "gpl-3.0")
+    assert got == want and 20 < len(want) < 80
+
+
 def library():
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(bpe.vocabulary_path())
