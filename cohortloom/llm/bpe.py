@@ -1,37 +1,51 @@
-"""BPE encoding and decoding through distinct-word tables.
+"""BPE encoding and decoding through a table of distinct words.
 
 Texts are split at ASCII blanks, which no token crosses: the vocabulary's
 normaliser and pre-tokenizer treat the pieces between blanks alike wherever they
-stand, so the ids of a text are the ids of its words in order.  Rows are worked
-in blocks.  A block's distinct words form a table; each is encoded once, ids are
-joined back by position, and pieces by id through the id-to-piece table.  The
-word table stays with its task: words already met are not encoded again, and a
-table beyond ``MAX_WORDS`` words is started anew, which bounds memory.
-
-No row leaves its partition, so nothing is shuffled and a lost task is redone
-from its input alone.  The vocabulary, of fixed size, is sent with the task.
+stand, so the ids of a text are the ids of its words in order.
+
+1. Tasks split the texts.  Consecutive rows make a block of about ``BLOCK`` bytes,
+   which becomes one stored row: its distinct words, commonest first and dealt into
+   buckets by their checksum, and each text as positions in that list.
+2. Words meet by bucket, each once for every block that holds it, so that no word
+   is frequent there.  A bucket's distinct words are encoded once in the whole job;
+   the ids of a block's words go back in the order in which the words came.
+3. Blocks meet the ids of their words, which are joined to the texts by position.
+   Pieces come from the id-to-piece table, which has the fixed size of the vocabulary
+   and is sent with the task, as a broadcast join would.
+
+There is a bucket for every ``BUCKET_BYTES`` of text, so that the words of a bucket fit a
+task, whatever the corpus.  What travels is packed by zstandard.  Lost tasks are redone
+from the stored blocks.
 
 Defined results: a null text is encoded like the empty one (no ids, empty
-decoded text); very long texts and words are encoded whole; ids of rows and
-repeated rows are passed through; other columns stay out.
+decoded text); very long texts and words are encoded whole; bytes that are no UTF-8
+are read as U+FFFD; ids of rows and repeated rows are passed through; other columns
+stay out.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import count
 from pathlib import Path
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import documents
+from cohortloom.llm.common import documents, stored
 
-MAX_WORDS = 400_000
-BLOCK = 4 << 20          # bytes of a block
+BLOCK = 8 << 20          # bytes of the texts of a block
+BUCKET_BYTES = 8 << 20   # bytes of text for each bucket of words
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -40,93 +54,177 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class _Words:
-    """Word tables of one task: little-endian ids, and pieces joined by blanks."""
-
-    def __init__(self, vocabulary: str, max_words: int):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        n = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.pieces = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(n)]
-        self.max_words, self.ids, self.text = max_words, {}, {}
-
-    def learn(self, words: set[bytes]) -> None:
-        fresh = [w for w in words if w not in self.ids]
-        if len(self.ids) + len(fresh) > self.max_words:
-            self.ids, self.text, fresh = {}, {}, list(words)
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at:at + 20_000]
-            coded = self.tokenizer.encode_batch_fast(
-                [w.decode("utf-8") for w in part], add_special_tokens=False)
-            for word, code in zip(part, coded):
-                ids = code.ids
-                self.ids[word] = np.array(ids, "<u4").tobytes()
-                self.text[word] = b" ".join([self.pieces[i] for i in ids])
-
-
-def _blocks(column: pa.Array, limit: int) -> Iterator[list[list[bytes]]]:
-    """Word lists of consecutive rows, about ``limit`` bytes at a time."""
-    block, held = [], 0
-    for value in column:
-        text = value.as_buffer().to_pybytes() if value.is_valid else b""
-        held += len(text)
-        block.append(text.split())
-        if held >= limit:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
-
-
-def _coder(vocabulary: str, digest: bool, max_words: int, block_bytes: int):
+@lru_cache(maxsize=1)
+def _tokenizer(vocabulary: str):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_str(vocabulary)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
+
+
+@lru_cache(maxsize=1)
+def _pieces(vocabulary: str) -> list[bytes]:
+    """The piece of every id."""
+    tokenizer = _tokenizer(vocabulary)
+    n = tokenizer.get_vocab_size(with_added_tokens=True)
+    return [(tokenizer.id_to_token(i) or "").encode() for i in range(n)]
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """32-bit numbers by planes of bytes, compressed."""
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.compress(planes.tobytes(), 3)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+class _Block:
+    """Texts as numbers of words, which are counted in the order in which they come."""
+
+    def __init__(self):
+        self.numbers = defaultdict(count().__next__)
+        self.keys, self.texts, self.held = [], [], 0
+
+    def add(self, key, text: bytes) -> None:
+        words = text.split()
+        self.keys.append(key)
+        self.texts.append(np.fromiter(map(self.numbers.__getitem__, words), np.uint32, len(words)))
+        self.held += len(text)
+
+    def row(self, block: int, buckets: int, kind: pa.DataType) -> pa.RecordBatch:
+        words, flat = list(self.numbers), np.concatenate(self.texts)
+        common = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+        place = np.empty(len(words), np.uint32)
+        place[common] = np.arange(len(words), dtype=np.uint32)
+        words = [words[i] for i in common.tolist()]
+        bucket = np.fromiter((crc32(w) % buckets for w in words), np.int64, len(words))
+        order = np.argsort(bucket, kind="stable")
+        starts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
+        lists = [{"bucket": int(bucket[order[a]]),
+                  "words": zstandard.compress(b"\n".join([words[i] for i in order[a:b].tolist()]), 3)}
+                 for a, b in zip(starts, [*starts[1:], len(words)])]
+        parts = pa.list_(pa.struct([("bucket", pa.int64()), ("words", pa.binary())]))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block]), pa.array([self.keys], pa.list_(kind)),
+             pa.array([[len(t) for t in self.texts]], pa.list_(pa.int64())),
+             pa.array([_pack(bucket)]), pa.array([_pack(place[flat])]), pa.array([lists], parts)],
+            ["block", "keys", "sizes", "buckets", "places", "parts"])
+
+
+def _split_task(buckets: int, limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, block = count(TaskContext.get().partitionId() << 32), _Block()
+        kind = None
+        for batch in batches:
+            kind = batch.column(0).type
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                block.add(key, value.as_buffer().to_pybytes() if value.is_valid else b"")
+                if block.held >= limit:
+                    yield block.row(next(numbers), buckets, kind)
+                    block = _Block()
+        if block.keys:
+            yield block.row(next(numbers), buckets, kind)
+
+    return run
+
+
+def _word_task(vocabulary: str):
+    """Rows in the order of their buckets; every distinct word of a bucket is encoded once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _Words(vocabulary, max_words)
+        tokenizer, known, bucket = _tokenizer(vocabulary), {}, None
         for batch in batches:
-            at = 0
-            for block in _blocks(batch.column(1), block_bytes):
-                table.learn(set().union(*block))
-                ids = [b"".join(map(table.ids.__getitem__, words)) for words in block]
-                texts = [b" ".join(filter(None, map(table.text.__getitem__, words)))
-                         for words in block]
-                keys = batch.column(0).slice(at, len(block))
-                at += len(block)
-                lengths = [len(x) // 4 for x in ids]
-                if digest:
-                    out = [pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                           pa.array([hashlib.sha256(x).hexdigest() for x in texts])]
-                    names = ["ids_sha256", "decoded_sha256"]
-                else:
-                    flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-                    ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-                    out = [pa.ListArray.from_arrays(ends, flat),
-                           pa.array([x.decode("utf-8") for x in texts], pa.string())]
-                    names = ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(lengths, pa.int64()), *out], ["doc_id", "n_tokens", *names])
+            lengths, ids = [], []
+            for at, packed in zip(batch.column(1).to_pylist(), batch.column(2)):
+                if at != bucket:
+                    known, bucket = {}, at
+                words = zstandard.decompress(packed.as_py()).split(b"\n")
+                fresh = [w for w in words if w not in known]
+                for i in range(0, len(fresh), 20_000):
+                    part = fresh[i:i + 20_000]
+                    coded = tokenizer.encode_batch_fast(
+                        [w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+                    known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(part, coded))
+                found = [known[w] for w in words]
+                lengths.append(_pack(np.fromiter(map(len, found), np.uint32, len(found)) // 4))
+                ids.append(_pack(np.frombuffer(b"".join(found), "<u4")))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(lengths, pa.binary()),
+                 pa.array(ids, pa.binary())], ["block", "bucket", "lengths", "ids"])
+
+    return run
+
+
+def _join_task(vocabulary: str, digest: bool):
+    """A block's texts and the ids of its words: a row for each text."""
+    def run(blocks: pa.Table, coded: pa.Table) -> pa.Table:
+        block = blocks.drop_columns(["keys"]).to_pylist()[0]
+        bucket, places = _unpack(block["buckets"]), _unpack(block["places"])
+        coded = coded.sort_by("bucket")
+        nothing = np.empty(0, "<u4")
+        length = np.concatenate([nothing, *map(_unpack, coded["lengths"].to_pylist())]).astype(np.int64)
+        ids = np.concatenate([nothing, *map(_unpack, coded["ids"].to_pylist())])
+        # From the order of the buckets to the order of the block's words.
+        order = np.argsort(bucket, kind="stable")
+        starts, lengths = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        starts[order], lengths[order] = np.cumsum(length) - length, length
+        pieces = list(map(_pieces(vocabulary).__getitem__, ids.tolist()))
+        words = [b" ".join(pieces[s:s + n]) for s, n in zip(starts.tolist(), lengths.tolist())]
+        n_tokens, codes, texts, at = [], [], [], 0
+        for size in block["sizes"]:
+            text = places[at:at + size]
+            at += size
+            n = lengths[text]
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if size else 0
+            own = ids[np.repeat(starts[text] - (ends - n), n) + np.arange(total)]
+            whole = b" ".join(filter(None, map(words.__getitem__, text.tolist())))
+            n_tokens.append(total)
+            codes.append(hashlib.sha256(own.tobytes()).hexdigest() if digest else own)
+            texts.append(hashlib.sha256(whole).hexdigest() if digest else whole.decode("utf-8"))
+        if digest:
+            last = {"ids_sha256": pa.array(codes, pa.string()),
+                    "decoded_sha256": pa.array(texts, pa.string())}
+        else:
+            flat = pa.array(np.concatenate(codes).astype(np.int32))
+            ends = pa.array(np.concatenate([[0], np.cumsum(n_tokens)]), pa.int32())
+            last = {"ids": pa.ListArray.from_arrays(ends, flat), "decoded": pa.array(texts, pa.string())}
+        return pa.table({"doc_id": blocks["keys"].combine_chunks().flatten(),
+                         "n_tokens": pa.array(n_tokens, pa.int64()), **last})
 
     return run
 
 
 def encode(docs: DataFrame, path: str | None = None, digest: bool = False,
-           doc_id: str = "doc_id", text: str = "text", max_words: int = MAX_WORDS,
-           block: int = BLOCK) -> DataFrame:
+           doc_id: str = "doc_id", text: str = "text", block: int = BLOCK,
+           bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded), or with ``digest`` the SHA-256 of the last two."""
     vocabulary = Path(path or vocabulary_path()).read_text(encoding="utf-8")
     picked = docs.select(F.col(doc_id).alias("doc_id"),
                          F.col(text).cast("string").cast("binary").alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
+    size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = stored(picked.mapInArrow(
+        _split_task(size // bucket_bytes + 1, block),
+        f"block bigint, keys array<{kind}>, sizes array<bigint>, buckets binary, places binary, "
+        "parts array<struct<bucket: bigint, words: binary>>"))
+    words = blocks.select("block", F.explode("parts").alias("part")).select("block", "part.*")
+    coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
+        _word_task(vocabulary), "block bigint, bucket bigint, lengths binary, ids binary")
     last = ("ids_sha256 string, decoded_sha256 string" if digest
             else "ids array<int>, decoded string")
-    return picked.mapInArrow(_coder(vocabulary, digest, max_words, block),
-                             f"doc_id {kind}, n_tokens bigint, {last}")
+    return (blocks.drop("parts").groupBy("block").cogroup(coded.groupBy("block"))
+            .applyInArrow(_join_task(vocabulary, digest),
+                          f"doc_id {kind}, n_tokens bigint, {last}"))
 
 
 def _decoder(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pa.array([p.decode() for p in _Words(vocabulary, 0).pieces])
+        pieces = pa.array([p.decode() for p in _pieces(vocabulary)])
         for batch in batches:
             lists = batch.column(1)
             flat = lists.flatten()

@@ -145,9 +145,10 @@ def test_bpe_equals_the_library(spark, odd_docs):
     def rows(df):
         return sorted(map(tuple, df.collect()), key=repr)
 
-    # A tiny word table is started anew again and again.
-    for limit in (bpe.MAX_WORDS, 3):
-        assert rows(bpe.encode(docs, digest=True, max_words=limit)) == sorted(want, key=repr)
+    # Small blocks and buckets: most words meet others of many blocks.
+    for block, bucket_bytes in ((bpe.BLOCK, bpe.BUCKET_BYTES), (1, 64), (3000, 1 << 40)):
+        got = bpe.encode(docs, digest=True, block=block, bucket_bytes=bucket_bytes)
+        assert rows(got) == sorted(want, key=repr)
     coded = bpe.encode(docs)
     assert rows(bpe.decode(coded)) == rows(coded.select("doc_id", "decoded"))
 
