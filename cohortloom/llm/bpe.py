@@ -5,8 +5,8 @@ normaliser and pre-tokenizer treat the pieces between blanks alike wherever they
 stand, so the ids of a text are the ids of its words in order.
 
 1. Tasks split the texts.  Consecutive rows make a block of about ``BLOCK`` bytes,
-   which becomes one stored row: its distinct words, commonest first and dealt into
-   buckets by their checksum, and each text as positions in that list.
+   which becomes one stored row: its distinct words, dealt into buckets by their
+   checksum, with their counts, and each text as ranks of words, commonest first.
 2. Words meet by bucket, each once for every block that holds it, so that no word
    is frequent there.  A bucket's distinct words are encoded once in the whole job;
    the ids of a block's words go back in the order in which the words came.
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm.common import documents, stored
 
-BLOCK = 8 << 20          # bytes of the texts of a block
+BLOCK = 32 << 20         # bytes of the texts of a block
 BUCKET_BYTES = 8 << 20   # bytes of text for each bucket of words
 
 
@@ -72,10 +72,14 @@ def _pieces(vocabulary: str) -> list[bytes]:
     return [(tokenizer.id_to_token(i) or "").encode() for i in range(n)]
 
 
+def _id_type(vocabulary: str) -> str:
+    return "<u2" if len(_pieces(vocabulary)) <= 1 << 16 else "<u4"
+
+
 def _pack(numbers: np.ndarray) -> bytes:
     """32-bit numbers by planes of bytes, compressed."""
     planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.compress(planes.tobytes(), 3)
+    return zstandard.compress(planes.tobytes(), 6)
 
 
 def _unpack(packed: bytes) -> np.ndarray:
@@ -98,22 +102,23 @@ class _Block:
 
     def row(self, block: int, buckets: int, kind: pa.DataType) -> pa.RecordBatch:
         words, flat = list(self.numbers), np.concatenate(self.texts)
-        common = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-        place = np.empty(len(words), np.uint32)
-        place[common] = np.arange(len(words), dtype=np.uint32)
-        words = [words[i] for i in common.tolist()]
-        bucket = np.fromiter((crc32(w) % buckets for w in words), np.int64, len(words))
-        order = np.argsort(bucket, kind="stable")
-        starts = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
-        lists = [{"bucket": int(bucket[order[a]]),
-                  "words": zstandard.compress(b"\n".join([words[i] for i in order[a:b].tolist()]), 3)}
-                 for a, b in zip(starts, [*starts[1:], len(words)])]
+        order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+        bucket = np.fromiter((crc32(words[i]) % buckets for i in order.tolist()), np.int64, len(words))
+        by_bucket = np.argsort(bucket, kind="stable")
+        order, bucket = order[by_bucket], bucket[by_bucket]
+        counts = np.bincount(flat, minlength=len(words))[order]
+        rank = np.empty(len(words), np.uint32)
+        rank[order[np.argsort(-counts, kind="stable")]] = np.arange(len(words), dtype=np.uint32)
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
+        lists = [{"bucket": int(bucket[a]), "words": zstandard.compress(
+            b"\n".join([words[i] for i in order[a:b].tolist()]), 9)}
+            for a, b in zip(starts, [*starts[1:], len(words)])]
         parts = pa.list_(pa.struct([("bucket", pa.int64()), ("words", pa.binary())]))
         return pa.RecordBatch.from_arrays(
             [pa.array([block]), pa.array([self.keys], pa.list_(kind)),
              pa.array([[len(t) for t in self.texts]], pa.list_(pa.int64())),
-             pa.array([_pack(bucket)]), pa.array([_pack(place[flat])]), pa.array([lists], parts)],
-            ["block", "keys", "sizes", "buckets", "places", "parts"])
+             pa.array([_pack(counts)]), pa.array([_pack(rank[flat])]), pa.array([lists], parts)],
+            ["block", "keys", "sizes", "counts", "ranks", "parts"])
 
 
 def _split_task(buckets: int, limit: int):
@@ -136,7 +141,8 @@ def _split_task(buckets: int, limit: int):
 def _word_task(vocabulary: str):
     """Rows in the order of their buckets; every distinct word of a bucket is encoded once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known, bucket = _tokenizer(vocabulary), {}, None
+        tokenizer, kind = _tokenizer(vocabulary), np.dtype(_id_type(vocabulary))
+        known, bucket = {}, None
         for batch in batches:
             lengths, ids = [], []
             for at, packed in zip(batch.column(1).to_pylist(), batch.column(2)):
@@ -148,10 +154,10 @@ def _word_task(vocabulary: str):
                     part = fresh[i:i + 20_000]
                     coded = tokenizer.encode_batch_fast(
                         [w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                    known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(part, coded))
+                    known.update((w, np.array(c.ids, kind).tobytes()) for w, c in zip(part, coded))
                 found = [known[w] for w in words]
-                lengths.append(_pack(np.fromiter(map(len, found), np.uint32, len(found)) // 4))
-                ids.append(_pack(np.frombuffer(b"".join(found), "<u4")))
+                lengths.append(_pack(np.fromiter(map(len, found), np.uint32, len(found)) // kind.itemsize))
+                ids.append(zstandard.compress(b"".join(found), 9))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(lengths, pa.binary()),
                  pa.array(ids, pa.binary())], ["block", "bucket", "lengths", "ids"])
@@ -163,20 +169,19 @@ def _join_task(vocabulary: str, digest: bool):
     """A block's texts and the ids of its words: a row for each text."""
     def run(blocks: pa.Table, coded: pa.Table) -> pa.Table:
         block = blocks.drop_columns(["keys"]).to_pylist()[0]
-        bucket, places = _unpack(block["buckets"]), _unpack(block["places"])
+        ranks = _unpack(block["ranks"])
+        # Counts and ids come by bucket, the texts speak of words by rank.
+        common = np.argsort(-_unpack(block["counts"]).astype(np.int64), kind="stable")
         coded = coded.sort_by("bucket")
-        nothing = np.empty(0, "<u4")
-        length = np.concatenate([nothing, *map(_unpack, coded["lengths"].to_pylist())]).astype(np.int64)
-        ids = np.concatenate([nothing, *map(_unpack, coded["ids"].to_pylist())])
-        # From the order of the buckets to the order of the block's words.
-        order = np.argsort(bucket, kind="stable")
-        starts, lengths = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        starts[order], lengths[order] = np.cumsum(length) - length, length
+        lengths = np.concatenate([np.empty(0, np.int64), *map(_unpack, coded["lengths"].to_pylist())])
+        starts, lengths = (np.cumsum(lengths) - lengths)[common], lengths[common]
+        ids = np.frombuffer(b"".join(map(zstandard.decompress, coded["ids"].to_pylist())),
+                            _id_type(vocabulary)).astype("<u4")
         pieces = list(map(_pieces(vocabulary).__getitem__, ids.tolist()))
         words = [b" ".join(pieces[s:s + n]) for s, n in zip(starts.tolist(), lengths.tolist())]
         n_tokens, codes, texts, at = [], [], [], 0
         for size in block["sizes"]:
-            text = places[at:at + size]
+            text = ranks[at:at + size]
             at += size
             n = lengths[text]
             ends = np.cumsum(n)
@@ -210,7 +215,7 @@ def encode(docs: DataFrame, path: str | None = None, digest: bool = False,
     size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = stored(picked.mapInArrow(
         _split_task(size // bucket_bytes + 1, block),
-        f"block bigint, keys array<{kind}>, sizes array<bigint>, buckets binary, places binary, "
+        f"block bigint, keys array<{kind}>, sizes array<bigint>, counts binary, ranks binary, "
         "parts array<struct<bucket: bigint, words: binary>>"))
     words = blocks.select("block", F.explode("parts").alias("part")).select("block", "part.*")
     coded = words.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(

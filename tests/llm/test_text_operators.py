@@ -149,6 +149,9 @@ def test_bpe_equals_the_library(spark, odd_docs):
     for block, bucket_bytes in ((bpe.BLOCK, bpe.BUCKET_BYTES), (1, 64), (3000, 1 << 40)):
         got = bpe.encode(docs, digest=True, block=block, bucket_bytes=bucket_bytes)
         assert rows(got) == sorted(want, key=repr)
+    broken = spark.sql("SELECT 1L AS doc_id, cast(unhex('61FF20E4') AS string) AS text")
+    got = bpe.encode(broken).first()
+    assert got.ids == tok.encode("a\ufffd \ufffd", add_special_tokens=False).ids
     coded = bpe.encode(docs)
     assert rows(bpe.decode(coded)) == rows(coded.select("doc_id", "decoded"))
 
