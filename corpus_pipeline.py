@@ -57,8 +57,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and the text they decode to."""
-    return bpe.encode(docs)
+    """Token ids of every document, and the text they decode to.
+
+    Blocks are smaller than the operator's own: ids and texts leave the task whole, which
+    takes the memory.
+    """
+    return bpe.encode(docs, block=8 << 20)
 
 
 STAGES = [("quality_rules", clean), ("near_duplicates", drop_near_copies),
