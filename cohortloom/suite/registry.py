@@ -13,7 +13,7 @@ from cohortloom.config import DOMAINS, STACKED, UTIL_LOCATIONS, WINDOWS
 from cohortloom.functions import labels
 from cohortloom.functions.distributed import stored, union_all, work_path
 from cohortloom.operators import (assemble, audit, boosting, codesets, cohort, deid, events,
-                                  hierarchy, metrics, train, windows)
+                                  hierarchy, metrics, train, wide, windows)
 from cohortloom.plans import study as plans
 from cohortloom.sources import files, schemas
 from cohortloom.sources.catalog import TableCatalog
@@ -1201,6 +1201,24 @@ def grid_search(s: Study) -> DataFrame:
                             fold_col="fold")
 
 
+@query("wide_slots", """
+SELECT person_id, slot, feature_key, max(value) AS value
+FROM long_all JOIN (
+  SELECT feature_key, row_number() OVER (ORDER BY feature_key)::INT - 1 AS slot
+  FROM (SELECT DISTINCT feature_key FROM long_all)) USING (feature_key)
+GROUP BY ALL HAVING max(value) <> 0""")
+def wide_slots(s: Study) -> DataFrame:
+    """The wide table of all features, saved by group of columns and read back cell by cell."""
+    s = _prepared(s)
+    slots, path = wide.slot_table(s.long_table), work_path(s.spark, "wide")
+    wide.save_wide(wide.slot_arrays(s.folded.select("person_id"), s.long_table, slots), path)
+    cells = s.spark.read.parquet(path).select(
+        "person_id", "slot_group", F.posexplode("cells").alias("at", "value")).filter("value <> 0")
+    slot = (F.col("slot_group") * wide.WIDTH + F.col("at")).cast("int")
+    return (cells.withColumn("slot", slot).join(slots, "slot")
+            .select("person_id", "slot", "feature_key", "value"))
+
+
 @query("model_slots", "SELECT DISTINCT feature_key, domain IN ('util', 'lab_cts') "
        "OR feature_key = 'entry_age' AS counted FROM long_all")
 def model_slots(s: Study) -> DataFrame:
