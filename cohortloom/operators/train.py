@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.config import PhenotypeConfig
@@ -76,9 +76,9 @@ class FoldData:
 
 
 def fold_vectors(cohort: DataFrame, train_long: DataFrame, test_long: DataFrame,
-                 fold: int) -> FoldData:
-    """Train and test vectors over the features both sets have."""
-    labelled = cohort.withColumn("label", label3().cast("double"))
+                 fold: int, label: Column | None = None) -> FoldData:
+    """Train and test vectors over the features both sets have; three classes by default."""
+    labelled = cohort.withColumn("label", (label3() if label is None else label).cast("double"))
     shared = stored(common_features(train_long, test_long))
     domains = train_long.select("domain", "feature_key").distinct()
     flag_keys, count_keys = vector_layout(domains.join(shared, "feature_key", "left_semi"))
@@ -157,32 +157,37 @@ def model_score(estimator, train: DataFrame, test: DataFrame) -> DataFrame:
     return _six(scored, ["task"]).drop("task")
 
 
-def model_eval(estimator, train: DataFrame, param_grid: Mapping[str, Sequence] | None = None,
-               refit: str = "auroc", folds: int = 5, fold_col: str | None = None,
-               seed: int = 0) -> DataFrame:
+def model_eval(estimator, train: DataFrame | Mapping[int, FoldData],
+               param_grid: Mapping[str, Sequence] | None = None, refit: str = "auroc",
+               folds: int = 5, fold_col: str | None = None, seed: int = 0) -> DataFrame:
     """(params, split, metric, value, best): six metrics of every parameter set and split.
 
     ``best`` marks the parameter set with the largest mean of the ``refit`` metric.
-    Without a grid there is one set, the estimator as given.
+    Without a grid there is one set, the estimator as given.  Vectors that each split has to
+    itself, such as those of features chosen by its training part, are passed by split.
     """
     if refit not in SCORES:
         raise ValueError(f"refit is one of {SCORES}")
     builder = ParamGridBuilder()
     for name, values in (param_grid or {}).items():
         builder = builder.addGrid(estimator.getParam(name), list(values))
-    split = (F.col(fold_col) if fold_col else F.floor(F.rand(seed) * folds) + 1).cast("int")
-    rows = durable(train.withColumn("_split", split))
-    splits = [r[0] for r in rows.select("_split").distinct().orderBy("_split").collect()]
+    if isinstance(train, Mapping):
+        parts = train
+    else:
+        split = (F.col(fold_col) if fold_col else F.floor(F.rand(seed) * folds) + 1).cast("int")
+        rows = durable(train.withColumn("_split", split))
+        parts = {r[0]: FoldData(rows.filter(F.col("_split") != r[0]),
+                                rows.filter(F.col("_split") == r[0]), ())
+                 for r in rows.select("_split").distinct().orderBy("_split").collect()}
 
     def one(task) -> DataFrame:
         params, k = task
         name = ", ".join(f"{p.name}={v}" for p, v in params.items()) or "default"
-        fitted = estimator.fit(rows.filter(F.col("_split") != k), params)
-        return _scored(fitted, rows.filter(F.col("_split") == k), F.lit(name).alias("params"),
-                       F.lit(k).alias("split"))
+        fitted = estimator.fit(parts[k].train, params)
+        return _scored(fitted, parts[k].test, F.lit(name).alias("params"), F.lit(k).alias("split"))
 
     with ThreadPoolExecutor(4) as pool:
-        scored = union_all(list(pool.map(one, [(g, k) for g in builder.build() for k in splits])))
+        scored = union_all(list(pool.map(one, [(g, k) for g in builder.build() for k in parts])))
     scores = stored(_six(durable(scored), ["params", "split"]))
     best = scores.groupBy("params").agg(F.avg(refit).alias("_mean")).agg(
         F.max_by("params", F.struct("_mean", "params"))).first()[0]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from cohortloom.config import DOMAINS, STACKED, CutThreshold, PhenotypeConfig
 from cohortloom.functions.distributed import union_all
 from cohortloom.functions.labels import feature_dictionary
-from cohortloom.operators import assemble, audit, boosting, events, hierarchy, train, windows
+from cohortloom.operators import assemble, audit, boosting, events, hierarchy, train, wide, windows
 from cohortloom.operators import cohort as cohorts
 from cohortloom.sources import files
 from cohortloom.sources.catalog import TableCatalog
@@ -139,6 +139,18 @@ def split_rows(catalog: TableCatalog, split: str) -> DataFrame:
                        catalog.results_tbl("features").filter(F.col("split") == split))
 
 
+def build_wide(catalog: TableCatalog, split: str, path: str) -> DataFrame:
+    """A split's wide table, written under ``path`` by group of columns; returns its slots.
+
+    :func:`cohortloom.operators.wide.column_group` reads the columns of a group.
+    """
+    long = split_rows(catalog, split)
+    slots = catalog.output_tbl(wide.slot_table(long), f"slots_{split}")
+    members = catalog.results_tbl("cohort").select(*windows.COHORT_IDS, "fold")
+    wide.save_wide(wide.slot_arrays(members, long, slots), path)
+    return slots
+
+
 def restrict_to(long: DataFrame, features: DataFrame) -> DataFrame:
     """Long rows of the given coded features, and all rows of other blocks."""
     coded = F.col("domain").isin(*DOMAINS)

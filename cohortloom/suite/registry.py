@@ -1193,12 +1193,9 @@ def train_full_facts(s: Study) -> DataFrame:
 @query("grid_search")
 def grid_search(s: Study) -> DataFrame:
     s = _prepared(s)
-    flag_keys, count_keys = assemble.vector_layout(s.long_table)
-    vectors = assemble.feature_vectors(
-        s.folded.withColumn("label", F.col("pasc_flag").cast("double")), s.long_table,
-        flag_keys, count_keys)
-    return train.model_eval(LogisticRegression(), vectors, {"regParam": [0.01, 0.1]},
-                            fold_col="fold")
+    parts = {k: train.fold_vectors(s.folded, *s.split(k), k, F.col("pasc_flag"))
+             for k in range(1, s.cfg.folds + 1)}
+    return train.model_eval(LogisticRegression(), parts, {"regParam": [0.01, 0.1]})
 
 
 @query("wide_slots", """

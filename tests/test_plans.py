@@ -5,7 +5,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from cohortloom.config import DOMAINS
-from cohortloom.operators import train
+from cohortloom.operators import train, wide
 from cohortloom.plans import study as plans
 from cohortloom.sources import files
 from cohortloom.sources.catalog import TableCatalog
@@ -55,6 +55,11 @@ def test_study_from_tables_to_model(spark, tmp_path):
         "count > 1").count() == 0
     assert built["dictionary"].filter(F.col("label").isNull()).count() == 0
 
+    slots = plans.build_wide(catalog, "1", str(tmp_path / "wide"))
+    assert slots.count() == plans.split_rows(catalog, "1").select("feature_key").distinct().count()
+    columns = wide.column_group(spark, str(tmp_path / "wide"), slots, 0)
+    assert columns.count() == persons and "entry_age" in columns.columns
+
     out = plans.train_model(catalog, cfg, str(tmp_path / "model"), train.random_forest(cfg))
     scored = out["predictions"]
     assert scored.count() == persons
