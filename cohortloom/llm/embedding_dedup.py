@@ -6,7 +6,7 @@ about ``SHARD`` nodes, and a hierarchical navigable small-world graph is built f
 each.  The beam of a shard starts narrow and doubles until an audit of its members
 against brute force has the recall asked for; a shard that no beam serves is
 compared as a whole.  Then the members of every shard query every shard of their
-label.  Links are verified by cosine in double precision; a task returns the
+label; queries of other shards are audited in the same way.  Links are verified by cosine in double precision; a task returns the
 number of links of each vector and links that span the groups it found, not
 the pairs.  Components are joined over all tasks.
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.llm.common import connect, stored
-from cohortloom.llm.hnsw import Graph, audited_width, build, within
+from cohortloom.llm.hnsw import Graph, audited_width, audited_within, build, within
 
 LEAST = 0.93
 SHARD = 8192
@@ -90,9 +90,15 @@ class _Shard:
                            ground.reshape(len(self.rids), -1))
 
     def find(self, queries: np.ndarray, least: float) -> np.ndarray:
+        """Boolean (query, node) for the members of another shard."""
+        return audited_within(self.graph, queries, least - SLACK, self.width)
+
+    def find_own(self, least: float) -> np.ndarray:
+        """Boolean (query, node) for the shard's own members, by the width audited for them."""
+        vectors = self.graph.vectors
         if self.width:
-            return within(self.graph, queries, least - SLACK, self.width)
-        return queries @ self.graph.vectors.T >= least - SLACK
+            return within(self.graph, vectors, least - SLACK, self.width)
+        return vectors @ vectors.T >= least - SLACK
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -122,7 +128,7 @@ def _pair_task(least: float):
                 one = row["a_shard"] == row["b_shard"]
                 a = _Shard(row, "a")
                 b = a if one else _Shard(row, "b")
-                found = b.find(a.graph.vectors, least)
+                found = a.find_own(least) if one else b.find(a.graph.vectors, least)
                 found |= found.T if one else a.find(b.graph.vectors, least).T
                 if one:
                     np.fill_diagonal(found, False)

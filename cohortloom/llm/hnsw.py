@@ -208,21 +208,56 @@ def within(graph: Graph, queries: np.ndarray, least: float, width: int) -> np.nd
     return out
 
 
-def audited_width(graph: Graph, least: float, width: int = 48, wanted: float = 0.999,
+WANTED = 0.999
+
+
+def recall(found: np.ndarray, true: np.ndarray) -> float:
+    """Mean share found over the queries that have anything to find.
+
+    Shares are averaged by query, so that one query with very many links hides no other.
+    """
+    total = true.sum(axis=1)
+    some = total > 0
+    return float(((found & true).sum(axis=1)[some] / total[some]).mean()) if some.any() else 1.0
+
+
+def _sample(n: int, size: int) -> np.ndarray:
+    return np.unique(np.linspace(0, n - 1, min(n, size)).astype(int))
+
+
+def audited_width(graph: Graph, least: float, width: int = 48, wanted: float = WANTED,
                   audits: int = 512) -> tuple[int, float]:
     """The first beam width, doubling, whose recall against brute force is as wanted.
 
-    Beyond the size of the shard the caller compares all of it (width 0).
+    Members are audited, without their links to themselves.  Beyond the size of the shard
+    the caller compares all of it (width 0).
     """
     n = len(graph.vectors)
-    chosen = np.unique(np.linspace(0, n - 1, min(n, audits)).astype(int))
+    chosen = _sample(n, audits)
     queries = graph.vectors[chosen]
     true = queries @ graph.vectors.T >= least
+    true[np.arange(len(chosen)), chosen] = False
     while True:
-        found = within(graph, queries, least, width) & true
-        recall = found.sum() / max(true.sum(), 1)
-        if recall >= wanted:
-            return width, float(recall)
+        reached = recall(within(graph, queries, least, width), true)
+        if reached >= wanted:
+            return width, reached
         if width >= n:
             return 0, 1.0
         width *= 2
+
+
+def audited_within(graph: Graph, queries: np.ndarray, least: float, width: int,
+                   wanted: float = WANTED, audits: int = 256) -> np.ndarray:
+    """:func:`within` for queries that are not the graph's own, audited anew.
+
+    The beam doubles from ``width`` until the recall of a sample of them is as wanted; from
+    the size of the shard on, and for width 0, all of it is compared.
+    """
+    chosen = _sample(len(queries), audits)
+    true = queries[chosen] @ graph.vectors.T >= least
+    while 0 < width < len(graph.vectors):
+        found = within(graph, queries, least, width)
+        if recall(found[chosen], true) >= wanted:
+            return found
+        width *= 2
+    return queries @ graph.vectors.T >= least

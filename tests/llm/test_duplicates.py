@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from cohortloom.llm import bwt, embedding_dedup, simhash, suffix_dedup
+from cohortloom.llm import bwt, embedding_dedup, hnsw, simhash, suffix_dedup
 from cohortloom.llm.common import components, connect
 from tests.conftest import SMALL
 from tests.llm.conftest import prose
@@ -250,6 +250,26 @@ def test_embedding_groups_equal_brute_force(spark, shard):
     assert sorted(map(tuple, got.collect()), key=repr) == slow_vectors(df.collect())
 
 
+def test_audits_count_by_query():
+    true = np.zeros((100, 2000), bool)
+    true[0] = True                       # one query with very many links, and 99 with one each
+    true[np.arange(1, 100), np.arange(1, 100)] = True
+    found = true.copy()
+    found[1:50] = False
+    assert hnsw.recall(found, true) == pytest.approx(0.51) and hnsw.recall(true, true) == 1.0
+    rng = np.random.default_rng(4)
+    near = rng.normal(size=(30, 16)).repeat(20, axis=0) + rng.normal(size=(600, 16)) * .05
+    near = (near / np.linalg.norm(near, axis=1, keepdims=True)).astype(np.float32)
+    own, others = near[::2], near[1::2]
+    graph = hnsw.build(own)
+    width, reached = hnsw.audited_width(graph, .93)
+    assert reached >= hnsw.WANTED
+    # Even from a beam of one the audit leads to all links of another shard's vectors.
+    for start in (1, width, 0):
+        found = hnsw.audited_within(graph, others, .93, start)
+        assert hnsw.recall(found, others @ own.T >= .93) >= hnsw.WANTED
+
+
 def test_recall_of_the_index(spark):
     rows = spark.read.parquet(f"{SMALL}/../sf0.01/embeddings.parquet")
     got = embedding_dedup.embedding_groups(rows, shard=20)
