@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.llm.common import connect, stored
-from cohortloom.llm.hnsw import Graph, audited_width, audited_within, build, within
+from cohortloom.llm.hnsw import Graph, audited_width, audited_within, build, whole, within
 
 LEAST = 0.93
 SHARD = 8192
@@ -98,7 +98,7 @@ class _Shard:
         vectors = self.graph.vectors
         if self.width:
             return within(self.graph, vectors, least - SLACK, self.width)
-        return vectors @ vectors.T >= least - SLACK
+        return whole(self.graph, vectors, least - SLACK)
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:

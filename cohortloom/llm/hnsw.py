@@ -221,6 +221,14 @@ def recall(found: np.ndarray, true: np.ndarray) -> float:
     return float(((found & true).sum(axis=1)[some] / total[some]).mean()) if some.any() else 1.0
 
 
+def whole(graph: Graph, queries: np.ndarray, least: float) -> np.ndarray:
+    """:func:`within` by comparing with every node, a block of queries at a time."""
+    out = np.empty((len(queries), len(graph.vectors)), bool)
+    for at in range(0, len(queries), BATCH):
+        out[at:at + BATCH] = queries[at:at + BATCH] @ graph.vectors.T >= least
+    return out
+
+
 def _sample(n: int, size: int) -> np.ndarray:
     return np.unique(np.linspace(0, n - 1, min(n, size)).astype(int))
 
@@ -229,8 +237,8 @@ def audited_width(graph: Graph, least: float, width: int = 48, wanted: float = W
                   audits: int = 512) -> tuple[int, float]:
     """The first beam width, doubling, whose recall against brute force is as wanted.
 
-    Members are audited, without their links to themselves.  Beyond the size of the shard
-    the caller compares all of it (width 0).
+    Members are audited, without their links to themselves.  Beyond an eighth of the shard
+    a beam takes more memory and time than comparing all of it, which is width 0.
     """
     n = len(graph.vectors)
     chosen = _sample(n, audits)
@@ -241,23 +249,23 @@ def audited_width(graph: Graph, least: float, width: int = 48, wanted: float = W
         reached = recall(within(graph, queries, least, width), true)
         if reached >= wanted:
             return width, reached
-        if width >= n:
-            return 0, 1.0
         width *= 2
+        if 8 * width > n:
+            return 0, 1.0
 
 
 def audited_within(graph: Graph, queries: np.ndarray, least: float, width: int,
                    wanted: float = WANTED, audits: int = 256) -> np.ndarray:
     """:func:`within` for queries that are not the graph's own, audited anew.
 
-    The beam doubles from ``width`` until the recall of a sample of them is as wanted; from
-    the size of the shard on, and for width 0, all of it is compared.
+    The beam doubles from ``width`` until the recall of a sample of them is as wanted; beyond
+    an eighth of the shard, and for width 0, all of it is compared.
     """
     chosen = _sample(len(queries), audits)
     true = queries[chosen] @ graph.vectors.T >= least
-    while 0 < width < len(graph.vectors):
+    while 0 < 8 * width <= len(graph.vectors):
         found = within(graph, queries, least, width)
         if recall(found[chosen], true) >= wanted:
             return found
         width *= 2
-    return queries @ graph.vectors.T >= least
+    return whole(graph, queries, least)
