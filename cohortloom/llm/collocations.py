@@ -49,7 +49,9 @@ TOP = 2000
 NO_LANG = "und"
 MAX_BITS = 24                # bytes of the phrase table: 16 MB
 BLOCK = 3_000_000            # words counted at once
-SLICE = 1 << 22              # bytes split at once
+SLICE = 1 << 20              # bytes split at once
+STEP = 1 << 18               # places looked up at once
+PARTS = 16                   # a block's phrases are counted in so many parts
 WORD_LANES = 1024            # lanes of the empty prefix
 LANE_BITS = 16               # a lane takes prefixes of up to 2 ** 17 occurrences whole
 MERGE_ROWS = 20_000
@@ -165,17 +167,21 @@ class _Block:
     def numbered(self) -> tuple[np.ndarray, list[bytes]]:
         """Numbers of all words in order, -1 at the end of a piece, and the words by number."""
         self._settle()
-        coded = pa.concat_arrays(self.parts).dictionary_encode()
-        ids = coded.indices.to_numpy()
-        words = coded.dictionary.to_pylist()
-        return np.where(ids == words.index(_MARK), -1, ids) if _MARK in words else ids, words
+        coded = pa.chunked_array(self.parts).dictionary_encode().unify_dictionaries()
+        self.parts = []
+        words = coded.chunk(0).dictionary.to_pylist()
+        ids = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+        if _MARK in words:
+            ids[ids == words.index(_MARK)] = -1
+        return ids, words
 
 
 def _stripes_of(block: _Block, length: int, table: PhraseTable | None, word_lanes: int,
                 lane_bits: int) -> Iterator[tuple]:
     """(lang, prefix, lane, followers, counts) of prefixes of ``length`` words.
 
-    The table holds phrases of as many words.
+    The table holds phrases of as many words.  A prefix, or at length 0 a word, is in one of
+    ``PARTS`` parts; one part is sorted and counted at a time, which bounds the task's memory.
     """
     ids, words = block.numbered()
     n = len(ids) - length
@@ -186,18 +192,23 @@ def _stripes_of(block: _Block, length: int, table: PhraseTable | None, word_lane
     spread = (hashes >> np.uint64(40)).astype(np.int32)
     lang_names = list(block.langs)
     is_word = ids >= 0
-    lanes = np.int64(word_lanes)
     if length:                 # the prefix and the phrase that ends with the follower are frequent
         lang_hash = np.array([_hash_word(x.encode()) for x in lang_names], np.uint64)
-        at = np.flatnonzero(np.logical_and.reduce([is_word[k:n + 1 + k] for k in range(length)]))
-        size = np.zeros(n + 1, np.uint8)
-        size[at] = table(phrase_hashes(lang_hash[lang[at]], [hashes[ids[at + k]] for k in range(length)]))
-        at = np.flatnonzero((size[:-1] > 0) & (size[1:] > 0))
-        lanes = np.left_shift(1, np.clip(size[at].astype(np.int64) - lane_bits, 0, 12))
+        size, part = np.zeros(n + 1, np.uint8), np.zeros(n + 1, np.uint8)
+        for a in range(0, n + 1, STEP):
+            b = min(a + STEP, n + 1)
+            at = a + np.flatnonzero(np.logical_and.reduce([is_word[a + k:b + k] for k in range(length)]))
+            h = phrase_hashes(lang_hash[lang[at]], [hashes[ids[at + k]] for k in range(length)])
+            size[at], part[at] = table(h), h % np.uint64(PARTS)
+        part = np.where((size[:-1] > 0) & (size[1:] > 0), part[:-1], PARTS)
     else:
-        at = np.flatnonzero(is_word)
-    if len(at):
-        yield from _grouped(ids, lang, at, length, lanes, spread, words, lang_names)
+        part = np.where(is_word, (spread % PARTS).astype(np.uint8)[ids], PARTS)
+    for p in range(PARTS):
+        at = np.flatnonzero(part == p)
+        if len(at):
+            lanes = (np.left_shift(1, np.clip(size[at].astype(np.int64) - lane_bits, 0, 12)) if length
+                     else np.int64(word_lanes))
+            yield from _grouped(ids, lang, at, length, lanes, spread, words, lang_names)
 
 
 def _grouped(ids: np.ndarray, lang: np.ndarray, at: np.ndarray, length: int, lanes,

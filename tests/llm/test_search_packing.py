@@ -1,7 +1,9 @@
 """Collocations, packing and lexical search against brute force."""
 
 import math
+import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -62,6 +64,23 @@ def test_collocations_equal_brute_force(spark, percent, shape):
     assert sorted(map(tuple, got.collect())) == slow_collocations(rows, 3, percent, 50)
 
 
+@pytest.mark.parametrize("length", [1, 3])
+def test_collocations_count_a_block_in_little_memory(length):
+    rng = random.Random(5)
+    block = collocations._Block()
+    for _ in range(60):
+        block.add("en", [b"w%d" % int(3000 * rng.random() ** 3) for _ in range(10_000)])
+    table = collocations.PhraseTable(np.full(1024, 5, np.uint8))
+    tracemalloc.start()
+    try:
+        n = sum(len(x[4]) for x in collocations._stripes_of(block, length, table, 1024, 16))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n > 4 * 100_000
+    assert peak < 60 * block.size
+
+
 def test_collocations_span_slices_of_long_texts(spark, monkeypatch):
     text = "one two three four, " * 40 + "five" * 30 + " one two " + "\t" * 90 + "three"
     assert [w for part in collocations.tokens(text.encode()) for w in part]
