@@ -46,6 +46,7 @@ from cohortloom.llm.common import documents, stored
 
 BLOCK = 32 << 20         # bytes of the texts of a block
 BUCKET_BYTES = 8 << 20   # bytes of text for each bucket of words
+OUT = 1 << 20            # bytes of a batch that leaves a task
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -143,8 +144,20 @@ def _word_task(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, kind = _tokenizer(vocabulary), np.dtype(_id_type(vocabulary))
         known, bucket = {}, None
+        lengths, ids = [], []
+
+        def coded_rows(batch: pa.RecordBatch, first: int) -> pa.RecordBatch:
+            n = len(ids)
+            rows = pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(first, n), batch.column(1).slice(first, n),
+                 pa.array(lengths, pa.binary()), pa.array(ids, pa.binary())],
+                ["block", "bucket", "lengths", "ids"])
+            lengths.clear()
+            ids.clear()
+            return rows
+
         for batch in batches:
-            lengths, ids = [], []
+            first, held = 0, 0
             for at, packed in zip(batch.column(1).to_pylist(), batch.column(2)):
                 if at != bucket:
                     known, bucket = {}, at
@@ -158,15 +171,34 @@ def _word_task(vocabulary: str):
                 found = [known[w] for w in words]
                 lengths.append(_pack(np.fromiter(map(len, found), np.uint32, len(found)) // kind.itemsize))
                 ids.append(zstandard.compress(b"".join(found), 9))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(lengths, pa.binary()),
-                 pa.array(ids, pa.binary())], ["block", "bucket", "lengths", "ids"])
+                held += len(ids[-1]) + len(lengths[-1])
+                if held >= OUT:
+                    done = first + len(ids)
+                    yield coded_rows(batch, first)
+                    first, held = done, 0
+            if ids:
+                yield coded_rows(batch, first)
 
     return run
 
 
 def _join_task(vocabulary: str, digest: bool):
-    """A block's texts and the ids of its words: a row for each text."""
+    """A block's texts and the ids of its words: a row for each text.
+
+    Rows become a batch every ``OUT`` bytes, so that neither side holds them twice.
+    """
+    def batch(keys: pa.Array, n_tokens: list, codes: list, texts: list) -> pa.RecordBatch:
+        if digest:
+            last = [pa.array(codes, pa.string()), pa.array(texts, pa.string())]
+        else:
+            ends = pa.array(np.cumsum([0, *n_tokens]), pa.int32())
+            last = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(codes).view(np.int32))),
+                    pa.array(texts, pa.string())]
+        return pa.RecordBatch.from_arrays(
+            [keys, pa.array(n_tokens, pa.int64()), *last],
+            ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digest
+                                     else ("ids", "decoded"))])
+
     def run(blocks: pa.Table, coded: pa.Table) -> pa.Table:
         block = blocks.drop_columns(["keys"]).to_pylist()[0]
         ranks = _unpack(block["ranks"])
@@ -179,8 +211,9 @@ def _join_task(vocabulary: str, digest: bool):
                             _id_type(vocabulary)).astype("<u4")
         pieces = list(map(_pieces(vocabulary).__getitem__, ids.tolist()))
         words = [b" ".join(pieces[s:s + n]) for s, n in zip(starts.tolist(), lengths.tolist())]
-        n_tokens, codes, texts, at = [], [], [], 0
-        for size in block["sizes"]:
+        keys = blocks["keys"].combine_chunks().flatten()
+        out, n_tokens, codes, texts, at, first, held = [], [], [], [], 0, 0, 0
+        for row, size in enumerate(block["sizes"], 1):
             text = ranks[at:at + size]
             at += size
             n = lengths[text]
@@ -191,15 +224,11 @@ def _join_task(vocabulary: str, digest: bool):
             n_tokens.append(total)
             codes.append(hashlib.sha256(own.tobytes()).hexdigest() if digest else own)
             texts.append(hashlib.sha256(whole).hexdigest() if digest else whole.decode("utf-8"))
-        if digest:
-            last = {"ids_sha256": pa.array(codes, pa.string()),
-                    "decoded_sha256": pa.array(texts, pa.string())}
-        else:
-            flat = pa.array(np.concatenate(codes).astype(np.int32))
-            ends = pa.array(np.concatenate([[0], np.cumsum(n_tokens)]), pa.int32())
-            last = {"ids": pa.ListArray.from_arrays(ends, flat), "decoded": pa.array(texts, pa.string())}
-        return pa.table({"doc_id": blocks["keys"].combine_chunks().flatten(),
-                         "n_tokens": pa.array(n_tokens, pa.int64()), **last})
+            held += 128 if digest else len(whole) + 4 * total
+            if held >= OUT or row == len(block["sizes"]):
+                out.append(batch(keys.slice(first, row - first), n_tokens, codes, texts))
+                n_tokens, codes, texts, first, held = [], [], [], row, 0
+        return pa.Table.from_batches(out)
 
     return run
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cohortloom.llm import bpe, licenses, quality_rules
@@ -131,6 +132,31 @@ def library():
     return t
 
 
+def test_bpe_joins_a_block_in_small_batches():
+    from tokenizers import Tokenizer
+
+    vocabulary = open(bpe.vocabulary_path(), encoding="utf-8").read()
+    texts = [prose(i, 4_000) for i in range(120)]
+    block = bpe._Block()
+    for i, text in enumerate(texts):
+        block.add(i, text.encode())
+    rows = block.row(7, 3, pa.int64())
+    parts = rows.column("parts")[0].as_py()
+    words = pa.RecordBatch.from_arrays(
+        [pa.array([7] * len(parts)), pa.array([x["bucket"] for x in parts]),
+         pa.array([x["words"] for x in parts], pa.binary())], ["block", "bucket", "words"])
+    coded = pa.Table.from_batches(bpe._word_task(vocabulary)(iter([words])))
+    got = bpe._join_task(vocabulary, False)(pa.Table.from_batches([rows]), coded)
+    batches = got.to_batches()
+    assert len(batches) > 2 and max(b.nbytes for b in batches) < 3 << 20
+    assert got["doc_id"].to_pylist() == list(range(120))
+    library = Tokenizer.from_file(bpe.vocabulary_path())
+    for i in (0, 60, 119):
+        ids = library.encode(texts[i], add_special_tokens=False).ids
+        assert got["ids"][i].as_py() == ids and got["n_tokens"][i].as_py() == len(ids)
+        assert got["decoded"][i].as_py() == library.decode(ids, skip_special_tokens=False)
+
+
 def test_bpe_equals_the_library(spark, odd_docs):
     more = ["it's I'LL don't", "a<|endoftext|>b <|ENDOFTEXT|>", "Σ ΑΣ ſ İ ﬁ Å", "x y\u0085z \x1c \x00",
             "中文 字 👩‍👩‍👧 12 ½", "́ ́a"]
