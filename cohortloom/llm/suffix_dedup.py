@@ -24,6 +24,10 @@ anywhere else in the corpus, the same text included.
 5. Covered windows of a class give spans in all its members; spans of a document
    are merged and cut out.
 
+``repeats_and_passages`` also tells shorter passages.  Spans of the shorter strings
+are found first, over everything; a longer string that repeats lies inside a merged
+one with all its occurrences, so only those spans go through the steps again.
+
 Hashes decide what is compared and which whole runs are equal (64-bit anchor and
 64-bit digest together); the strings compared in step 4 are the bytes themselves,
 next to cores equal by digest.
@@ -54,6 +58,9 @@ CELL = 68
 MAX_GROUP = 4_000
 PIECE = 1 << 20          # bytes worked at once
 BATCH = 500_000          # symbols of one transform, beyond its first group
+PASSAGE_LENGTH = 200     # 51 words of three letters and their blanks take 203 bytes
+PASSAGE_GRAM = 64
+PASSAGE_WORDS = 51
 
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -132,19 +139,22 @@ def _fold(h: np.ndarray, d: np.ndarray, rows: np.ndarray, pos: np.ndarray, lo: n
     return first, np.diff(np.append(first, len(h)))
 
 
-def _pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Blocks of (row, offset, bytes); long texts in pieces that overlap by a window less one."""
+def _pieces(texts: list[bytes], length: int, within: list | None = None
+            ) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Blocks of (row, offset, bytes); long texts in pieces that overlap by a window less one.
+
+    ``within`` holds the spans of each text to be worked, instead of all of it.
+    """
     block, held = [], 0
     for row, text in enumerate(texts):
-        if len(text) < length:
-            continue
-        for at in range(0, len(text) - length + 1, PIECE):
-            part = text[at:at + PIECE + length - 1]
-            block.append((row, at, part))
-            held += len(part)
-            if held >= PIECE:
-                yield block
-                block, held = [], 0
+        for start, end in [(0, len(text))] if within is None else within[row]:
+            for at in range(start, end - length + 1, PIECE):
+                part = text[at:min(at + PIECE + length - 1, end)]
+                block.append((row, at, part))
+                held += len(part)
+                if held >= PIECE:
+                    yield block
+                    block, held = [], 0
     if block:
         yield block
 
@@ -161,10 +171,17 @@ def _digest(data: bytes, *salt: int) -> int:
 def _anchor_task(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher(gram, 2 * PIECE + 2 * length)
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             uid, chk = batch.column(0), batch.column(1)
-            texts = [t.as_buffer().to_pybytes() for t in batch.column(2)]
-            for block in _pieces(texts, length):
+            within = None
+            if batch.num_columns == 4:
+                texts = [unpack(t.as_buffer()) for t in batch.column(2)]
+                within = [[(s["start"], s["end"]) for s in spans]
+                          for spans in batch.column(3).to_pylist()]
+            else:
+                texts = [t.as_buffer().to_pybytes() for t in batch.column(2)]
+            for block in _pieces(texts, length, within):
                 joined = b"".join(part for _, _, part in block)
                 raw = np.frombuffer(joined, np.uint8)
                 ends = np.cumsum([len(part) for _, _, part in block])
@@ -204,6 +221,7 @@ def squeezed(rows: DataFrame) -> DataFrame:
 def anchors(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """A row for each anchor: hash, digest of its windows, place, and window offsets.
 
+    With a fourth column, spans, the texts are compressed and only windows inside count.
     ``times`` equal anchors that follow each other, ``hi - lo + 1`` bytes apart, are one row.
     """
     return rows.mapInArrow(
@@ -375,6 +393,38 @@ def _merge(spans: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+SPANS = "array<struct<start: bigint, end: bigint>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _part_task(length: int, min_words: int):
+    """Passages of enough words, and the merged spans that a string of ``length`` fits into.
+
+    Texts without such a span are done: their body is replaced by their digest.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            out = {c: [] for c in ("n_bytes", "passages", "within", "kept_sha256", "body")}
+            for packed, found in zip(batch.column("body"), batch.column("spans").to_pylist()):
+                text = unpack(packed.as_buffer())
+                spans = [{"start": a, "end": b}
+                         for a, b in _merge([(s["start"], s["end"]) for s in found or ()])]
+                within = [s for s in spans if s["end"] - s["start"] >= length]
+                out["n_bytes"].append(len(text))
+                out["passages"].append([s for s in spans if len(
+                    text[s["start"]:s["end"]].split()) >= min_words])
+                out["within"].append(within)
+                out["kept_sha256"].append(None if within else hashlib.sha256(text).hexdigest())
+                out["body"].append(packed.as_py() if within else None)
+            kinds = [pa.int64(), _SPANS, _SPANS, pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-2], *(pa.array(v, k) for v, k in zip(out.values(), kinds))],
+                [*batch.schema.names[:-2], *out])
+
+    return run
+
+
 def _cut_task(keep_text: bool, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -392,8 +442,7 @@ def _cut_task(keep_text: bool, min_words: int):
                 # Characters that lose some of their bytes go whole.
                 out["kept"].append(kept.decode("utf-8", "ignore") if keep_text
                                    else hashlib.sha256(kept).hexdigest())
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct(
-                [("start", pa.int64()), ("end", pa.int64())])), pa.string()]
+            kinds = [pa.int64(), pa.int64(), _SPANS, pa.string()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-2], *(pa.array(v, k) for v, k in zip(out.values(), kinds))],
                 [*batch.schema.names[:-2], "n_bytes", "n_removed", "spans",
@@ -402,41 +451,90 @@ def _cut_task(keep_text: bool, min_words: int):
     return run
 
 
+def _spans(found: DataFrame, texts: DataFrame, length: int, cell: int, max_group: int
+           ) -> DataFrame:
+    """(uid, chk, spans) of the texts that hold covered bytes, from all their anchors."""
+    found = stored(found)
+    twice = found.groupBy("h").agg(F.sum("times").alias("k")).filter("k > 1").select("h")
+    runs = stored(found.join(twice, "h"))
+    discard(found)
+    ranges = covered_ranges(runs, texts, length, cell, max_group)
+    # The spans of runs that follow each other overlap.
+    ahead = (F.col("times") - 1) * (F.col("run_hi") - F.col("run_lo") + 1)
+    return (runs.withColumnsRenamed({"lo": "run_lo", "hi": "run_hi"}).join(ranges, ["h", "d"])
+            .groupBy("uid", "chk").agg(F.collect_set(F.struct(
+                (F.col("pos") - F.col("hi")).alias("start"),
+                (F.col("pos") + ahead - F.col("lo") + length).alias("end"))).alias("spans")))
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str, *also: str) -> tuple[list[str], DataFrame]:
+    """The other columns, and rows of them, a key of id and text, and the text's bytes."""
+    made = ("uid", "chk", "body", "spans", "n_bytes", "n_removed", "kept_text", "kept_sha256",
+            *also)
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rest = [c for c in docs.columns if c != text and c not in made]
+    return rest, docs.select(*rest, F.xxhash64(F.col(doc_id), body).alias("uid"), F.hash(
+        body, F.col(doc_id)).alias("chk"), body.cast("binary").alias("body"))
+
+
+def _schema(df: DataFrame, columns: list[str]) -> str:
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
+
+
 def repeats(docs: DataFrame, keep_text: bool = False, length: int = LENGTH, gram: int = GRAM,
             cell: int = CELL, max_group: int = MAX_GROUP, doc_id: str = "doc_id",
             text: str = "text", min_words: int = 0) -> DataFrame:
     """The columns of ``docs`` but its text, then ``n_bytes n_removed spans`` and the kept text
     or its digest.  Columns of these names are replaced.  Spans of fewer than ``min_words``
     words stay."""
-    made = ("uid", "chk", "body", "spans", "n_bytes", "n_removed", "kept_text", "kept_sha256")
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rest = [c for c in docs.columns if c != text and c not in made]
-    rows = docs.select(*rest, F.xxhash64(F.col(doc_id), body).alias("uid"),
-                       F.hash(body, F.col(doc_id)).alias("chk"), body.cast("binary").alias("body"))
-    found = stored(anchors(rows.select("uid", "chk", "body"), length, gram))
-    twice = found.groupBy("h").agg(F.sum("times").alias("k")).filter("k > 1").select("h")
-    runs = stored(found.join(twice, "h"))
-    discard(found)
-    ranges = covered_ranges(runs, squeezed(rows.select("uid", "chk", "body")), length, cell,
-                            max_group)
-    # The spans of runs that follow each other overlap.
-    ahead = (F.col("times") - 1) * (F.col("run_hi") - F.col("run_lo") + 1)
-    spans = (runs.withColumnsRenamed({"lo": "run_lo", "hi": "run_hi"}).join(ranges, ["h", "d"])
-             .groupBy("uid", "chk").agg(F.collect_set(F.struct(
-                 (F.col("pos") - F.col("hi")).alias("start"),
-                 (F.col("pos") + ahead - F.col("lo") + length).alias("end"))).alias("spans")))
-    packed = squeezed(rows)
-    both = packed.join(spans, ["uid", "chk"], "left").select(*rest, "body", "spans")
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in rest)
-    return both.mapInArrow(_cut_task(keep_text, min_words), schema + (
-        "n_bytes bigint, n_removed bigint, spans array<struct<start: bigint, end: bigint>>, "
+    rest, rows = _rows(docs, doc_id, text)
+    whole = rows.select("uid", "chk", "body")
+    spans = _spans(anchors(whole, length, gram), squeezed(whole), length, cell, max_group)
+    both = squeezed(rows).join(spans, ["uid", "chk"], "left").select(*rest, "body", "spans")
+    return both.mapInArrow(_cut_task(keep_text, min_words), _schema(docs, rest) + (
+        f"n_bytes bigint, n_removed bigint, spans {SPANS}, "
         + ("kept_text string" if keep_text else "kept_sha256 string")))
 
 
+def repeats_and_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
+                         cell: int = CELL, max_group: int = MAX_GROUP, doc_id: str = "doc_id",
+                         text: str = "text", passage_length: int = PASSAGE_LENGTH,
+                         passage_gram: int = PASSAGE_GRAM, min_words: int = PASSAGE_WORDS
+                         ) -> DataFrame:
+    """``repeats`` and a column ``passages``: spans of at least ``min_words`` words that strings
+    of ``passage_length`` bytes cover, which is at most ``length``.
+
+    ``n_removed``, ``spans`` and the digest are those of ``length`` alone.
+    """
+    if passage_length > length:
+        raise ValueError("passage_length must not exceed length")
+    rest, rows = _rows(docs, doc_id, text, "passages", "within")
+    whole, key = rows.select("uid", "chk", "body"), ["uid", "chk"]
+    spans = _spans(anchors(whole, passage_length, passage_gram), squeezed(whole), passage_length,
+                   cell, max_group)
+    both = squeezed(rows).join(spans, key, "left").select(*rest, *key, "body", "spans")
+    parts = stored(both.mapInArrow(_part_task(length, min_words), _schema(both, [*rest, *key]) + (
+        f"n_bytes bigint, passages {SPANS}, within {SPANS}, kept_sha256 string, body binary")))
+    left = parts.filter("body is not null")
+    spans = _spans(anchors(left.select(*key, "body", "within"), length, gram),
+                   left.select(*key, "body"), length, cell, max_group)
+    both = left.join(spans, key, "left").select(*rest, "passages", "body", "spans")
+    cut = both.mapInArrow(_cut_task(False, 0), _schema(both, [*rest, "passages"]) + (
+        f"n_bytes bigint, n_removed bigint, spans {SPANS}, kept_sha256 string"))
+    done = parts.filter("body is null").select(
+        *rest, "passages", "n_bytes", F.lit(0).cast("long").alias("n_removed"),
+        F.array().cast(SPANS).alias("spans"), "kept_sha256")
+    return done.unionByName(cut)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(documents(spark, sf_dir).select("doc_id", "text")).select(
+    """The contract's columns, then the passages of over 50 words that shorter strings tell."""
+    found = repeats_and_passages(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
-        "kept_sha256")
+        "kept_sha256", F.size("passages").cast("long").alias("n_passages"),
+        F.aggregate("passages", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+        .alias("passage_bytes"))
 
 
 QUERIES = {"op4_suffix_dedup": op4_suffix_dedup}

@@ -189,6 +189,71 @@ def test_short_spans_stay(spark):
     assert got[0] == ("a! ", 1) and got[1] == (" z? " + short, 1) and got[2] == (short + " b.", 0)
 
 
+def slow_passages(texts, length, words):
+    """(number, bytes) of covered runs of enough words."""
+    raw = [(t or "").encode() for t in texts]
+    often = Counter(b[i:i + length] for b in raw for i in range(len(b) - length + 1))
+    out = []
+    for b in raw:
+        gone = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if often[b[i:i + length]] > 1:
+                gone[i:i + length] = b"\1" * length
+        edges = [i for i in range(len(b) + 1)
+                 if (gone[i] if i < len(b) else 0) != (gone[i - 1] if i else 0)]
+        found = [b[x:y] for x, y in zip(edges[::2], edges[1::2]) if len(b[x:y].split()) >= words]
+        out.append((len(found), sum(map(len, found))))
+    return out
+
+
+@pytest.mark.parametrize("how", [{}, {"max_group": 1}])
+def test_passages_beside_repeats_equal_brute_force(spark, odd_docs, how):
+    rows = [r for r in odd_docs.collect() if r.text is None or len(r.text) < 50_000]
+    short = odd_docs.filter("text is null or length(text) < 50000")
+    texts = [r.text for r in rows]
+    want = [(r.doc_id, *w, *p) for r, w, p in zip(
+        rows, slow_repeats(texts, 400), slow_passages(texts, 200, 51))]
+    got = [(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256, len(r.passages),
+            sum(s.end - s.start for s in r.passages))
+           for r in suffix_dedup.repeats_and_passages(short, **how).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_query_tells_passages_shorter_than_its_strings(spark, tmp_path):
+    words = "the old man saw the sea and had his tea by the fire".split()
+    rng = random.Random(3)
+    passage = " ".join(rng.choice(words) for _ in range(60))
+    assert 200 <= len(passage) < 300
+    rows = [(i, prose(40 + i, 70) + passage + prose(50 + i, 70), "en", "a", 0) for i in range(2)]
+    rows += [(2, prose(60, 80), "en", "a", 0), (3, None, "en", "a", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, "
+                          "n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in suffix_dedup.op4_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i].n_removed for i in range(4)] == [0, 0, 0, 0]
+    assert [got[i].n_passages for i in range(4)] == [1, 1, 0, 0]
+    assert got[0].passage_bytes == got[1].passage_bytes >= len(passage)
+
+
+def test_spans_inside_shorter_spans_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 3000)
+    rng = random.Random(8)
+    one = "".join(rng.choice("abcdefghijklmnop ") for _ in range(20_000))
+    texts = [one, one[2500:9000] + "!" + one[12_000:12_300] + "?" + one[15_000:15_401] + "ab" * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256)
+                 for r in suffix_dedup.repeats_and_passages(df).collect())
+    assert got == [(i, *w) for i, w in enumerate(slow_repeats(texts, 400))]
+
+
+def test_columns_that_only_passages_make_are_carried_along(spark):
+    df = spark.createDataFrame([(0, "a", "w", "p")],
+                               "doc_id long, text string, within string, passages string")
+    row = suffix_dedup.repeats(df).first()
+    assert (row.within, row.passages) == ("w", "p")
+    row = suffix_dedup.repeats_and_passages(df).first()
+    assert row.passages == [] and "within" not in row.asDict()
+
+
 def test_kept_text_has_whole_characters(spark):
     shared = "é" * 300
     df = spark.createDataFrame([(0, "a" + shared + "ü"), (1, "bb" + shared + "ö")],
@@ -282,4 +347,5 @@ def test_nothing_comes_of_nothing(spark, no_docs):
     assert simhash.simhash_groups(no_docs).count() == 0
     assert simhash.one_of_each_group(no_docs).count() == 0
     assert suffix_dedup.repeats(no_docs).count() == 0
+    assert suffix_dedup.repeats_and_passages(no_docs).count() == 0
     assert embedding_dedup.embedding_groups(vectors(spark).limit(0)).count() == 0
