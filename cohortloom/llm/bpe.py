@@ -47,6 +47,7 @@ from cohortloom.llm.common import documents, stored
 BLOCK = 32 << 20         # bytes of the texts of a block
 BUCKET_BYTES = 8 << 20   # bytes of text for each bucket of words
 OUT = 1 << 20            # bytes of a batch that leaves a task
+WORDS = 4_000            # words that the tokenizer gets at once
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -163,8 +164,8 @@ def _word_task(vocabulary: str):
                     known, bucket = {}, at
                 words = zstandard.decompress(packed.as_py()).split(b"\n")
                 fresh = [w for w in words if w not in known]
-                for i in range(0, len(fresh), 20_000):
-                    part = fresh[i:i + 20_000]
+                for i in range(0, len(fresh), WORDS):
+                    part = fresh[i:i + WORDS]
                     coded = tokenizer.encode_batch_fast(
                         [w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
                     known.update((w, np.array(c.ids, kind).tobytes()) for w, c in zip(part, coded))

@@ -41,7 +41,7 @@ any other; other columns stay as they are.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,14 +50,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.llm.bwt import repeated_starts
-from cohortloom.llm.common import discard, documents, stored
+from cohortloom.llm.common import discard, documents, slices, stored
 
 LENGTH = 400
 GRAM = 128
 CELL = 68
 MAX_GROUP = 4_000
-PIECE = 1 << 20          # bytes worked at once
-BATCH = 500_000          # symbols of one transform, beyond its first group
+PIECE = 1 << 18          # bytes worked at once
+BATCH = 250_000          # symbols of one transform, beyond its first group
 PASSAGE_LENGTH = 200     # 51 words of three letters and their blanks take 203 bytes
 PASSAGE_GRAM = 64
 PASSAGE_WORDS = 51
@@ -139,7 +139,7 @@ def _fold(h: np.ndarray, d: np.ndarray, rows: np.ndarray, pos: np.ndarray, lo: n
     return first, np.diff(np.append(first, len(h)))
 
 
-def _pieces(texts: list[bytes], length: int, within: list | None = None
+def _pieces(texts: Iterable[bytes], length: int, within: list | None = None
             ) -> Iterator[list[tuple[int, int, bytes]]]:
     """Blocks of (row, offset, bytes); long texts in pieces that overlap by a window less one.
 
@@ -176,11 +176,11 @@ def _anchor_task(length: int, gram: int):
             uid, chk = batch.column(0), batch.column(1)
             within = None
             if batch.num_columns == 4:
-                texts = [unpack(t.as_buffer()) for t in batch.column(2)]
+                texts = (unpack(t.as_buffer()) for t in batch.column(2))
                 within = [[(s["start"], s["end"]) for s in spans]
                           for spans in batch.column(3).to_pylist()]
             else:
-                texts = [t.as_buffer().to_pybytes() for t in batch.column(2)]
+                texts = (t.as_buffer().to_pybytes() for t in batch.column(2))
             for block in _pieces(texts, length, within):
                 joined = b"".join(part for _, _, part in block)
                 raw = np.frombuffer(joined, np.uint8)
@@ -207,7 +207,7 @@ def _anchor_task(length: int, gram: int):
 def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed one by one, which halves what is shuffled."""
     pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
+    for batch in slices(batches):
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:-1], pa.array([pack(t.as_buffer()) for t in batch.column(
                 batch.num_columns - 1)], pa.binary())], batch.schema.names)
@@ -239,7 +239,7 @@ def _cell_task(length: int, cell: int):
     """Cells of the classes' first members, read from their texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in slices(batches, "body"):
             out = {c: [] for c in CELL_COLUMNS}
             for packed, places in zip(batch.column("body"), batch.column("places").to_pylist()):
                 text = unpack(packed.as_py())
@@ -404,7 +404,7 @@ def _part_task(length: int, min_words: int):
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in slices(batches, "body"):
             out = {c: [] for c in ("n_bytes", "passages", "within", "kept_sha256", "body")}
             for packed, found in zip(batch.column("body"), batch.column("spans").to_pylist()):
                 text = unpack(packed.as_buffer())
@@ -428,7 +428,7 @@ def _part_task(length: int, min_words: int):
 def _cut_task(keep_text: bool, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in slices(batches, "body"):
             out = {c: [] for c in ("n_bytes", "n_removed", "spans", "kept")}
             for packed, found in zip(batch.column("body"), batch.column("spans").to_pylist()):
                 text = unpack(packed.as_py())

@@ -17,6 +17,7 @@ from cohortloom.llm.common import documents, stored
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 PASSAGE_BYTES = 200
 PASSAGE_WORDS = 51
+BATCH_BYTES = 4 << 20
 
 
 def _with_text(docs: DataFrame, text: str) -> DataFrame:
@@ -25,6 +26,15 @@ def _with_text(docs: DataFrame, text: str) -> DataFrame:
                             ).select(*COLUMNS)
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts reach Python in batches of a few megabytes, as they take memory on both sides.
+
+    Spark's own limit is 10,000 rows or 64 MB.  It is read when the stage is written, so the
+    setting stays in the session.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go; documents that fail the rules go as a whole."""
     judged = quality_rules.quality_rules(docs.select(*COLUMNS))
@@ -36,6 +46,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Shingles and bits are those of the operator's own query: three words, at most three bits.
     """
+    _small_batches(spark)
     return simhash.one_of_each_group(docs.select(*COLUMNS))
 
 
@@ -45,6 +56,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     51 words of three letters and their blanks take 203 bytes, so such passages are found by
     strings of 200; every copy goes, shorter repeats stay.
     """
+    _small_batches(spark)
     return _with_text(suffix_dedup.repeats(
         docs.select(*COLUMNS), keep_text=True, length=PASSAGE_BYTES, gram=64,
         min_words=PASSAGE_WORDS), "kept_text")
@@ -62,7 +74,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Blocks are smaller than the operator's own: ids and texts leave the task whole, which
     takes the memory.
     """
-    return bpe.encode(docs, block=8 << 20)
+    _small_batches(spark)
+    return bpe.encode(docs, block=4 << 20)
 
 
 STAGES = [("quality_rules", clean), ("near_duplicates", drop_near_copies),

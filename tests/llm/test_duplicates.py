@@ -2,13 +2,15 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from cohortloom.llm import bwt, embedding_dedup, hnsw, simhash, suffix_dedup
+from cohortloom.llm import bwt, common, embedding_dedup, hnsw, simhash, suffix_dedup
 from cohortloom.llm.common import components, connect
 from tests.conftest import SMALL
 from tests.llm.conftest import prose
@@ -168,6 +170,39 @@ def test_very_long_texts_are_worked_in_pieces(spark, monkeypatch):
     assert found_repeats(df) == [(i, *w) for i, w in enumerate(slow_repeats(texts, 400))]
 
 
+def test_a_batch_of_texts_is_worked_in_small_parts():
+    bodies = [prose(i, 150).encode() for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(bodies)), pa.int64()), pa.array([0] * len(bodies), pa.int32()),
+         pa.array(bodies, pa.binary())], ["uid", "chk", "body"])
+    tracemalloc.start()
+    found = sum(b.num_rows for b in suffix_dedup._anchor_task(200, 64)([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found > len(bodies) and peak < 40 << 20
+    packed = list(suffix_dedup._squeeze([batch]))
+    assert len(packed) > 1
+    packed = pa.Table.from_batches(packed).combine_chunks().to_batches()[0]
+    spans = pa.array([[{"start": 1, "end": 3}]] * len(bodies), suffix_dedup._SPANS)
+    both = pa.RecordBatch.from_arrays([*packed.columns, spans], ["uid", "chk", "body", "spans"])
+    cut = list(suffix_dedup._cut_task(True, 0)([both]))
+    assert len(cut) > 1
+    cut = pa.Table.from_batches(cut)
+    assert cut["uid"].to_pylist() == list(range(len(bodies)))
+    assert cut["kept_text"].to_pylist() == [(b[:1] + b[3:]).decode() for b in bodies]
+
+
+def test_slices_keep_all_rows_in_order(monkeypatch):
+    monkeypatch.setattr(common, "SLICE", 10)
+    bodies = [b"", None, b"x" * 30, b"abc", b"defg", b"hij", None, b"", b"y" * 11, b""]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(bodies))), pa.array(bodies, pa.binary())], ["n", "body"])
+    got = list(common.slices([batch, batch.slice(0, 0), batch.slice(3)]))
+    assert [r for b in got for r in b["body"].to_pylist()] == bodies + bodies[3:]
+    assert all(b.num_rows == 1 or sum(len(x or b"") for x in b["body"].to_pylist()) <= 10
+               for b in got)
+
+
 def test_periodic_texts_take_one_row_for_equal_runs(spark):
     texts = ["ab" * 100_000, "x" * 50_000, "one two three. " * 3000 + "ab" * 500]
     df = spark.createDataFrame(list(enumerate(texts)), "uid long, text string").selectExpr(

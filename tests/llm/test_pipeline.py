@@ -3,6 +3,7 @@
 import math
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -118,6 +119,23 @@ def test_pipeline_stages(spark, odd_docs, no_docs):
                 assert docs.count() == before
 
 
+def test_texts_reach_python_in_small_batches(spark):
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(4000, numPartitions=1).selectExpr(
+        "id as doc_id", "repeat('word ', 800) as text", "'en' as lang", "'a' as source",
+        "4000L as n_chars")
+    for stage in (corpus_pipeline.drop_near_copies, corpus_pipeline.drop_repeats,
+                  corpus_pipeline.encode):
+        stage(spark, docs, SMALL)
+        sizes = [r.n for r in docs.select("text").mapInArrow(count, "n bigint").collect()]
+        assert sum(sizes) == 4000 and max(sizes) <= 1100
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
 def test_run_applies_all_stages(spark):
     rows = corpus_pipeline.run(spark, SMALL)
     assert rows.columns == ["doc_id", "n_tokens", "ids", "decoded"]
