@@ -1,14 +1,17 @@
 """Softmax boosting over the binned matrix: one multiclass ensemble for each fold, grown together.
 
 A round fits one regression tree for each class to the gradients of the softmax loss, on columns
-drawn once a tree.  The trees of all classes and folds grow level by level: a job sums gradients
+drawn once a tree.  A person trains the models of all folds but the own one.
+
+A matrix of up to ``HELD`` bytes is held by one task for each model, which grows all rounds of
+it; models don't depend on each other and run side by side.  Only trees reach the driver.
+
+In a larger matrix the trees of all classes and folds grow level by level: a job sums gradients
 by node, feature and bin in every task, adds the sums up by (model, class, node, block of
 features), and finds each block's best split where the sums meet; only best splits reach the
-driver.  A person trains the models of all folds but the own one.
-
-Margins of all models are a column of the stored matrix, written anew every ``keep_every``
-rounds; in between tasks add the latest trees themselves.  So a lost task reads its input again
-and nothing more, and lineage never grows.
+driver.  Margins of all models are a column of the stored matrix, written anew every
+``keep_every`` rounds; in between tasks add the latest trees themselves.  So a lost task reads its
+input again and nothing more, and lineage never grows.
 
 Gradients are rounded to 2 ** -20 and summed as whole numbers, hence sums, splits and results
 don't depend on partitions or their order.
@@ -23,6 +26,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.config import PhenotypeConfig
-from cohortloom.functions.distributed import discard, stored
+from cohortloom.functions.distributed import discard, stored, union_all
 from cohortloom.operators import binning
 from cohortloom.operators.assemble import label3
 
@@ -43,7 +47,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ONE = 1 << 20                # a gradient of 1
 CELLS = 32 << 20             # bytes of the dense matrix of a task
 BLOCK_BINS = 1 << 16         # bins of a block of features
-ROWS = 100_000               # rows of a partition
+ROWS = 1_000_000             # rows that a model's task may hold
+PART = 100_000               # rows of a partition of a matrix that no task holds
+PIECE = 10_000               # rows of a partition of one that a task holds
+HELD = 400 << 20             # bytes that a model's task may hold
 WHOLE = 0                    # the model that everybody trains
 
 
@@ -144,6 +151,11 @@ def _softmax(margins: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def _gradients(p: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients and hessians of a class as whole numbers; a hessian is at least 1."""
+    return np.rint((p - own) * ONE), np.rint(np.maximum(2 * p * (1 - p), 1 / ONE) * ONE)
+
+
 SUM_SCHEMA = "model int, klass int, node int, block int, bins binary, g binary, h binary, loss double"
 SUM_KEY = ["model", "klass", "node", "block"]
 
@@ -169,29 +181,28 @@ def _sum_task(batches: Iterator[pa.RecordBatch], layout: Layout, boost: Boost, l
                 number[nodes] = np.arange(len(nodes))
                 at = np.where(mine, number[tree.place(x, level)], -1)
                 q = p[:, m, c]
-                g = np.rint((q - (y == c)) * ONE)
-                h = np.rint(np.maximum(2 * q * (1 - q), 1 / ONE) * ONE)
+                g, h = _gradients(q, y == c)
                 if (m, c) not in sums:
-                    sums[m, c] = np.zeros((3, len(nodes), n_bins + 1))
+                    sums[m, c] = np.zeros((2, len(nodes), n_bins + 1))
                 total, held = sums[m, c], at >= 0
-                for k, weight in enumerate((np.ones(len(y)), g, h)):
+                for k, weight in enumerate((g, h)):
                     total[k, :, n_bins] += np.bincount(at[held], weight[held], len(nodes))
                 keep = at[row] >= 0
                 place = at[row[keep]] * (n_bins + 1) + entry[keep]
-                for k, weight in enumerate((np.ones(len(y)), g, h)):
+                for k, weight in enumerate((g, h)):
                     total[k] += np.bincount(place, weight[row[keep]], total[k].size).reshape(total[k].shape)
     out: list[tuple] = []
     edge = np.flatnonzero(np.diff(layout.blocks(), prepend=-1)) if layout.n_features else np.array([0])
     first = np.append(layout.offsets[edge], n_bins).astype(np.int64)
     for (m, c), total in sums.items():
         for k, node in enumerate(sorted(grown[m, c].open)):
-            if total[2, k, n_bins] < boost.min_child * ONE and not total[0, k, n_bins]:
+            if not total[1, k, n_bins]:         # every row has a hessian, so nobody is here
                 continue
             for b, (lo, hi) in enumerate(zip(first, first[1:])):
-                met = np.flatnonzero(total[0, k, lo:hi]) + lo
+                met = np.flatnonzero(total[1, k, lo:hi]) + lo
                 bins = np.append(met, -1).astype("<i4")
-                out.append((m, c, node, b, bins.tobytes(), total[1, k, bins].tobytes(),
-                            total[2, k, bins].tobytes(), 0.0))
+                out.append((m, c, node, b, bins.tobytes(), total[0, k, bins].tobytes(),
+                            total[1, k, bins].tobytes(), 0.0))
     if not level:
         out.extend((m, -1, 0, -1, b"", b"", b"", float(x)) for m, x in enumerate(loss))
     kinds = [pa.int32()] * 4 + [pa.binary()] * 3 + [pa.float64()]
@@ -365,42 +376,159 @@ def _new_trees(layout: Layout, boost: Boost) -> dict:
     return {(m, c): Tree(boost.depth) for m in range(len(layout.models)) for c in range(boost.classes)}
 
 
-def _round_task(batches: Iterator[pa.RecordBatch], layout: Layout, boost: Boost, latest: list[dict],
-                round_: int) -> Iterator[pa.RecordBatch]:
-    """All levels of a round over a matrix of one partition, whose sums are the whole sums."""
-    held = list(_keep_task(batches, layout, boost, latest))
-    grown = _new_trees(layout, boost)
+class Held:
+    """The rows that train a model: entries by person, and again by feature."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], layout: Layout, model: int):
+        ys, rows, slots, bins, n = [], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.uint8)], 0
+        for batch in batches:
+            fold = batch.column("fold").to_numpy(zero_copy_only=False)
+            mine = np.ones(len(fold), bool) if model == WHOLE else fold != model
+            lists = batch.column("slots")
+            size = np.diff(lists.offsets.to_numpy())
+            keep = np.repeat(mine, size)
+            ys.append(batch.column("y").to_numpy(zero_copy_only=False)[mine])
+            rows.append(np.repeat(np.arange(n, n + len(ys[-1]), dtype=np.int32), size[mine]))
+            slots.append(lists.flatten().to_numpy(zero_copy_only=False)[keep].astype(np.int32))
+            bins.append(batch.column("bins").flatten().to_numpy(zero_copy_only=False)[keep].astype(np.uint8))
+            n += len(ys[-1])
+        self.y = np.concatenate(ys) if ys else np.zeros(0, np.int64)
+        self.row, slot, bin_ = np.concatenate(rows), np.concatenate(slots), np.concatenate(bins)
+        self.entry = layout.offsets[slot] + bin_
+        order = np.argsort(slot, kind="stable")
+        self.edge = np.searchsorted(slot[order], np.arange(layout.n_features + 1))
+        self.rows_of, self.bins_of = self.row[order], bin_[order]
+
+    def column(self, feature: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and bins of a feature where it is not absent."""
+        lo, hi = self.edge[feature], self.edge[feature + 1]
+        return self.rows_of[lo:hi], self.bins_of[lo:hi]
+
+
+def _sides(some: np.ndarray, absent: bool, rows: np.ndarray, right: np.ndarray, scratch: np.ndarray
+           ) -> tuple[np.ndarray, np.ndarray]:
+    """Some rows by side: ``rows`` go right where ``right`` says so, all others where ``absent`` does."""
+    scratch.fill(absent)
+    scratch[rows] = right
+    goes = scratch[some]
+    return some[~goes], some[goes]
+
+
+def _grow_tree(held: Held, layout: Layout, boost: Boost, g: np.ndarray, h: np.ndarray, round_: int, m: int,
+               c: int) -> tuple[Tree, np.ndarray]:
+    """A tree of a model and the leaf of each row.
+
+    Sums are taken over the smaller child only; the other has what is left of its parent, which
+    is exact, as sums are whole numbers.
+    """
+    width, n = int(layout.offsets[-1]) + 1, len(g)
+    block_of, drawn = layout.blocks(), layout.sampled(boost, round_, m, c)
+    blocks = [(some, drawn[some]) for b in range(int(block_of.max(initial=-1)) + 1)
+              for some in [np.flatnonzero(block_of == b)]]
+    tree = Tree(boost.depth)
+    node, scratch = np.ones(n, np.int32), np.zeros(n, bool)
+    members = {1: np.arange(n, dtype=np.int32)}
+    weights = (g, h), (g[held.row], h[held.row])
+
+    def add_up(nodes: list[int]) -> dict[int, np.ndarray]:
+        number = np.full(len(tree.feature), -1)
+        number[nodes] = np.arange(len(nodes))
+        at = number[node]
+        out = np.zeros((len(nodes), 2, width))
+        place = at[held.row]
+        keep = np.flatnonzero(place >= 0)
+        place = place[keep] * width + held.entry[keep]
+        met = np.flatnonzero(at >= 0)
+        for k in range(2):
+            out[:, k] = np.bincount(place, weights[1][k][keep], len(nodes) * width).reshape(-1, width)
+            out[:, k, -1] = np.bincount(at[met], weights[0][k][met], len(nodes))
+        return dict(zip(nodes, out))
+
+    sums = add_up([1])
     for level in range(boost.depth):
-        sums = pa.Table.from_batches(list(_sum_task(iter(held), layout, boost, [], grown, level)))
-        sums = sums.sort_by([(c, "ascending") for c in SUM_KEY])
-        for found in _split_task(iter(sums.to_batches()), layout, boost, round_):
-            yield found.append_column("level", pa.array([level] * found.num_rows, pa.int32()))
-            _extend(grown, found.to_pylist(), boost, level)
-        if not any(tree.open for tree in grown.values()):
+        found = []
+        for k in sorted(tree.open):
+            gs, hs = sums[k]
+            best = (-1, 0, 0.0, 0.0, 0.0)
+            for some, picked in blocks:
+                if picked.any():
+                    split = _best_of(gs, hs, gs[-1], hs[-1], layout, some, picked, boost)
+                    best = split if split[2] > best[2] else best
+            found.append(dict(zip(("feature", "bin", "gain", "gl", "hl"), best), model=m, klass=c, node=k,
+                              g=gs[-1] / ONE, h=hs[-1] / ONE))
+        _extend({(m, c): tree}, found, boost, level)
+        split = [r["node"] for r in found if r["feature"] >= 0]
+        for k in split:
+            feature, bin_ = tree.feature[k], tree.bin[k]
+            rows, bins = held.column(feature)
+            members[2 * k], members[2 * k + 1] = _sides(
+                members.pop(k), layout.zero[feature] > bin_, rows, bins > bin_, scratch)
+            node[members[2 * k]], node[members[2 * k + 1]] = 2 * k, 2 * k + 1
+        if not tree.open:
             break
+        wanted = [k for k in split if {2 * k, 2 * k + 1} & tree.open]
+        less = {k: 2 * k + (len(members[2 * k + 1]) < len(members[2 * k])) for k in wanted}
+        parents, sums = sums, add_up(list(less.values()))
+        for k in wanted:
+            other = 4 * k + 1 - less[k]
+            if other in tree.open:
+                sums[other] = parents[k] - sums[less[k]]
+    return tree, node
 
 
-def _grow(table: DataFrame, layout: Layout, boost: Boost, latest: list[dict], round_: int, parts: int
-          ) -> tuple[dict, dict[int, float]]:
-    """The trees of a round, and the loss of each model before it.
+TREE_SCHEMA = "model int, round int, klass int, loss double, feature binary, bin binary, value binary"
+
+
+def _model_task(batches: Iterator[pa.RecordBatch], layout: Layout, boost: Boost, m: int
+                ) -> Iterator[pa.RecordBatch]:
+    """All rounds of a model; the loss before a round stands beside its trees."""
+    held = Held(batches, layout, layout.models[m])
+    n = len(held.y)
+    if not n:
+        return
+    margins = np.zeros((n, boost.classes))
+    for round_ in range(boost.rounds):
+        p = _softmax(margins)
+        loss, out = float(-np.log(np.maximum(p[np.arange(n), held.y], 1e-300)).sum()), []
+        for c in range(boost.classes):
+            tree, node = _grow_tree(held, layout, boost, *_gradients(p[:, c], held.y == c), round_, m, c)
+            margins[:, c] += tree.value[node]
+            out.append((m, round_, c, loss, tree.feature.tobytes(), tree.bin.tobytes(), tree.value.tobytes()))
+        kinds = [pa.int32()] * 3 + [pa.float64()] + [pa.binary()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds)],
+                                         ["model", "round", "klass", "loss", "feature", "bin", "value"])
 
-    A level is one job; the levels of a matrix of one partition are one job together.
+
+def _grow_held(table: DataFrame, layout: Layout, boost: Boost) -> tuple[list[dict], list[dict[int, float]]]:
+    """The trees of all rounds, and the loss of each model before each.
+
+    A model is a job of one task; the jobs run side by side.
     """
+    def one(m: int) -> list:
+        return (table.select("fold", "y", "slots", "bins").coalesce(1)
+                .mapInArrow(partial(_model_task, layout=layout, boost=boost, m=m), TREE_SCHEMA).collect())
+
+    with ThreadPoolExecutor(len(layout.models)) as pool:
+        rows = [r for found in pool.map(one, range(len(layout.models))) for r in found]
+    trees, losses = [_new_trees(layout, boost) for _ in range(boost.rounds)], [{} for _ in range(boost.rounds)]
+    for r in rows:
+        tree = trees[r.round][r.model, r.klass]
+        tree.feature, tree.bin = np.frombuffer(r.feature, np.int32), np.frombuffer(r.bin, np.int16)
+        tree.value = np.frombuffer(r.value)
+        losses[r.round][r.model] = r.loss
+    return trees, losses
+
+
+def _grow(table: DataFrame, layout: Layout, boost: Boost, latest: list[dict], round_: int
+          ) -> tuple[dict, dict[int, float]]:
+    """The trees of a round, and the loss of each model before it; a level is one job."""
     grown, loss = _new_trees(layout, boost), {}
-    whole = None
-    if parts == 1:
-        whole = table.coalesce(1).mapInArrow(
-            partial(_round_task, layout=layout, boost=boost, latest=latest, round_=round_),
-            SPLIT_SCHEMA + ", level int").collect()
     for level in range(boost.depth):
-        if whole is not None:
-            found = [r for r in whole if r.level == level]
-        else:
-            found = (table.mapInArrow(partial(_sum_task, layout=layout, boost=boost, latest=latest,
-                                              grown=grown, level=level), SUM_SCHEMA)
-                     .repartition(*SUM_KEY).sortWithinPartitions(*SUM_KEY)
-                     .mapInArrow(partial(_split_task, layout=layout, boost=boost, tree=round_),
-                                 SPLIT_SCHEMA).collect())
+        found = (table.mapInArrow(partial(_sum_task, layout=layout, boost=boost, latest=latest,
+                                          grown=grown, level=level), SUM_SCHEMA)
+                 .repartition(*SUM_KEY).sortWithinPartitions(*SUM_KEY)
+                 .mapInArrow(partial(_split_task, layout=layout, boost=boost, tree=round_),
+                             SPLIT_SCHEMA).collect())
         for r in found:
             if r.klass < 0:
                 loss[r.model] = loss.get(r.model, 0.0) + r.gain
@@ -452,10 +580,13 @@ def fit(members: DataFrame, long: DataFrame, slots: DataFrame, models: tuple[int
     layout = Layout(offsets, shape.column(2).to_numpy().astype(np.uint8), allowed, tuple(models))
     start = F.array_repeat(F.lit(0.0), len(models) * boost.classes)
     table = stored(binning.binned_rows(members, long, slots).withColumn("margins", start))
-    n = table.groupBy("fold").count().collect()
+    n = table.groupBy("fold").agg(F.count("*").alias("count"), F.sum(F.size("slots")).alias("entries")).collect()
     total = sum(r["count"] for r in n)
     size = [max(1, sum(r["count"] for r in n if m == WHOLE or r["fold"] != m)) for m in models]
-    parts = max(1, math.ceil(total / rows))
+    # Bytes that a task needs for an entry, a person, and a bin of all nodes.
+    needs = 40 * sum(r["entries"] for r in n) + 120 * total + (16 << boost.depth) * int(offsets[-1])
+    held = total <= rows and needs <= HELD
+    parts = max(1, math.ceil(total / (PIECE if held else min(rows, PART))))
     trees, latest, losses = [], [], []
 
     def keep(table: DataFrame, latest: list[dict]) -> DataFrame:
@@ -467,12 +598,14 @@ def fit(members: DataFrame, long: DataFrame, slots: DataFrame, models: tuple[int
     spread = stored(table.repartition(parts, "person_id"))
     discard(table)
     table = spread
+    grown_held = _grow_held(table, layout, boost) if held else None
     for round_ in range(boost.rounds):
-        grown, loss = _grow(table, layout, boost, latest, round_, parts)
+        grown, loss = ([x[round_] for x in grown_held] if held
+                       else _grow(table, layout, boost, latest, round_))
         losses += [(models[m], round_, x / size[m]) for m, x in sorted(loss.items())]
         trees.append(grown)
         latest.append(grown)
-        if len(latest) == boost.keep_every or round_ + 1 == boost.rounds:
+        if not held and len(latest) == boost.keep_every or round_ + 1 == boost.rounds:
             table, latest = keep(table, latest), []
     return Ensemble(_node_table(spark, trees, layout, slots), table, slots, layout.models, boost, losses)
 
@@ -515,59 +648,73 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 # Scoring from the table ------------------------------------------------------------------
-def leaf_conditions(nodes: DataFrame) -> DataFrame:
-    """(model, tree, klass, node, feature_key, low, high, at_zero): what leads to each leaf.
-
-    A value in (low, high] meets a condition; ``at_zero`` tells whether an absent one does.
-    """
-    key = ["model", "tree", "klass"]
-    path = nodes.filter("feature_key is null and node > 1").select(
-        *key, "node", F.explode(F.sequence(F.lit(1), F.floor(F.log2("node")).cast("int"))).alias("up"))
-    path = path.select(*key, "node", F.expr("shiftright(node, up)").alias("above"),
-                       F.expr("shiftright(node, up - 1) % 2 = 1").alias("right"))
-    inner = nodes.filter("feature_key is not null").select(
-        *key, F.col("node").alias("above"), "feature_key", "threshold")
-    limits = path.join(inner, [*key, "above"]).groupBy(*key, "node", "feature_key").agg(
-        F.max(F.when(F.col("right"), F.col("threshold"))).alias("low"),
-        F.min(F.when(~F.col("right"), F.col("threshold"))).alias("high"))
-    return limits.withColumn("at_zero", _meets(F.lit(0.0)))
+class Walk:
+    """The trees of an ensemble as arrays; features are numbered as in ``keys``."""
+
+    def __init__(self, nodes: pa.Table):
+        have = nodes.column("feature_key").drop_null().unique().to_pylist()
+        self.keys: list[str] = sorted(have)
+        number = {k: i for i, k in enumerate(self.keys)}
+        self.trees: dict = {}
+        for row in nodes.select(["model", "tree", "klass", "node", "feature_key", "threshold", "value"]
+                                ).sort_by([(c, "ascending") for c in ("model", "tree", "klass")]).to_batches():
+            for m, t, c, node, key, threshold, value in zip(*(x.to_pylist() for x in row.columns)):
+                self.trees.setdefault((m, t, c), {})[node] = (number.get(key, -1), threshold, value)
+        self.models = sorted({m for m, _, _ in self.trees})
+
+    def margins(self, n: int, row: np.ndarray, slot: np.ndarray, value: np.ndarray, classes: int
+                ) -> dict[int, np.ndarray]:
+        """Margins by model of ``n`` rows with the given entries."""
+        order = np.argsort(slot, kind="stable")
+        edge = np.searchsorted(slot[order], np.arange(len(self.keys) + 1))
+        row, value, scratch = row[order], value[order], np.zeros(n, bool)
+        out = {m: np.zeros((n, classes)) for m in self.models}
+        for (m, _, c), tree in self.trees.items():
+            queue = [(1, np.arange(n, dtype=np.int32))]
+            while queue:
+                node, some = queue.pop()
+                feature, threshold, leaf = tree[node]
+                if feature < 0:
+                    out[m][some, c] += leaf
+                elif len(some):
+                    lo, hi = edge[feature], edge[feature + 1]
+                    left, right = _sides(some, 0 > threshold, row[lo:hi], value[lo:hi] > threshold, scratch)
+                    queue += [(2 * node, left), (2 * node + 1, right)]
+        return out
 
 
-def _meets(value):
-    return (F.coalesce(value > F.col("low"), F.lit(True))
-            & F.coalesce(value <= F.col("high"), F.lit(True)))
+def _score_task(batches: Iterator[pa.RecordBatch], walk: Walk, classes: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, lists = batch.num_rows, batch.column("e")
+        entries = lists.flatten()
+        slot, value = (entries.field(k).to_numpy(zero_copy_only=False) for k in ("slot", "value"))
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+        # Of values that repeat a person and feature the largest, which is last, stays.
+        last = np.append((row[1:] != row[:-1]) | (slot[1:] != slot[:-1]), True)[:len(row)]
+        for m, margins in walk.margins(n, row[last], slot[last], value[last], classes).items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, m, np.int32)), batch.column("person_id"), *map(pa.array, margins.T.copy())],
+                ["model", "person_id", *[f"m{c}" for c in range(classes)]])
 
 
 def score(nodes: DataFrame, members: DataFrame, long: DataFrame, classes: int = 3) -> DataFrame:
-    """(model, person_id, p0..) by joins of stored values with the conditions of leaves.
+    """(model, person_id, p0..): every person's values walk down every tree.
 
-    Every tree has one leaf that a person without features reaches.  A person's values change
-    which conditions hold; only these changes are joined and counted, so a row without effect
-    costs nothing beyond the join.
+    A person's values meet in one row, and tasks take the trees along, whose number follows the
+    settings.  Of rows that repeat a person and feature the largest value stays.
     """
-    key = ["model", "tree", "klass", "node"]
-    leaves = nodes.filter("feature_key is null").select(*key, "value")
-    conditions = stored(leaf_conditions(nodes))
-    unmet = conditions.groupBy(*key).agg(F.count_if(~F.col("at_zero")).alias("unmet"))
-    leaves = stored(leaves.join(unmet, key, "left").select(
-        *key, "value", F.coalesce("unmet", F.lit(0)).alias("unmet")))
-    values = long.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("value") != 0))
-    met = _meets(F.col("value"))
-    changes = (values.select("person_id", "feature_key", "value").join(conditions, "feature_key")
-               .withColumn("met", met).filter("met <> at_zero")
-               .groupBy("person_id", *key).agg(F.count_if("met").alias("gained"),
-                                               F.count_if(~F.col("met")).alias("lost")))
-    changes = changes.join(leaves, key).select(
-        "model", "klass", "person_id",
-        F.when((F.col("unmet") > 0) & (F.col("gained") == F.col("unmet")) & (F.col("lost") == 0),
-               F.col("value")).when((F.col("unmet") == 0) & (F.col("lost") > 0), -F.col("value"))
-        .otherwise(0.0).alias("change"))
-    sums = [F.sum(F.when(F.col("klass") == c, F.col("change"))).alias(f"c{c}") for c in range(classes)]
-    base = leaves.filter("unmet = 0").groupBy("model").agg(*[
-        F.sum(F.when(F.col("klass") == c, F.col("value")).otherwise(0.0)).alias(f"b{c}")
-        for c in range(classes)])
-    own = changes.groupBy("model", "person_id").agg(*sums)
-    every = members.select("person_id").distinct().join(F.broadcast(base))  # one row a model
-    rows = every.join(own, ["model", "person_id"], "left").select("model", "person_id", *[
-        (F.col(f"b{c}") + F.coalesce(f"c{c}", F.lit(0.0))).alias(f"m{c}") for c in range(classes)])
-    return with_softmax(rows, classes)
+    spark = members.sparkSession
+    walk = Walk(nodes.toArrow())
+    numbers = spark.createDataFrame(list(enumerate(walk.keys)), "slot int, feature_key string")
+    values = long.filter(F.col("person_id").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value")
+                         & (F.col("value") != 0)).join(numbers, "feature_key")
+    entry = F.struct("slot", F.col("value").cast("double").alias("value")).alias("e")
+    rows = union_all([members.select("person_id", F.lit(True).alias("_member")), values.select("person_id", entry)],
+                     allow_missing=True)
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    grouped = rows.repartition(parts, "person_id").groupBy("person_id").agg(
+        F.max("_member").alias("_member"), F.sort_array(F.collect_list("e")).alias("e"))
+    kind = members.schema["person_id"].dataType.simpleString()
+    margins = ", ".join(f"m{c} double" for c in range(classes))
+    return with_softmax(grouped.filter("_member").select("person_id", "e").mapInArrow(
+        partial(_score_task, walk=walk, classes=classes), f"model int, person_id {kind}, {margins}"), classes)

@@ -256,3 +256,38 @@ def test_nothing_to_learn_from(spark, study):
     assert nobody.predictions().count() == 0
     alone = boosting.cross_validate(cohort.filter("fold = 1"), long, folds=3, boost=Boost(rounds=2, depth=2))
     assert all(r[k] == pytest.approx(1 / 3) for r in alone.predictions().collect() for k in ("p0", "p1", "p2"))
+
+
+def test_a_held_matrix_needs_no_job_a_round(spark, study, monkeypatch):
+    """One task grows all rounds of a model; beyond what a task holds, levels are jobs: the same trees."""
+    cohort, long = study
+    with monkeypatch.context() as patch:
+        patch.setattr(boosting, "_grow", None)
+        held = boosting.cross_validate(cohort, long, folds=3, boost=SMALL_BOOST)
+    monkeypatch.setattr(boosting, "HELD", 0)
+    levels = boosting.cross_validate(cohort, long, folds=3, boost=SMALL_BOOST)
+    assert node_rows(held) == node_rows(levels)
+    assert [x[:2] for x in held.loss] == [x[:2] for x in levels.loss]
+    assert [x[2] for x in held.loss] == pytest.approx([x[2] for x in levels.loss])
+    assert sorted(map(tuple, held.predictions().collect())) == sorted(map(tuple, levels.predictions().collect()))
+
+
+def test_scores_take_the_largest_of_repeated_values(spark, study):
+    """As the trainer does; rows of nobody and of no value change nothing."""
+    cohort, long = study
+    again = long.union(long).union(long.withColumn("value", F.lit(-5.0)).filter("domain = 'util' and value > 0"))
+    again = again.union(long.limit(3).withColumn("person_id", F.lit(None).cast("long")))
+    fitted = boosting.train_full(cohort, again, SMALL_BOOST)
+    got = {r.person_id: (r.p0, r.p1, r.p2) for r in boosting.score(fitted.nodes, cohort, again).collect()}
+    want = {r.person_id: (r.p0, r.p1, r.p2) for r in fitted.predictions().collect()}
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+def test_scores_do_not_join_values_with_leaves(spark, study):
+    """A value meets its person's row only, however many trees ask for its feature."""
+    cohort, long = study
+    fitted = boosting.train_full(cohort, long, SMALL_BOOST)
+    scored = boosting.score(fitted.nodes, cohort, long)
+    assert "MapInArrow" in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert scored.count() == cohort.count()
