@@ -683,15 +683,60 @@ class Walk:
         return out
 
 
+    def leaves(self, tree: dict) -> Iterator[tuple]:
+        """(value, {feature: (low, high)}) of each leaf: values in (low, high] lead to it."""
+        queue: list[tuple] = [(1, {})]
+        while queue:
+            node, limits = queue.pop()
+            feature, threshold, leaf = tree[node]
+            if feature < 0:
+                yield leaf, limits
+                continue
+            low, high = limits.get(feature, (-math.inf, math.inf))
+            queue += [(2 * node, limits | {feature: (low, min(high, threshold))}),
+                      (2 * node + 1, limits | {feature: (max(low, threshold), high)})]
+
+    def margins_of_repeated(self, n: int, row: np.ndarray, slot: np.ndarray, value: np.ndarray, classes: int
+                            ) -> dict[int, np.ndarray]:
+        """Margins of rows with several values of a feature, each of which counts.
+
+        A leaf is reached where as many values meet conditions that zero does not meet as there
+        are such conditions, and no value fails one that zero meets.
+        """
+        order = np.argsort(slot, kind="stable")
+        edge = np.searchsorted(slot[order], np.arange(len(self.keys) + 1))
+        row, value = row[order], value[order]
+        out = {m: np.zeros((n, classes)) for m in self.models}
+        for (m, _, c), tree in self.trees.items():
+            for leaf, limits in self.leaves(tree):
+                gained, lost, unmet = np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+                for feature, (low, high) in limits.items():
+                    some, v = (x[edge[feature]:edge[feature + 1]] for x in (row, value))
+                    met = (v > low) & (v <= high)
+                    if low < 0 <= high:
+                        lost += np.bincount(some[~met], minlength=n)
+                    else:
+                        gained += np.bincount(some[met], minlength=n)
+                        unmet += 1
+                out[m][:, c] += np.where((gained == unmet) & (lost == 0), leaf, 0.0)
+        return out
+
+
 def _score_task(batches: Iterator[pa.RecordBatch], walk: Walk, classes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, lists = batch.num_rows, batch.column("e")
         entries = lists.flatten()
         slot, value = (entries.field(k).to_numpy(zero_copy_only=False) for k in ("slot", "value"))
         row = np.repeat(np.arange(n, dtype=np.int32), np.diff(lists.offsets.to_numpy()))
-        # Of values that repeat a person and feature the largest, which is last, stays.
-        last = np.append((row[1:] != row[:-1]) | (slot[1:] != slot[:-1]), True)[:len(row)]
-        for m, margins in walk.margins(n, row[last], slot[last], value[last], classes).items():
+        found = walk.margins(n, row, slot, value, classes)
+        twice = np.zeros(n, bool)
+        twice[row[1:][(row[1:] == row[:-1]) & (slot[1:] == slot[:-1])]] = True
+        if twice.any():
+            own, number = twice[row], np.cumsum(twice) - 1
+            again = walk.margins_of_repeated(int(twice.sum()), number[row[own]], slot[own], value[own], classes)
+            for m, margins in again.items():
+                found[m][twice] = margins
+        for m, margins in found.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(n, m, np.int32)), batch.column("person_id"), *map(pa.array, margins.T.copy())],
                 ["model", "person_id", *[f"m{c}" for c in range(classes)]])
@@ -701,7 +746,8 @@ def score(nodes: DataFrame, members: DataFrame, long: DataFrame, classes: int =
     """(model, person_id, p0..): every person's values walk down every tree.
 
     A person's values meet in one row, and tasks take the trees along, whose number follows the
-    settings.  Of rows that repeat a person and feature the largest value stays.
+    settings.  Persons with rows that repeat a feature are scored by counting the conditions of
+    leaves that their rows meet.
     """
     spark = members.sparkSession
     walk = Walk(nodes.toArrow())

@@ -1142,7 +1142,7 @@ FROM folded GROUP BY fold""")
 def train_cv_facts(s: Study) -> DataFrame:
     """What holds for the boosted ensemble of every fold.
 
-    ``repeated`` counts persons whose scores from the joined nodes equal the trainer's.
+    ``repeated`` counts persons whose scores from the stored nodes equal the trainer's.
     """
     fitted = _boosted(s)
     predictions, nodes = fitted.predictions(), stored(fitted.nodes)
